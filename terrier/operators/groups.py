@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce as fold
 
 from pyspark.sql import Column, DataFrame, Window
@@ -113,12 +113,14 @@ def reduce_groups(df: DataFrame, keys: Sequence[str], order_by: Sequence[str],
     if not scalar_aggs and not list_aggs:
         scalar_aggs.append(F.count(F.lit(1)).alias("__n"))
 
+    def field(name: str) -> Callable[[Column], Column]:
+        return lambda item: item[name]
+
     def project(row: DataFrame) -> DataFrame:
         return row.select(
             *keys, "part",
             *[F.col(f"__f.{c}").alias(c) for c in firsts],
-            *[F.transform("__l", lambda x, i=i: x[f"v{i}"]).alias(c)
-              for i, c in enumerate(lists)],
+            *[F.transform("__l", field(f"v{i}")).alias(c) for i, c in enumerate(lists)],
             *sums)
 
     def light(rows: DataFrame) -> DataFrame:

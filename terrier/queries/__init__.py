@@ -1,0 +1,6 @@
+"""The registered queries."""
+
+from terrier.queries import deeds, prices
+from terrier.queries.tables import Query
+
+ALL: dict[str, Query] = {**prices.QUERIES, **deeds.QUERIES}
