@@ -1,6 +1,7 @@
 """The registered queries."""
 
-from terrier.queries import deeds, prices
+from terrier.queries import deeds, prices, shapes
 from terrier.queries.tables import Query
 
-ALL: dict[str, Query] = {**prices.QUERIES, **deeds.QUERIES}
+ALL: dict[str, Query] = {**prices.QUERIES, **deeds.QUERIES,
+                        **shapes.QUERIES}
