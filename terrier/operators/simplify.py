@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrier.functions import geometry as G
 
+# executors get these helpers with the query and need no installed package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def thin_ring(xy: np.ndarray, tolerance: float) -> np.ndarray:
     """Which vertices of a closed ring stay; at least four, so the ring stays a ring."""

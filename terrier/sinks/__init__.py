@@ -1,0 +1,81 @@
+"""Writing tables, statistics, features and tile rows."""
+
+from __future__ import annotations
+
+import sys
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from terrier.operators.features import exportable, feature_text
+
+# executors get the line wrapper with the query and need no installed package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def write_table(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").parquet(path)
+
+
+def save_aggregate(stats: DataFrame, base: str, level: str, keys: Sequence[str]) -> None:
+    """Statistics of one level, one folder per ``span``, sorted by key within it."""
+    (stats.orderBy("span", *keys).write.mode("overwrite").partitionBy("span")
+     .parquet(f"{base}/{level}"))
+
+
+def collection_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Feature lines of one task wrapped as one valid collection."""
+    head, first = '{"type":"FeatureCollection","features":[', True
+    yield pd.DataFrame({"value": [head]})
+    for batch in batches:
+        lines = batch["value"].tolist()
+        if not lines:
+            continue
+        yield pd.DataFrame({"value": [("" if first and i == 0 else ",") + line
+                                      for i, line in enumerate(lines)]})
+        first = False
+    yield pd.DataFrame({"value": ["]}"]})
+
+
+def save_geojson(df: DataFrame, path: str, geom: str = "geom", tolerance: float | None = 0.001,
+                 keep_empty: bool = False, files: int | None = None) -> None:
+    """Publishable rows as GeoJSON; every part file is a valid feature collection.
+
+    ``files`` 1 gives the single file small layers want. Large ones keep one file
+    per task.
+    """
+    rows = exportable(df, geom, keep_empty=keep_empty, tolerance=tolerance)
+    lines = rows.select(feature_text(rows, geom).alias("value"))
+    if files is not None:
+        lines = lines.coalesce(files)
+    lines.mapInPandas(collection_lines, "value string").write.mode("overwrite").text(path)
+
+
+def save_parcels(df: DataFrame, path: str, commune: str, geom: str = "geom") -> None:
+    """Features by commune, one folder each, one feature per line.
+
+    Rebalancing brings a commune's rows together but lets a very large commune
+    have several tasks and files.
+    """
+    names = [c for c in df.columns if c not in (geom, commune)]
+    lines = df.select(F.col(commune).alias("commune"), feature_text(df, geom, names).alias("value"))
+    (lines.hint("rebalance", F.col("commune")).write.mode("overwrite")
+     .partitionBy("commune").text(path))
+
+
+def save_list(df: DataFrame, path: str, limit: int) -> None:
+    """At most ``limit`` rows as one JSON array, nulls written as null."""
+    rows = df.limit(limit).select(F.struct(*df.columns).alias("r"))
+    one = rows.agg(F.to_json(F.collect_list("r"), {"ignoreNullFields": "false"}).alias("value"))
+    one.write.mode("overwrite").text(path)
+
+
+def save_tiles(tiles: DataFrame, path: str, geom: str = "geom") -> None:
+    """Tile rows with their features as text, one folder per zoom."""
+    names = [c for c in tiles.columns if c not in (geom, "z", "x", "y", "box", "area")]
+    (tiles.select("z", "x", "y", feature_text(tiles, geom, names).alias("feature"))
+     .hint("rebalance", F.col("z"), F.col("x"), F.col("y"))
+     .write.mode("overwrite").partitionBy("z").parquet(path))
