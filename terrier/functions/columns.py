@@ -97,5 +97,6 @@ def display_class(count: str, min_count: int) -> Column:
 
 
 def scale_position(price: str, low: float, high: float) -> Column:
-    """Place of a price on the fixed colour scale, clamped to [0, 1]."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(price) - low) / (high - low)))
+    """Place of a price on the fixed colour scale, clamped to [0, 1]; null without a price."""
+    place = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(price) - low) / (high - low)))
+    return F.when(F.col(price).isNotNull(), place)

@@ -123,18 +123,18 @@ def dissolve(df: DataFrame, keys: Sequence[str], geom: str, srid: int,
     """
     rings = staged(stitch(outline(df, keys, geom), keys)
                    .withColumn("signed", G.ring_area(F.col("vertices")))
-                   .withColumn("k", _group(keys)))
+                   .withColumn("__k", _group(keys)))
     shells = rings.where("signed > 0")
     holes = rings.where("signed < 0").select(
-        "k", "ring", "vertices",
+        "__k", "ring", "vertices",
         # the middle of a hole's first edge is strictly inside its shell
         ((F.col("vertices")[0]["x"] + F.col("vertices")[1]["x"]) / 2).alias("hx"),
         ((F.col("vertices")[0]["y"] + F.col("vertices")[1]["y"]) / 2).alias("hy"))
-    zones = shells.select("k", F.col("ring").alias("shell"), "signed",
+    zones = shells.select("__k", F.col("ring").alias("shell"), "signed",
                           G.polygon(F.array("vertices"), srid).alias("g"))
     # zones in order of area: the smallest shell around a hole is its own
     placed = point_in_zone(holes, zones, "hx", "hy", "g", "signed", ["shell"], ["ring"], size,
-                           by=["k"])
+                           by=["__k"])
     inner = placed.groupBy(F.col("shell").alias("ring")).agg(
         F.sort_array(F.collect_list("vertices")).alias("inner"))
     parts = shells.join(inner, "ring", "left").select(

@@ -13,6 +13,9 @@ from terrier.session import local_session  # noqa: E402
 def spark():
     session = local_session(8, "terrier-tests")
     session.conf.set("spark.sql.shuffle.partitions", "4")
+    # on a few rows, compiling plans is most of the time
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
+    session.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
     yield session
     session.stop()
 
