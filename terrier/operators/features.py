@@ -64,29 +64,30 @@ def join_parcels(parcels: DataFrame, stats: DataFrame, department: str, parcel:
 
 def file_status(files: DataFrame, parcels: DataFrame, stats: DataFrame, file: str,
                 department: str, parcel: str, readable: str) -> DataFrame:
-    """Per file: how many features and matched parcels it has, and its outcome.
+    """Per file: how many of its parcels have statistics, and its outcome.
 
-    ``files`` has one row per file with ``readable``; ``parcels`` one row per
-    feature. Features are counted per (file, department, parcel) before the
+    ``files`` lists the files; ``parcels`` has one row per parcel, and for a file
+    without parcels a row without an id. Parcels are counted per id before the
     statistics are joined, so repeated ids do not grow the join.
     """
-    ids = parcels.groupBy(file, department, parcel).agg(F.count(F.lit(1)).alias("n"))
+    ids = parcels.groupBy(file, department, parcel).agg(
+        F.count(F.lit(1)).alias("n"), F.bool_or(readable).alias(readable))
     known = stats.where(F.col(department).isNotNull()).select(
         department, parcel, F.lit(1).alias("hit")).distinct()
     per_file = (
         ids.join(known, [department, parcel], "left").groupBy(file)
-        .agg(F.sum("n").alias("n_features"),
+        .agg(F.bool_or(readable).alias(readable),
              F.sum(F.when(F.col(parcel).isNotNull(), F.col("n")).otherwise(0)).alias("n_ids"),
              F.sum(F.col("n") * F.coalesce("hit", F.lit(0))).alias("n_parcels")))
     departments = known.select(department).distinct().withColumn("known", F.lit(True))
     joined = (files.join(departments, department, "left").join(per_file, file, "left")
-              .fillna(0, ["n_features", "n_ids", "n_parcels"]))
+              .fillna(0, ["n_ids", "n_parcels"]).fillna(False, [readable]))
     status = (F.when(F.col("known").isNull(), "no_transactions")
               .when(~F.col(readable), "error")
-              .when((F.col("n_features") == 0) | (F.col("n_ids") == 0), "no_cadastre")
+              .when(F.col("n_ids") == 0, "no_cadastre")
               .when(F.col("n_parcels") == 0, "no_transactions")
               .otherwise("success"))
-    return joined.withColumn("status", status).drop("known", "n_ids")
+    return joined.withColumn("status", status).drop("known", "n_ids", readable)
 
 
 def status_totals(statuses: DataFrame) -> DataFrame:

@@ -14,9 +14,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce as fold
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrier.operators.skew import fits_broadcast, key_struct, split_heavy
@@ -38,11 +37,11 @@ class Stat:
     median: bool = True
     subset: str | None = None
 
-    def ranks(self, n: Column) -> tuple[Column, Column]:
-        """The zero-based ranks whose mean is the statistic."""
+    def ranks(self, n: str) -> tuple[str, str]:
+        """SQL for the zero-based ranks, among ``n`` values, whose mean is the statistic."""
         if self.median:
-            return F.floor((n - 1) / 2), F.floor(n / 2)
-        at = F.round((n - 1) * F.lit(self.q)).cast("long")
+            return f"(({n} - 1) div 2)", f"({n} div 2)"
+        at = f"cast(round(({n} - 1) * {self.q!r}D) as bigint)"
         return at, at
 
 
@@ -97,64 +96,55 @@ def _by_arrays(df: DataFrame, keys: Sequence[str], stats: Sequence[Stat],
     ]
     grouped = df.groupBy(*keys).agg(*sorted_values)
 
-    def pick(stat: Stat) -> Column:
-        a = F.col(arrays[stat.value, stat.subset])
-        lo, hi = stat.ranks(F.size(a))
-        low = F.get(a, lo.cast("int"))
-        return low if not stat.median else (low + F.get(a, hi.cast("int"))) / 2
+    def pick(stat: Stat) -> str:
+        a = arrays[stat.value, stat.subset]
+        lo, hi = (f"get({a}, cast({r} as int))" for r in stat.ranks(f"size({a})"))
+        return lo if not stat.median else f"({lo} + {hi}) / 2"
 
-    return grouped.select(*keys, *[pick(s).alias(s.name) for s in stats])
+    return grouped.select(*keys, *[F.expr(pick(s)).alias(s.name) for s in stats])
 
 
-def _bucket(v: Column, resolution: int) -> Column:
-    """A bucket number that never falls as ``v`` rises; NaN sorts last, as in Spark."""
-    level = F.signum(v) * F.log2(F.abs(v) + 1) * resolution
-    return F.when(F.isnan(v), F.lit(2**62)).otherwise(F.floor(level)).cast("long")
+def _bucket(v: str, resolution: int) -> str:
+    """SQL for a bucket number that never falls as ``v`` rises; NaN sorts last, as in Spark."""
+    return (f"case when isnan({v}) then {2**62}L "
+            f"else floor(signum({v}) * log2(abs({v}) + 1) * {resolution}) end")
 
 
 def _by_rank(df: DataFrame, keys: Sequence[str], stats: Sequence[Stat],
              subsets: Mapping[str, Column], resolution: int, broadcast_rows: int) -> DataFrame:
+    # expressions are SQL text here: there are many, and text is cheap to hand over
     values = list(dict.fromkeys(s.value for s in stats))
     labels = list(dict.fromkeys(s.subset for s in stats))
     at = {label: i for i, label in enumerate(labels)}
+    every = range(len(labels))
     inside = [F.lit(True) if label is None else F.coalesce(subsets[label], F.lit(False))
               for label in labels]
+    measures = F.array(*[F.struct(F.lit(m).alias("m"), F.col(v).cast("double").alias("v"))
+                         for m, v in enumerate(values)])
     # one row per (row, measured column), with its subset flags
     points = (
-        df.select(
-            key_struct(keys).alias("k"),
-            *[c.alias(f"in{i}") for i, c in enumerate(inside)],
-            F.explode(F.array(*[
-                F.struct(F.lit(m).alias("m"), F.col(v).cast("double").alias("v"))
-                for m, v in enumerate(values)])).alias("p"))
-        .select("k", "p.m", "p.v", *[f"in{i}" for i in range(len(labels))])
-        .where(F.col("v").isNotNull())
-        .withColumn("b", _bucket(F.col("v"), resolution))
-    )
-    counts = [F.count_if(f"in{i}").alias(f"c{i}") for i in range(len(labels))]
+        df.select(key_struct(keys).alias("k"), *[c.alias(f"in{i}") for i, c in enumerate(inside)],
+                  F.explode(measures).alias("p"))
+        .selectExpr("k", "p.m", "p.v", *[f"in{i}" for i in every],
+                    f"{_bucket('p.v', resolution)} as b")
+        .where("v is not null"))
+    counts = [F.expr(f"count_if(in{i}) as c{i}") for i in every]
 
     # which ranks does each bucket hold, and which statistics need one of them
-    along = Window.partitionBy("k", "m").orderBy("b").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy("k", "m")
-    buckets = points.groupBy("k", "m", "b").agg(*counts)
-    for i in range(len(labels)):
-        buckets = (buckets.withColumn(f"o{i}", F.sum(f"c{i}").over(along) - F.col(f"c{i}"))
-                   .withColumn(f"n{i}", F.sum(f"c{i}").over(whole)))
-
-    def wanted(stat: Stat, start: Column, count: Column) -> Column:
+    along = "(partition by k, m order by b rows unbounded preceding)"
+    buckets = points.groupBy("k", "m", "b").agg(*counts).selectExpr(
+        "k", "m", "b", *[f"c{i}" for i in every],
+        *[f"sum(c{i}) over {along} - c{i} as o{i}" for i in every],
+        *[f"sum(c{i}) over (partition by k, m) as n{i}" for i in every])
+
+    def holds(stat: Stat, which: int, start: str) -> str:
         i = at[stat.subset]
-        lo, hi = stat.ranks(F.col(f"n{i}"))
-        hit = F.lit(False)
-        for r in (lo, hi):
-            hit = hit | ((r >= start) & (r < start + count))
-        return (F.col("m") == values.index(stat.value)) & (F.col(f"n{i}") > 0) & hit
-
-    needed = fold(lambda a, b: a | b, [
-        wanted(s, F.col(f"o{at[s.subset]}"), F.col(f"c{at[s.subset]}")) for s in stats])
-    targets = staged(buckets.where(needed).select(
-        "k", "m", "b", *[f"o{i}" for i in range(len(labels))],
-        *[f"n{i}" for i in range(len(labels))]))
+        r = stat.ranks(f"n{i}")[which]
+        return (f"m = {values.index(stat.value)} and n{i} > 0 "
+                f"and {r} >= {start}{i} and {r} < {start}{i} + c{i}")
+
+    needed = " or ".join(f"({holds(s, w, 'o')})" for s in stats for w in range(1 + s.median))
+    targets = staged(buckets.where(needed).drop(*[f"c{i}" for i in every]))
 
     on = ["k", "m", "b"]
     if fits_broadcast(targets, max_rows=broadcast_rows):
@@ -164,23 +154,14 @@ def _by_rank(df: DataFrame, keys: Sequence[str], stats: Sequence[Stat],
     else:
         ties = points.groupBy(*on, "v").agg(*counts).join(targets, on)
 
-    up = Window.partitionBy(*on).orderBy("v").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    ranked = ties
-    for i in range(len(labels)):
-        ranked = ranked.withColumn(f"r{i}", F.col(f"o{i}") + F.sum(f"c{i}").over(up) - F.col(f"c{i}"))
-
-    def value_at(stat: Stat, which: int) -> Column:
-        i = at[stat.subset]
-        r = stat.ranks(F.col(f"n{i}"))[which]
-        hit = ((F.col("m") == values.index(stat.value)) & (r >= F.col(f"r{i}"))
-               & (r < F.col(f"r{i}") + F.col(f"c{i}")))
-        return F.max(F.when(hit, F.col("v")))
-
-    picked = [
-        (value_at(s, 0) if not s.median else (value_at(s, 0) + value_at(s, 1)) / 2).alias(s.name)
-        for s in stats
-    ]
-    return ranked.groupBy("k").agg(*picked).select("k.*", *[s.name for s in stats])
+    up = "(partition by k, m, b order by v rows unbounded preceding)"
+    ranked = ties.selectExpr(
+        "k", "m", "v", *[f"n{i}" for i in every], *[f"c{i}" for i in every],
+        *[f"o{i} + sum(c{i}) over {up} - c{i} as r{i}" for i in every])
 
+    def value(stat: Stat) -> str:
+        lo, hi = (f"max(case when {holds(stat, w, 'r')} then v end)" for w in (0, 1))
+        return lo if not stat.median else f"({lo} + {hi}) / 2"
 
+    return ranked.groupBy("k").agg(*[F.expr(value(s)).alias(s.name) for s in stats]).select(
+        "k.*", *[s.name for s in stats])

@@ -66,11 +66,14 @@ def run(spark: SparkSession, args: argparse.Namespace) -> list[str]:
         if "geometries" in chosen:
             maps.save_layers(layers, f"{out}/map")
         if "convert" in chosen:
-            for name in ("communes", "iris"):
-                maps.save_layer_tiles(layers[name], name, f"{out}/tiles/{name}")
+            for name, key in (("communes", "code_commune"), ("iris", "code_iris")):
+                maps.save_layer_tiles(maps.with_display(layers[name]), name,
+                                      f"{out}/tiles/{name}", key)
     if "parcels" in chosen:
-        files = B.scan_cadastre(spark, f"{src}/cadastre/*/*/cadastre-*-parcelles.json.gz")
-        maps.export_parcels(files, saved("parcel"), f"{out}/map/parcels").show()
+        glob = f"{src}/cadastre/*/*/cadastre-*-parcelles.json.gz"
+        maps.export_parcels(
+            B.list_cadastre(spark, glob), B.scan_cadastre(spark, glob), saved("parcel"),
+            f"{out}/map/parcels", f"{out}/tiles/parcels", args.max_per_tile).show()
     return chosen
 
 

@@ -55,29 +55,31 @@ def with_display(df: DataFrame, parcels: bool = False) -> DataFrame:
         "shade": scale_position("prix_m2_median", S.SCALE_LOW, S.SCALE_HIGH)})
 
 
-def save_layer_tiles(df: DataFrame, name: str, path: str, max_per_tile: int | None = None) -> None:
+def save_layer_tiles(df: DataFrame, name: str, path: str, key: str,
+                     max_per_tile: int | None = None) -> None:
     """Features by tile over the layer's zooms. Only parcels may lose features in full tiles."""
     layer = LAYERS[name]
     sized = df.withColumns({"box": G.bbox(F.col("geom")), "area": G.area(F.col("geom"))})
     rows = tile_features(sized, "box", layer.min_zoom, layer.max_zoom)
     if layer.drop_densest and max_per_tile is not None:
-        rows = drop_densest(rows, "area", [df.columns[0]], max_per_tile)
+        rows = drop_densest(rows, "area", [key], max_per_tile)
     save_tiles(rows, path)
 
 
-def export_parcels(files: DataFrame, stats: DataFrame, base: str) -> DataFrame:
+def export_parcels(files: DataFrame, parcels: DataFrame, stats: DataFrame, base: str,
+                   tiles: str | None = None, max_per_tile: int | None = None) -> DataFrame:
     """Parcels with statistics, by commune; returns files and parcels per outcome.
 
-    ``files`` come from the cadastre scan. Only matched parcels reach simplification.
+    The parsed parcels are written once: the count per file then reads ids only,
+    and only matched parcels reach simplification.
     """
-    from terrier.sources.boundaries import cadastre_parcels
-    parcels = cadastre_parcels(files)
-    joined = X.join_parcels(parcels, stats, "code_departement", "id_parcelle_unique")
-    thin = simplify(joined.withColumn("geom", G.to_wgs84(F.col("geom"))), "geom",
-                    S.TOLERANCE["parcels"])
-    save_parcels(round_doubles(thin.drop("file")), base, "code_commune_file")
-    outcome = X.file_status(
-        files.select("file", "code_departement", "readable"),
-        parcels.select("file", "code_departement", "id_parcelle_unique"), stats,
-        "file", "code_departement", "id_parcelle_unique", "readable")
-    return staged(X.status_totals(outcome))
+    parcels = staged(parcels)
+    joined = X.join_parcels(parcels.drop("file", "readable"), stats, "code_departement",
+                            "id_parcelle_unique")
+    thin = round_doubles(simplify(joined.withColumn("geom", G.to_wgs84(F.col("geom"))), "geom",
+                                  S.TOLERANCE["parcels"]))
+    save_parcels(thin, base, "code_commune_file")
+    if tiles is not None:
+        save_layer_tiles(thin, "parcels", tiles, "id_parcelle_unique", max_per_tile)
+    return staged(X.status_totals(X.file_status(
+        files, parcels, stats, "file", "code_departement", "id_parcelle_unique", "readable")))

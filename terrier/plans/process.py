@@ -15,6 +15,13 @@ from terrier.operators.spatial import point_in_zone, project_points
 from terrier.operators.time_index import adjust_prices
 from terrier.session import staged
 
+#: What the reduction reads; lots and former codes are never parsed.
+LINE_COLUMNS = tuple(dict.fromkeys((
+    *S.DISPOSITION, *(c for c in (*S.FIRSTS, *S.LISTS, *S.SUMS)
+                      if c not in ("has_dependency", "surface_batie_totale", "prix_de_vente")),
+    "seq")))
+
+
 def clean_lines(lines: DataFrame, mode: str) -> DataFrame:
     """Undo duplication by land use, flag outbuildings, keep homes, share out the price."""
     order = ["seq"]
@@ -71,9 +78,11 @@ def process(lines: DataFrame, departments: DataFrame, regions: DataFrame, zones:
             light_rows: int = LIGHT_ROWS) -> tuple[DataFrame, DataFrame]:
     """The processed table, and the list parts of dispositions too large for one row.
 
-    The reduced and the cleaned table are written to the shared folder: later
-    steps read them several times, a few columns at a time.
+    Lines, reduced table and cleaned table are written to the shared folder:
+    later passes read them several times, a few columns at a time, and the text
+    files are parsed once.
     """
+    lines = staged(lines.select(*LINE_COLUMNS))
     reduced = staged(reduce_deeds(lines, light_rows))
     sales = reduced.where("part = 0").drop("part")
     groups.require_unique(sales, F.struct(*S.DISPOSITION))

@@ -349,13 +349,14 @@ def _parcel_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _statuses(spark: SparkSession, folder: str) -> DataFrame:
-    parcels = _cadastre(spark, folder)
-    files = parcels.select("file", "department").distinct().withColumn(
-        "readable", ~F.col("file").endswith("HOUSEHOLD"))
-    kept = parcels.where(~F.col("file").endswith("BUILDING")
-                         & ~F.col("file").endswith("HOUSEHOLD"))
-    return X.status_totals(X.file_status(files, kept, _parcel_stats(spark, folder), "file",
-                                         "department", "parcel", "readable"))
+    """Files of HOUSEHOLD cannot be read, those of BUILDING are empty."""
+    lots = _cadastre(spark, folder)
+    unread, empty = (F.col("file").endswith(s) for s in ("HOUSEHOLD", "BUILDING"))
+    parcels = lots.where(~unread).withColumns({
+        "readable": F.lit(True), "parcel": F.when(~empty, F.col("parcel"))})
+    return X.status_totals(X.file_status(
+        lots.select("file", "department").distinct(), parcels, _parcel_stats(spark, folder),
+        "file", "department", "parcel", "readable"))
 
 
 QUERIES: dict[str, Query] = {

@@ -39,8 +39,8 @@ def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     The result survives lost executors, is computed once however often it is
-    used, and has a size Spark can see. Meant for small tables (lookups, heavy
-    keys, loop state), not for the fact table.
+    used, and has a size Spark can see. Operators stage small tables only
+    (lookups, heavy keys, loop state); plans stage a step that is read many times.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/terrier/{uuid.uuid4().hex}"

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrier.functions import geometry as G
-from terrier.operators.features import COLLECTION, FEATURE, explode_collections
+from terrier.operators.features import COLLECTION, FEATURE
 from terrier.operators.lookups import name_areas, replace_parents
 from terrier.schema import CITY_CODES
 from terrier.sources.geopackage import GeoPackageSource
@@ -72,27 +72,35 @@ def named_zones(zones: DataFrame, names: DataFrame) -> DataFrame:
                       "nom_iris").drop("nom_iris_ref", "nom_iris_gpkg")
 
 
+def _with_codes(df: DataFrame, path: Column) -> DataFrame:
+    return df.withColumns({
+        "file": path,
+        "code_commune_file": F.regexp_extract(path, r"cadastre-([^/]+?)-parcelles\.json", 1),
+        "code_departement": F.regexp_extract(path, r"([^/]+)/[^/]+/[^/]+$", 1)})
+
+
+def list_cadastre(spark: SparkSession, glob: str) -> DataFrame:
+    """One row per cadastre file, listed without opening any."""
+    files = spark.read.format("binaryFile").load(glob).select("path")
+    return _with_codes(files, F.col("path")).drop("path")
+
+
 def scan_cadastre(spark: SparkSession, glob: str) -> DataFrame:
-    """One row per gzipped cadastre file: its codes, whether it can be read, its text.
+    """One row per parcel of the gzipped cadastre files.
 
-    The listing does not open the files, so one that cannot be decompressed still
-    has its row.
+    A file that is empty or is not GeoJSON has one row without a parcel; one that
+    cannot be decompressed has none. ``readable`` tells the first two apart.
     """
-    path = F.col("path")
-    files = spark.read.format("binaryFile").load(glob).select("path")
-    texts = (spark.read.option("wholetext", True).option("ignoreCorruptFiles", True).text(glob)
-             .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
-    joined = files.join(texts, "path", "left")
-    doc = F.from_json("text", COLLECTION)
-    return joined.select(
-        path.alias("file"),
-        F.regexp_extract(path, r"cadastre-([^/]+?)-parcelles\.json", 1).alias("code_commune_file"),
-        F.regexp_extract(path, r"([^/]+)/[^/]+/[^/]+$", 1).alias("code_departement"),
-        F.coalesce(doc["features"].isNotNull(), F.lit(False)).alias("readable"), "text")
-
-
-def cadastre_parcels(files: DataFrame) -> DataFrame:
-    """One row per parcel of the cadastre files."""
-    return explode_collections(
-        files.select("file", "code_commune_file", "code_departement", "text"), "text"
-    ).withColumnRenamed("id", "id_parcelle_unique").drop("properties")
+    texts = _with_codes(
+        spark.read.option("wholetext", True).option("ignoreCorruptFiles", True).text(glob),
+        F.col("_metadata.file_path"))
+    doc = F.from_json("value", COLLECTION)
+    keep = ["file", "code_commune_file", "code_departement"]
+    opened = texts.select(*keep, doc.alias("doc"))
+    return (
+        opened.select(*keep, F.col("doc.features").isNotNull().alias("readable"),
+                      F.explode_outer("doc.features").alias("f"))
+        .select(*keep, F.coalesce("readable", F.lit(False)).alias("readable"),
+                F.coalesce("f.properties.id", "f.id").alias("id_parcelle_unique"),
+                G.parse_geojson_geometry(F.col("f.geometry.type"),
+                                         F.col("f.geometry.coordinates")).alias("geom")))

@@ -170,21 +170,24 @@ def test_cadastre_statuses(spark, tmp_path):
     bad = tmp_path / "75" / "75104"
     bad.mkdir()
     (bad / "cadastre-75104-parcelles.json.gz").write_bytes(b"not gzip")
+    other = tmp_path / "75" / "75105"
+    other.mkdir()
+    (other / "cadastre-75105-parcelles.json.gz").write_bytes(gzip.compress(b'{"a": 1}'))
     stats = spark.createDataFrame([("p1", "75", 3), ("p2", "75", 1), ("q1", "99", 1), ("x", None, 1)],
                                   "id_parcelle_unique string, code_departement string, "
                                   "nb_transactions int")
-    files = B.scan_cadastre(spark, f"{tmp_path}/*/*/cadastre-*-parcelles.json.gz")
-    parcels = B.cadastre_parcels(files)
+    glob = f"{tmp_path}/*/*/cadastre-*-parcelles.json.gz"
+    files, parcels = B.list_cadastre(spark, glob), B.scan_cadastre(spark, glob)
     joined = X.join_parcels(parcels, stats, "code_departement", "id_parcelle_unique")
     assert rows(joined, "code_commune_file", "id_parcelle_unique", "nb_transactions") == [
         ("75101", "p1", 3), ("75101", "p1", 3), ("75101", "p2", 1)]
-    st = X.file_status(files.drop("text"), parcels, stats, "file", "code_departement",
+    st = X.file_status(files, parcels, stats, "file", "code_departement",
                        "id_parcelle_unique", "readable")
     assert rows(st, "code_commune_file", "status", "n_parcels") == [
         ("69001", "no_transactions", 0), ("75101", "success", 3), ("75102", "no_transactions", 0),
-        ("75103", "no_cadastre", 0), ("75104", "error", 0)]
+        ("75103", "no_cadastre", 0), ("75104", "error", 0), ("75105", "error", 0)]
     assert rows(X.status_totals(st), "status", "n_files", "n_parcels") == [
-        ("error", 1, 0), ("no_cadastre", 1, 0), ("no_transactions", 2, 0), ("success", 1, 3)]
+        ("error", 2, 0), ("no_cadastre", 1, 0), ("no_transactions", 2, 0), ("success", 1, 3)]
 
 
 def test_export_rules(spark):
