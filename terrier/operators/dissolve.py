@@ -60,58 +60,53 @@ def _group(keys: Sequence[str]) -> Column:
     return F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
 
 
-def stitch(border: DataFrame, keys: Sequence[str], max_rounds: int = 64) -> DataFrame:
+def stitch(border: DataFrame, keys: Sequence[str], max_steps: int = 64) -> DataFrame:
     """Closed rings ``(keys, ring, vertices)`` from border edges, by pointer doubling.
 
-    Each edge points to the next one round its ring. In every round an edge
-    learns the smallest edge id within twice as many steps, and how far off it
-    is, so a ring of n edges takes log2(n) joins on evenly hashed ids.
+    Each edge points to the next one round its ring. In every step an edge learns
+    the smallest edge number within twice as many edges, and how far off it is, so
+    a ring of n edges takes log2(n) joins on evenly spread numbers.
     """
-    es = staged(border.select(_group(keys).alias("k"), *_EDGE).withColumn(
-        "id", F.struct("k", *_EDGE)))
+    # written with the edges, so the numbers stay the same from here on
+    es = staged(border.select(_group(keys).alias("k"), *_EDGE,
+                              F.monotonically_increasing_id().alias("id")))
     # Where borders meet in one vertex, turn left as sharply as possible: seen from
     # the way back, the next way out clockwise. One window finds it, without pairs.
-    ends = es.select(
-        F.struct("k", F.col("bx").alias("x"), F.col("by").alias("y")).alias("at"),
-        F.atan2(F.col("ay") - F.col("by"), F.col("ax") - F.col("bx")).alias("angle"),
-        "id", F.lit(None).cast(es.schema["id"].dataType).alias("out"))
-    starts = es.select(
-        F.struct("k", F.col("ax").alias("x"), F.col("ay").alias("y")).alias("at"),
-        F.atan2(F.col("by") - F.col("ay"), F.col("bx") - F.col("ax")).alias("angle"),
-        F.lit(None).cast(es.schema["id"].dataType).alias("id"), F.col("id").alias("out"))
+    ends = es.selectExpr("struct(k, bx as x, by as y) as at", "atan2(ay - by, ax - bx) as angle",
+                         "id", "cast(null as bigint) as out")
+    starts = es.selectExpr("struct(k, ax as x, ay as y) as at", "atan2(by - ay, bx - ax) as angle",
+                           "cast(null as bigint) as id", "id as out")
     clockwise = Window.partitionBy("at").orderBy(F.desc("angle"), F.desc_nulls_last("out"))
     after = clockwise.rowsBetween(1, Window.unboundedFollowing)
     around = clockwise.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    state = staged(
+    state = (
         ends.unionByName(starts)
         .withColumn("jump", F.coalesce(F.first("out", ignorenulls=True).over(after),
                                        F.first("out", ignorenulls=True).over(around)))
         .where(F.col("id").isNotNull())
-        .select("id", "jump", F.col("id").alias("low"), F.lit(0).cast("long").alias("off")))
-    for level in range(max_rounds):
-        ahead = state.select(F.col("id").alias("jump"), F.col("jump").alias("jump2"),
-                             F.col("low").alias("low2"), F.col("off").alias("off2"))
-        lower = F.col("low2") < F.col("low")
-        state = staged(state.join(ahead, "jump").select(
-            "id", F.col("jump2").alias("jump"),
-            F.when(lower, F.col("low2")).otherwise(F.col("low")).alias("low"),
-            F.when(lower, F.col("off2") + F.lit(1 << level)).otherwise(F.col("off")).alias("off"),
-            lower.alias("moved")))
+        .selectExpr("id", "jump", "id as low", "0L as off"))
+
+    def doubled(state: DataFrame, step: int) -> DataFrame:
+        ahead = state.selectExpr("id as jump", "jump as jump2", "low as low2", "off as off2")
+        return state.join(ahead, "jump").selectExpr(
+            "id", "jump2 as jump", "least(low, low2) as low",
+            f"if(low2 < low, off2 + {1 << step}L, off) as off", "low2 < low as moved")
+
+    state = staged(doubled(state, 0))
+    for step in range(1, max_steps, 2):
+        state = staged(doubled(doubled(state, step), step + 1))
         if state.where("moved").isEmpty():
             break
     else:
-        raise RuntimeError(f"border not closed after {max_rounds} rounds")
-    # an edge `off` steps before the ring's first edge; the first edge itself leads
-    ring = F.sort_array(F.collect_list(F.struct(
-        F.when(F.col("off") == 0, F.lit(-(2**62))).otherwise(-F.col("off")).alias("place"),
-        F.struct(F.col("id.ax").alias("x"), F.col("id.ay").alias("y")).alias("v"))))
-    closed = state.groupBy("low").agg(ring.alias("r")).select(
-        F.col("low.k").alias("k"), F.col("low").alias("ring"),
-        F.transform("r", lambda s: s["v"]).alias("vs"))
+        raise RuntimeError(f"border not closed after {max_steps} steps")
+    # an edge lies `off` edges before the first one of its ring; that one leads
+    ring = F.expr("sort_array(collect_list(struct("
+                  "if(off = 0, -4611686018427387904, -off) as place, ax as x, ay as y)))")
+    closed = state.join(es, "id").groupBy("k", F.col("low").alias("ring")).agg(ring.alias("r"))
     return closed.select(
-        *[F.col(f"k.{c}").alias(c) for c in keys],
-        F.xxhash64("ring").alias("ring"),
-        F.concat("vs", F.slice("vs", 1, 1)).alias("vertices"))
+        *[F.col(f"k.{c}").alias(c) for c in keys], "ring",
+        F.transform(F.concat("r", F.slice("r", 1, 1)),
+                    lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"))).alias("vertices"))
 
 
 def dissolve(df: DataFrame, keys: Sequence[str], geom: str, srid: int,

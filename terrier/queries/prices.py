@@ -16,6 +16,7 @@ from terrier.operators.price_stats import (
 from terrier.operators.time_index import adjust_prices, latest_per_group
 from terrier.queries.tables import (
     REFERENCE_YEAR, ROLES, TRANSACTIONS, Query, coarse, coarse_sql, mid, near, table, transactions)
+from terrier.session import staged
 
 MEANS = ("prix_m2_mean", "prix_m2_maison_mean", "prix_m2_appart_mean")
 SPANS = {"2001": date(2001, 1, 1), "2000": date(2000, 1, 1), "1999": date(1999, 1, 1), "all": None}
@@ -67,7 +68,10 @@ def _level(name: str) -> Query:
 
 
 def _levels_by_span(spark: SparkSession, folder: str) -> DataFrame:
-    tx = transactions(spark, folder)
+    # written once, joined and narrow, because every level reads it
+    tx = staged(transactions(spark, folder).select(
+        "sale", "price", "adjusted", "kind", "day",
+        *dict.fromkeys(c for lv in LEVELS.values() for c in (*lv.keys, *lv.firsts))))
     out = None
     for name, level in LEVELS.items():
         stats = coarse(level_stats(tx, level, ROLES, SPANS, ["sale"]), *MEANS)
