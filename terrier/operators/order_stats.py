@@ -6,8 +6,9 @@ Two ways with one answer:
             small enough for one task.
 ``rank``    for groups of any size. A monotone function cuts the value axis into
             buckets. Counting rows per (group, bucket), which combines map-side,
-            tells in which bucket each wanted rank lies; only rows of those few
-            buckets are then ranked. No task ever sees a whole group.
+            tells in which bucket each wanted rank lies. Wanted buckets that are
+            still large are cut again; the rows of the rest are ranked. No task
+            ever sees a whole group.
 """
 
 from __future__ import annotations
@@ -18,13 +19,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrier.operators.skew import fits_broadcast, key_struct, split_heavy
+from terrier.operators.skew import BROADCAST_ROWS, key_struct, split_heavy
 from terrier.session import staged
 
 #: Groups above this many rows go the ``rank`` way under ``auto``.
 ARRAY_ROWS = 100_000
-#: Buckets per doubling of (1 + |value|).
-RESOLUTION = 512
+#: Buckets per doubling of (1 + |value|), and pieces a large bucket is cut into.
+RESOLUTION = 64
+PIECES = 1024
+#: A bucket with more rows than this is cut before its rows are ranked.
+BUCKET_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -58,7 +62,7 @@ def nearest(name: str, value: str, q: float, subset: str | None = None) -> Stat:
 def order_stats(df: DataFrame, keys: Sequence[str], stats: Sequence[Stat],
                 subsets: Mapping[str, Column] | None = None, strategy: str = "auto",
                 array_rows: int = ARRAY_ROWS, resolution: int = RESOLUTION,
-                broadcast_rows: int = 50_000) -> DataFrame:
+                bucket_rows: int = BUCKET_ROWS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``keys`` plus one column per statistic. Null values are skipped.
 
     Null keys form groups. A group without any value for a statistic gets null;
@@ -68,14 +72,15 @@ def order_stats(df: DataFrame, keys: Sequence[str], stats: Sequence[Stat],
     if strategy == "arrays":
         return _by_arrays(df, keys, stats, subsets)
     if strategy == "rank":
-        return _by_rank(df, keys, stats, subsets, resolution, broadcast_rows)
+        return _by_rank(df, keys, stats, subsets, resolution, bucket_rows, broadcast_rows)
     if strategy != "auto":
         raise ValueError(f"strategy must be auto, arrays or rank, not {strategy!r}")
     light, heavy = split_heavy(df, keys, array_rows)
     out = _by_arrays(light, keys, stats, subsets)
     if heavy is None:
         return out
-    return out.unionByName(_by_rank(heavy, keys, stats, subsets, resolution, broadcast_rows))
+    return out.unionByName(
+        _by_rank(heavy, keys, stats, subsets, resolution, bucket_rows, broadcast_rows))
 
 
 def _pairs(stats: Sequence[Stat]) -> dict[tuple[str, str | None], str]:
@@ -106,36 +111,32 @@ def _by_arrays(df: DataFrame, keys: Sequence[str], stats: Sequence[Stat],
 
 def _bucket(v: str, resolution: int) -> str:
     """SQL for a bucket number that never falls as ``v`` rises; NaN sorts last, as in Spark."""
-    return (f"case when isnan({v}) then {2**62}L "
-            f"else floor(signum({v}) * log2(abs({v}) + 1) * {resolution}) end")
+    level = f"floor(signum({v}) * log2(abs({v}) + 1) * {resolution})"
+    end = 2**29
+    return f"case when isnan({v}) then {2 * end}L else least({end}L, greatest(-{end}L, {level})) end"
 
 
 def _by_rank(df: DataFrame, keys: Sequence[str], stats: Sequence[Stat],
-             subsets: Mapping[str, Column], resolution: int, broadcast_rows: int) -> DataFrame:
+             subsets: Mapping[str, Column], resolution: int, bucket_rows: int,
+             broadcast_rows: int) -> DataFrame:
     # expressions are SQL text here: there are many, and text is cheap to hand over
     values = list(dict.fromkeys(s.value for s in stats))
     labels = list(dict.fromkeys(s.subset for s in stats))
     at = {label: i for i, label in enumerate(labels)}
     every = range(len(labels))
+    flags, totals = [f"in{i}" for i in every], [f"n{i}" for i in every]
     inside = [F.lit(True) if label is None else F.coalesce(subsets[label], F.lit(False))
               for label in labels]
     measures = F.array(*[F.struct(F.lit(m).alias("m"), F.col(v).cast("double").alias("v"))
                          for m, v in enumerate(values)])
     # one row per (row, measured column), with its subset flags
     points = (
-        df.select(key_struct(keys).alias("k"), *[c.alias(f"in{i}") for i, c in enumerate(inside)],
+        df.select(key_struct(keys).alias("k"), *[c.alias(n) for c, n in zip(inside, flags)],
                   F.explode(measures).alias("p"))
-        .selectExpr("k", "p.m", "p.v", *[f"in{i}" for i in every],
-                    f"{_bucket('p.v', resolution)} as b")
+        .selectExpr("k", "p.m", "p.v", *flags, f"{_bucket('p.v', resolution)} as b")
         .where("v is not null"))
     counts = [F.expr(f"count_if(in{i}) as c{i}") for i in every]
-
-    # which ranks does each bucket hold, and which statistics need one of them
-    along = "(partition by k, m order by b rows unbounded preceding)"
-    buckets = points.groupBy("k", "m", "b").agg(*counts).selectExpr(
-        "k", "m", "b", *[f"c{i}" for i in every],
-        *[f"sum(c{i}) over {along} - c{i} as o{i}" for i in every],
-        *[f"sum(c{i}) over (partition by k, m) as n{i}" for i in every])
+    extent = [F.expr("min(v) as lo"), F.expr("max(v) as hi"), F.expr("count(1) as size")]
 
     def holds(stat: Stat, which: int, start: str) -> str:
         i = at[stat.subset]
@@ -144,10 +145,43 @@ def _by_rank(df: DataFrame, keys: Sequence[str], stats: Sequence[Stat],
                 f"and {r} >= {start}{i} and {r} < {start}{i} + c{i}")
 
     needed = " or ".join(f"({holds(s, w, 'o')})" for s in stats for w in range(1 + s.median))
-    targets = staged(buckets.where(needed).drop(*[f"c{i}" for i in every]))
 
+    def before(over: str) -> list[str]:
+        along = f"(partition by {over} order by b rows unbounded preceding)"
+        return [f"sum(c{i}) over {along} - c{i} as o{i}" for i in every]
+
+    def wanted(buckets: DataFrame) -> DataFrame:
+        """The buckets that hold a wanted rank, with the ranks before them (``o``)."""
+        return staged(buckets.where(needed).drop(*[f"c{i}" for i in every]))
+
+    targets = wanted(points.groupBy("k", "m", "b").agg(*counts, *extent).selectExpr(
+        "*", *before("k, m"), *[f"sum(c{i}) over (partition by k, m) as n{i}" for i in every]))
     on = ["k", "m", "b"]
-    if fits_broadcast(targets, max_rows=broadcast_rows):
+    n_targets, largest = targets.agg(
+        F.count(F.lit(1)), F.max(F.when(F.col("lo") < F.col("hi"), F.col("size")))).first()
+    small = n_targets <= broadcast_rows
+    while small and (largest or 0) > bucket_rows:
+        # cut evenly between the bucket's own least and largest value
+        cut = (f"case when lo < hi then least({PIECES - 1}L, floor((v - lo) / (hi - lo) * {PIECES}))"
+               " else 0L end")
+        points = points.join(F.broadcast(targets.select(*on, "lo", "hi")), on).selectExpr(
+            "k", "m", "b as parent", "v", *flags, f"b * {PIECES} + {cut} as b")
+        parents = targets.selectExpr("k", "m", "b as parent", *totals,
+                                     *[f"o{i} as p{i}" for i in every])
+        pieces = points.groupBy("k", "m", "parent", "b").agg(*counts, *extent).selectExpr(
+            "*", *before("k, m, parent"))
+        deeper = pieces.join(F.broadcast(parents), ["k", "m", "parent"]).selectExpr(
+            "k", "m", "b", *[f"c{i}" for i in every], "lo", "hi", "size", *totals,
+            *[f"o{i} + p{i} as o{i}" for i in every])
+        points = points.drop("parent")
+        targets, previous = wanted(deeper), largest
+        largest = targets.agg(
+            F.max(F.when(F.col("lo") < F.col("hi"), F.col("size")))).first()[0]
+        if largest == previous:
+            break
+
+    targets = targets.drop("lo", "hi", "size")
+    if small:
         # the scan keeps only rows of wanted buckets, before anything is shuffled
         near = points.join(F.broadcast(targets.select(*on)), on, "left_semi")
         ties = near.groupBy(*on, "v").agg(*counts).join(F.broadcast(targets), on)
@@ -156,7 +190,7 @@ def _by_rank(df: DataFrame, keys: Sequence[str], stats: Sequence[Stat],
 
     up = "(partition by k, m, b order by v rows unbounded preceding)"
     ranked = ties.selectExpr(
-        "k", "m", "v", *[f"n{i}" for i in every], *[f"c{i}" for i in every],
+        "k", "m", "v", *totals, *[f"c{i}" for i in every],
         *[f"o{i} + sum(c{i}) over {up} - c{i} as r{i}" for i in every])
 
     def value(stat: Stat) -> str:
