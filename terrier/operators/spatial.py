@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from terrier.functions import geometry as G
 from terrier.functions.projection import to_lambert
 from terrier.operators.skew import BROADCAST_ROWS, LIGHT_ROWS, attach
+from terrier.session import staged
 
 
 def project_points(df: DataFrame, lon: str = "longitude", lat: str = "latitude",
@@ -23,29 +24,29 @@ def _cell(c: Column, size: float) -> Column:
     return F.floor(c / size)
 
 
-def zone_cells(zones: DataFrame, geom: str, order: str, columns: Sequence[str], size: float,
+def candidates(zones: DataFrame, geom: str, order: str, columns: Sequence[str], size: float,
                by: Sequence[str] = ()) -> DataFrame:
-    """Per grid cell, its candidate zones in ``order``.
+    """One row per (grid cell, zone that meets it): ``cx``, ``cy``, ``seq``, ``zone``, ``es``.
 
     A cell that no edge enters lies inside or outside as a whole, so it carries
     no edges. Other cells carry the edges of their row of cells that reach them
     or lie to the right, all that a ray to the right can meet. Exact copies of a
     zone are folded into the first one, which is the one a point would get.
     """
-    seq, payload = F.col(order).alias("__seq"), F.struct(*columns).alias("zone")
+    seq, payload = F.col(order).alias("seq"), F.struct(*columns).alias("zone")
     zones = (
         zones.where(F.col(geom).isNotNull()).select(*by, F.col(geom).alias("__g"), seq, payload)
-        .groupBy(*by, "__g").agg(F.min(F.struct("__seq", "zone")).alias("first"))
+        .groupBy(*by, "__g").agg(F.min(F.struct("seq", "zone")).alias("first"))
         .select(*by, F.col("first.*"), G.edges(F.col("__g")).alias("es"),
                 G.bbox(F.col("__g")).alias("box"))
     )
-    id_columns = [*by, "__seq", "zone"]
+    ids = [*by, "seq", "zone", "box"]
     # edges by row of cells: a row holds few of a zone's edges
     bands = (
-        zones.select(*id_columns, "box", F.explode("es").alias("e"))
+        zones.select(*ids, F.explode("es").alias("e"))
         .withColumn("cy", F.explode(F.sequence(
             _cell(F.least("e.ay", "e.by"), size), _cell(F.greatest("e.ay", "e.by"), size))))
-        .groupBy(*id_columns, "box", "cy").agg(F.collect_list("e").alias("es"))
+        .groupBy(*ids, "cy").agg(F.collect_list("e").alias("es"))
         .withColumn("cx", F.explode(F.sequence(
             _cell(F.col("box.minx"), size), _cell(F.col("box.maxx"), size))))
     )
@@ -55,37 +56,53 @@ def zone_cells(zones: DataFrame, geom: str, order: str, columns: Sequence[str],
     middle = F.pmod(G.crossings(F.col("es"), left + size / 2, (F.col("cy") + 0.5) * F.lit(size)), 2)
     nothing = F.filter("es", lambda e: F.lit(False))
     ahead = F.filter("es", lambda e: F.greatest(e["ax"], e["bx"]) >= left)
-    cells = (
+    return (
         bands.withColumn("entered", entered)
         .withColumn("inside", ~F.col("entered") & (middle == 1))
         .where(F.col("entered") | F.col("inside"))
-        .withColumn("es", F.when(F.col("entered"), ahead).otherwise(nothing))
-    )
-    return cells.groupBy(*by, "cx", "cy").agg(F.sort_array(F.collect_list(F.struct(
-        F.col("__seq").alias("seq"), "inside", "zone", "es"))).alias("zones"))
+        .select(*by, "cx", "cy", "seq", "inside", "zone",
+                F.when(F.col("entered"), ahead).otherwise(nothing).alias("es")))
 
 
 def point_in_zone(points: DataFrame, zones: DataFrame, x: str, y: str, geom: str, order: str,
                   columns: Sequence[str], salt_by: Sequence[str], size: float,
                   by: Sequence[str] = (), max_rows: int = BROADCAST_ROWS,
-                  light_rows: int = LIGHT_ROWS) -> DataFrame:
+                  light_rows: int = LIGHT_ROWS, crowd: int = 256) -> DataFrame:
     """Add the ``columns`` of the first zone, in ``order``, that holds each point.
 
     A point on a border is in no zone. Every point stays one row; one without a
     zone gets nulls. ``by`` restricts a point to zones with the same values there.
+    A cell with more than ``crowd`` candidates is dealt out over several lookups,
+    so no lookup row grows with the number of zones that overlap.
     """
-    cells = zone_cells(zones, geom, order, columns, size, by)
-    placed = points.withColumns({"cx": _cell(F.col(x), size), "cy": _cell(F.col(y), size)})
+    cell = [*by, "cx", "cy"]
+    found = staged(candidates(zones, geom, order, columns, size, by))
+    crowded = staged(found.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / crowd).alias("deals"))
+                     .where("deals > 1"))
+    rounds = crowded.agg(F.max("deals")).first()[0] or 1
+    if rounds > 1:
+        found = attach(found, crowded, cell, ["seq"], max_rows=max_rows, light_rows=light_rows)
+        deal = F.pmod(F.xxhash64("seq"), F.coalesce("deals", F.lit(1))).alias("deal")
+        found = found.select(*cell, "seq", "inside", "zone", "es", deal)
     weight = F.aggregate(F.transform("zones", lambda z: F.size(z["es"]) * 32 + 64),
                          F.lit(0), lambda acc, n: acc + n)
-    joined = attach(placed, cells, [*by, "cx", "cy"], salt_by, row_bytes=weight,
-                    max_rows=max_rows, light_rows=light_rows)
     px, py = F.col(x), F.col(y)
 
     def holds(z: Column) -> Column:
         odd = F.pmod(G.crossings(z["es"], px, py), 2) == 1
         return (z["inside"] | odd) & ~G.touches(z["es"], px, py)
 
-    hit = F.get(F.filter("zones", holds), F.lit(0))["zone"]
-    return (joined.withColumn("__hit", hit)
-            .select(*points.columns, *[F.col(f"__hit.{c}").alias(c) for c in columns]))
+    placed = points.withColumns({"cx": _cell(px, size), "cy": _cell(py, size)})
+    best = None
+    for i in range(rounds):
+        dealt = found if rounds == 1 else found.where(F.col("deal") == i)
+        cells = dealt.groupBy(*cell).agg(F.sort_array(F.collect_list(
+            F.struct("seq", "inside", "zone", "es"))).alias("zones"))
+        placed = attach(placed, cells, cell, salt_by, row_bytes=weight, max_rows=max_rows,
+                        light_rows=light_rows)
+        hit = F.get(F.filter("zones", holds), F.lit(0))
+        hit = F.when(hit.isNotNull(), F.struct(hit["seq"].alias("seq"), hit["zone"].alias("zone")))
+        # least() passes over nulls and compares by order first
+        placed = placed.withColumn("__hit", hit if best is None else F.least("__hit", hit)).drop("zones")
+        best = "__hit"
+    return placed.select(*points.columns, *[F.col(f"__hit.zone.{c}").alias(c) for c in columns])

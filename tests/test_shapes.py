@@ -62,10 +62,9 @@ def test_points_in_zones(spark):
     points = spark.createDataFrame([(i, float(x), float(y)) for i, x, y, _ in pts],
                                    "pid int, x double, y double")
     want = [(i, z) for i, _, _, z in pts]
-    for size in (1.0, 3.0, 100.0):
-        for kw in ({}, {"max_rows": 0, "light_rows": 3}):
-            out = point_in_zone(points, zones, "x", "y", "geom", "id", ["id"], ["pid"], size, **kw)
-            assert rows(out, "pid", "id") == want, (size, kw)
+    for size, kw in ((1.0, {}), (3.0, {"max_rows": 0, "light_rows": 3}), (100.0, {"crowd": 2})):
+        out = point_in_zone(points, zones, "x", "y", "geom", "id", ["id"], ["pid"], size, **kw)
+        assert rows(out, "pid", "id") == want, (size, kw)
 
 
 def test_points_against_brute_force(spark):
