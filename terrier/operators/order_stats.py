@@ -61,26 +61,34 @@ def nearest(name: str, value: str, q: float, subset: str | None = None) -> Stat:
 
 def order_stats(df: DataFrame, keys: Sequence[str], stats: Sequence[Stat],
                 subsets: Mapping[str, Column] | None = None, strategy: str = "auto",
-                array_rows: int = ARRAY_ROWS, resolution: int = RESOLUTION,
-                bucket_rows: int = BUCKET_ROWS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``keys`` plus one column per statistic. Null values are skipped.
+                aggs: Sequence[Column] = (), array_rows: int = ARRAY_ROWS,
+                resolution: int = RESOLUTION, bucket_rows: int = BUCKET_ROWS,
+                broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``keys``, one column per statistic, and ``aggs``: other named aggregates.
 
-    Null keys form groups. A group without any value for a statistic gets null;
-    ``rank`` leaves out groups that have no value at all.
+    Null values are skipped and null keys form groups. A group without any value
+    for a statistic gets null there; under ``rank`` without ``aggs`` it is left out.
     """
     subsets = dict(subsets or {})
+
+    def rank(rows: DataFrame) -> DataFrame:
+        ranked = _by_rank(rows, keys, stats, subsets, resolution, bucket_rows, broadcast_rows)
+        if not aggs:
+            return ranked
+        # two tables with one row per group
+        plain = rows.groupBy(*keys).agg(*aggs).withColumn("__k", key_struct(keys))
+        return plain.join(ranked.withColumn("__k", key_struct(keys)).drop(*keys),
+                          "__k", "left").drop("__k")
+
     if strategy == "arrays":
-        return _by_arrays(df, keys, stats, subsets)
+        return _by_arrays(df, keys, stats, subsets, aggs)
     if strategy == "rank":
-        return _by_rank(df, keys, stats, subsets, resolution, bucket_rows, broadcast_rows)
+        return rank(df)
     if strategy != "auto":
         raise ValueError(f"strategy must be auto, arrays or rank, not {strategy!r}")
     light, heavy = split_heavy(df, keys, array_rows)
-    out = _by_arrays(light, keys, stats, subsets)
-    if heavy is None:
-        return out
-    return out.unionByName(
-        _by_rank(heavy, keys, stats, subsets, resolution, bucket_rows, broadcast_rows))
+    out = _by_arrays(light, keys, stats, subsets, aggs)
+    return out if heavy is None else out.unionByName(rank(heavy))
 
 
 def _pairs(stats: Sequence[Stat]) -> dict[tuple[str, str | None], str]:
@@ -91,7 +99,7 @@ def _pairs(stats: Sequence[Stat]) -> dict[tuple[str, str | None], str]:
 
 
 def _by_arrays(df: DataFrame, keys: Sequence[str], stats: Sequence[Stat],
-               subsets: Mapping[str, Column]) -> DataFrame:
+               subsets: Mapping[str, Column], aggs: Sequence[Column]) -> DataFrame:
     arrays = _pairs(stats)
     sorted_values = [
         F.array_sort(F.collect_list(
@@ -99,14 +107,15 @@ def _by_arrays(df: DataFrame, keys: Sequence[str], stats: Sequence[Stat],
             else F.when(subsets[subset], F.col(value).cast("double")))).alias(a)
         for (value, subset), a in arrays.items()
     ]
-    grouped = df.groupBy(*keys).agg(*sorted_values)
+    grouped = df.groupBy(*keys).agg(*aggs, *sorted_values)
 
     def pick(stat: Stat) -> str:
         a = arrays[stat.value, stat.subset]
         lo, hi = (f"get({a}, cast({r} as int))" for r in stat.ranks(f"size({a})"))
         return lo if not stat.median else f"({lo} + {hi}) / 2"
 
-    return grouped.select(*keys, *[F.expr(pick(s)).alias(s.name) for s in stats])
+    return grouped.select("*", *[F.expr(pick(s)).alias(s.name) for s in stats]).drop(
+        *arrays.values())
 
 
 def _bucket(v: str, resolution: int) -> str:

@@ -15,14 +15,11 @@ from terrier.operators.skew import BROADCAST_ROWS, attach
 
 def iqr_fences(df: DataFrame, key: str, columns: Sequence[str], k: float = 1.5,
                array_rows: int = ARRAY_ROWS) -> DataFrame:
-    """Per area: ``group_rows`` and, per column, the fence ``{c}_min`` .. ``{c}_max``."""
+    """Per known area: ``group_rows`` and, per column, the fence ``{c}_min`` .. ``{c}_max``."""
     stats = [s for c in columns for s in (nearest(f"{c}_q1", c, 0.25), nearest(f"{c}_q3", c, 0.75))]
-    quartiles = order_stats(df, [key], stats, array_rows=array_rows)
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("group_rows"))
-    # both sides have one row per area; a null area has no fence and is left out
-    return sizes.join(quartiles, key).select(
-        key, "group_rows",
-        *[e.alias(n) for c in columns for n, e in _fence(c, k)])
+    sized = order_stats(df.where(F.col(key).isNotNull()), [key], stats,
+                        aggs=[F.count(F.lit(1)).alias("group_rows")], array_rows=array_rows)
+    return sized.select(key, "group_rows", *[e.alias(n) for c in columns for n, e in _fence(c, k)])
 
 
 def _fence(column: str, k: float) -> list[tuple[str, Column]]:

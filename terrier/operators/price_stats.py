@@ -71,15 +71,11 @@ def price_stats(df: DataFrame, keys: Sequence[str], roles: PriceRoles = PriceRol
         F.avg(F.when(house, price)).alias("prix_m2_maison_mean"),
         F.avg(F.when(flat, price)).alias("prix_m2_appart_mean"),
     ]
-    # one min_by per column keeps fixed-width buffers out of a struct buffer's way
+    # the struct keeps a null first value, which min_by alone would skip
     aggs += [F.min_by(F.struct(c), F.struct(*order_by)).alias(f"__{c}") for c in firsts]
-    plain = df.groupBy(*keys).agg(*aggs)
-    ranked = order_stats(df, keys, _quantiles(roles), {"house": house, "flat": flat},
-                         strategy=strategy, array_rows=array_rows)
-    key = F.struct(*keys)
-    joined = plain.withColumn("__k", key).join(
-        ranked.withColumn("__k", key).drop(*keys), "__k", "left")
-    return joined.select(*keys, *STAT_COLUMNS, *[F.col(f"__{c}")[c].alias(c) for c in firsts])
+    out = order_stats(df, keys, _quantiles(roles), {"house": house, "flat": flat}, strategy, aggs,
+                      array_rows=array_rows)
+    return out.select(*keys, *STAT_COLUMNS, *[F.col(f"__{c}")[c].alias(c) for c in firsts])
 
 
 def in_spans(df: DataFrame, spans: Mapping[str, date | None], day: str) -> DataFrame:

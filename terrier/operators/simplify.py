@@ -6,7 +6,7 @@ import sys
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,22 +46,33 @@ def thin_ring(xy: np.ndarray, tolerance: float) -> np.ndarray:
     return keep
 
 
+def thin_geometries(shapes: pa.StructArray, tolerance: float) -> pa.StructArray:
+    """Thin every ring of an Arrow batch; works on the flat vertex arrays."""
+    parts = shapes.field("parts")
+    rings = parts.values.values
+    if len(rings) == 0:
+        return shapes
+    vertices = rings.values
+    xy = np.column_stack([vertices.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y")])
+    ends = rings.offsets.to_numpy()
+    keep = np.zeros(len(xy), dtype=bool)
+    for lo, hi in zip(ends[:-1], ends[1:]):
+        keep[lo + thin_ring(xy[lo:hi], tolerance)] = True
+    kept_before = np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)
+    thinner = pa.ListArray.from_arrays(pa.array(kept_before[ends]), vertices.filter(pa.array(keep)))
+    nested = pa.ListArray.from_arrays(
+        parts.offsets, pa.ListArray.from_arrays(parts.values.offsets, thinner))
+    return pa.StructArray.from_arrays([shapes.field("srid"), nested], names=["srid", "parts"])
+
+
 def simplify(df: DataFrame, geom: str, tolerance: float) -> DataFrame:
     """Simplify a geometry column; rings are independent and keep their ends.
 
     The result has a subset of the vertices, not the same ones as other tools.
     """
-    @F.pandas_udf(G.GEOMETRY)
-    def thin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"srid": frame["srid"], "parts": _by_part(frame["parts"], tolerance)})
+    @F.arrow_udf(G.GEOMETRY)
+    def thin(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield thin_geometries(batch, tolerance)
 
     return df.withColumn(geom, F.when(F.col(geom).isNotNull(), thin(F.col(geom))))
-
-
-def _by_part(column: pd.Series, tolerance: float) -> list:
-    def ring(vertices: list) -> list:
-        xy = np.array([(v["x"], v["y"]) for v in vertices], dtype=float)
-        return [vertices[i] for i in thin_ring(xy, tolerance)]
-    return [None if parts is None else [[ring(r) for r in part] for part in parts]
-            for parts in column]

@@ -56,8 +56,8 @@ def _level(name: str) -> Query:
     keys = ", ".join(level.keys)
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return coarse(level_stats(transactions(spark, folder), level, ROLES,
-                                   order_by=["sale"]), *MEANS)
+        tx = transactions(spark, folder)
+        return coarse(level_stats(tx, level, ROLES, order_by=["sale"]), *MEANS)
 
     heads = [f"'{v}' AS {n}" for n, v in level.constants.items()] + list(level.keys)
     heads += [f"arg_min({c}, sale) AS {c}" for c in level.firsts]
@@ -108,7 +108,8 @@ def _quantile_nearest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _price_stats(spark: SparkSession, folder: str) -> DataFrame:
-    return coarse(price_stats(transactions(spark, folder), ["department", "year"], ROLES), *MEANS)
+    tx = transactions(spark, folder)
+    return coarse(price_stats(tx, ["department", "year"], ROLES), *MEANS)
 
 
 def _span_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -123,14 +124,16 @@ def _top_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _region_report(spark: SparkSession, folder: str) -> DataFrame:
-    stats = price_stats(transactions(spark, folder), ["department"], ROLES, strategy="rank")
+    tx = transactions(spark, folder)
+    stats = price_stats(tx, ["department"], ROLES, strategy="rank")
     return top_by(stats, "prix_m2_median", 5, "department").select(
         "department", "nb_transactions", "nb_maisons", "nb_appartements", "prix_m2_median",
         "prix_m2_ajuste_median")
 
 
 def _filled_report(spark: SparkSession, folder: str) -> DataFrame:
-    stats = price_stats(transactions(spark, folder), ["commune"], ROLES)
+    tx = transactions(spark, folder)
+    stats = price_stats(tx, ["commune"], ROLES)
     return top_by(stats, "prix_m2_median", 10, "commune", min_rows=50).select(
         "commune", "nb_transactions", "prix_m2_median")
 

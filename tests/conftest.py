@@ -11,11 +11,10 @@ from terrier.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, "terrier-tests")
-    session.conf.set("spark.sql.shuffle.partitions", "4")
-    # on a few rows, compiling plans is most of the time
-    session.conf.set("spark.sql.codegen.wholeStage", "false")
-    session.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
+    # on a few rows, compiling is most of the time: keep to the quick compiler
+    session = local_session(8, "terrier-tests", **{
+        "spark.sql.shuffle.partitions": "4",
+        "spark.driver.extraJavaOptions": "-XX:TieredStopAtLevel=1"})
     yield session
     session.stop()
 
