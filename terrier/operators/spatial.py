@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -77,10 +78,11 @@ def point_in_zone(points: DataFrame, zones: DataFrame, x: str, y: str, geom: str
     """
     cell = [*by, "cx", "cy"]
     found = staged(candidates(zones, geom, order, columns, size, by))
-    crowded = staged(found.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / crowd).alias("deals"))
-                     .where("deals > 1"))
-    rounds = crowded.agg(F.max("deals")).first()[0] or 1
+    sizes = found.groupBy(*cell).agg(F.count(F.lit(1)).alias("size"))
+    rounds = max(1, math.ceil((sizes.agg(F.max("size")).first()[0] or 0) / crowd))
     if rounds > 1:
+        crowded = sizes.where(F.col("size") > crowd).select(
+            *cell, F.ceil(F.col("size") / crowd).alias("deals"))
         found = attach(found, crowded, cell, ["seq"], max_rows=max_rows, light_rows=light_rows)
         deal = F.pmod(F.xxhash64("seq"), F.coalesce("deals", F.lit(1))).alias("deal")
         found = found.select(*cell, "seq", "inside", "zone", "es", deal)
