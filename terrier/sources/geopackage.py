@@ -77,8 +77,17 @@ class RowRange(InputPartition):
 
 class GeoPackageReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.table = options["path"], options["table"]
+        self.path = options["path"]
         self.rows = int(options.get("rowsperpartition", 5000))
+        with connect(self.path) as con:
+            shapes = dict(con.execute("SELECT table_name, column_name FROM gpkg_geometry_columns"))
+        # a file with a single layer needs no table name
+        self.table = options.get("table")
+        if self.table not in shapes and len(shapes) == 1:
+            self.table = next(iter(shapes))
+        if self.table not in shapes:
+            raise ValueError(f"no layer {self.table!r} in {self.path}; it has {sorted(shapes)}")
+        self.shape = shapes[self.table]
 
     def partitions(self) -> list[InputPartition]:
         with connect(self.path) as con:
@@ -90,14 +99,12 @@ class GeoPackageReader(DataSourceReader):
 
     def read(self, partition: RowRange) -> Iterator[tuple]:
         with connect(self.path) as con:
-            (shape,) = con.execute("SELECT column_name FROM gpkg_geometry_columns "
-                                   "WHERE table_name = ?", (self.table,)).fetchone()
             rows = con.execute(f"SELECT * FROM {quoted(self.table)} WHERE rowid >= ? AND rowid < ?",
                                (partition.low, partition.high))
             names = [d[0] for d in rows.description]
             for row in rows:
                 cells = dict(zip(names, row))
-                geometry = decode_geometry(cells.pop(shape))
+                geometry = decode_geometry(cells.pop(self.shape))
                 yield {k: None if v is None else str(v) for k, v in cells.items()}, geometry
 
 

@@ -240,6 +240,7 @@ def test_geopackage_layer(spark, tmp_path):
     assert rows(out, "code_region", "nom_region_geo", G.area(F.col("geom")).alias("a")) == [
         ("11", "Île", 4.75), ("84", None, None)]
     assert out.first().geom.srid == 2154
+    assert B.scan_layer(spark, path, "arrondissement_municipal").count() == 2   # the only layer
 
 
 def test_layers_from_feature_lines_and_parquet(spark, tmp_path):
