@@ -25,14 +25,21 @@ LINE_COLUMNS = tuple(dict.fromkeys((
 def clean_lines(lines: DataFrame, mode: str) -> DataFrame:
     """Undo duplication by land use, flag outbuildings, keep homes, share out the price."""
     order = ["seq"]
-    rows = groups.keep_first_category(lines, S.USE_GROUP, "nature_culture", order, mode)
-    rows = groups.flag_group(rows, S.OUTBUILDING_GROUP, F.col("type_local") == S.OUTBUILDING,
-                             "has_dependency", order, mode)
+
+    def settled(rows: DataFrame) -> DataFrame:
+        # the heavy forms read their input twice, so their steps must not pile up
+        return staged(rows) if mode == "heavy" else rows
+
+    rows = settled(groups.keep_first_category(lines, S.USE_GROUP, "nature_culture", order, mode))
+    rows = settled(groups.flag_group(
+        rows, S.OUTBUILDING_GROUP, F.col("type_local") == S.OUTBUILDING, "has_dependency", order,
+        mode))
     rows = rows.where(C.relevant(
         "nature_mutation", S.SALE_NATURES, "type_local", (S.HOUSE, S.FLAT), "valeur_fonciere",
         S.MIN_VALUE, "surface_reelle_bati", ("latitude", "longitude")))
-    rows = groups.group_totals(rows, S.DISPOSITION, {"surface_batie_totale": "surface_reelle_bati"},
-                               {"valeur_moyenne": "valeur_fonciere"}, order, mode)
+    rows = settled(groups.group_totals(
+        rows, S.DISPOSITION, {"surface_batie_totale": "surface_reelle_bati"},
+        {"valeur_moyenne": "valeur_fonciere"}, order, mode))
     return groups.allocate(rows, "valeur_moyenne", "surface_batie_totale", "surface_reelle_bati",
                            "prix_de_vente")
 
