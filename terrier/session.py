@@ -27,15 +27,21 @@ def local_session(cores: int | str = 8, name: str = "terrier", **conf: str) -> S
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; one of our own only where none is named."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a ``local[...]`` session, whose executors are threads of the driver,
+    gets a folder of its own where none is named; a cluster session must name one.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         base = tempfile.mkdtemp(prefix="terrier-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
-def staged(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     The result survives lost executors, is computed once however often it is
@@ -44,5 +50,5 @@ def staged(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/terrier/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=list(partition_by) or None)
     return spark.read.schema(df.schema).parquet(path)
