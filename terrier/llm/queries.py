@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrier.llm import exact_dedup, mixing, secrets
+from terrier.llm import bpe, exact_dedup, mixing, secrets
 from terrier.queries.tables import Query
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -20,6 +22,24 @@ def labels(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(LABELS).parquet(f"{folder}/labels.parquet")
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file of the registered queries; ``TERRIER_TOKENIZER`` names another."""
+    if "TERRIER_TOKENIZER" in os.environ:
+        return os.environ["TERRIER_TOKENIZER"]
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Token digests of every whole text and of what its tokens decode to."""
+    docs = documents(spark, folder)
+    codec = bpe.Codec(spark, tokenizer_path()).fit_lexicon(docs)
+    encoded = codec.encode(docs.select("doc_id", "text"), drop=("text",))
+    return codec.decode(encoded).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the document that stays for its text."""
     return exact_dedup.exact_duplicates(documents(spark, folder))
@@ -92,6 +112,7 @@ def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_bpe": Query(op1_bpe),
     "op2_exact_dedup": Query(op2_exact_dedup, OP2_SQL),
     "op4_mixing": Query(op4_mixing, OP4_SQL),
     "op9_secrets": Query(op9_secrets),
