@@ -83,11 +83,8 @@ class WordBpe:
         return self._spaces.findall(text) if self._separators.search(text) else text.split()
 
     def words(self, chunk: str) -> list[str]:
-        """The words of one chunk. Letters newer than the interpreter's Unicode tables are no letters."""
-        if chunk.isascii():
-            return [chunk] if chunk.isalpha() else self.pieces.findall(chunk)
-        known = "".join("\ufffe" if unicodedata.category(c) == "Cn" else c for c in chunk)
-        return [chunk[m.start(): m.end()] for m in self.pieces.finditer(known)]
+        """The words of one chunk, by the Unicode tables of the ``regex`` module."""
+        return [chunk] if chunk.isascii() and chunk.isalpha() else self.pieces.findall(chunk)
 
     def merge(self, word: str) -> tuple[int, ...]:
         """Ids of one word: the lowest-ranked pair merges first, from the left."""
