@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrier.llm import bpe, exact_dedup, mixing, secrets
+from terrier.llm import bpe, exact_dedup, mixing, near_dedup, secrets
 from terrier.queries.tables import Query
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -91,6 +91,35 @@ FROM runs
 """
 
 
+def op5_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the smallest id among its near copies."""
+    return near_dedup.near_duplicates(documents(spark, folder))
+
+
+OP5_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sets x JOIN sets y ON x.s = y.s AND x.doc_id <> y.doc_id
+  GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+  WHERE 100 * c >= 75 * (p.n + q.n - c)),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least_id AS component_id, d.doc_id = least_id AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id)
+JOIN (SELECT a AS doc_id, min(b) AS least_id FROM reach GROUP BY a) USING (doc_id)
+"""
+
+
 def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets of every document; a source is an owner and each of its documents a repository."""
     owner = F.col("source")
@@ -115,5 +144,6 @@ QUERIES: dict[str, Query] = {
     "op1_bpe": Query(op1_bpe),
     "op2_exact_dedup": Query(op2_exact_dedup, OP2_SQL),
     "op4_mixing": Query(op4_mixing, OP4_SQL),
+    "op5_near_dedup": Query(op5_near_dedup, OP5_SQL),
     "op9_secrets": Query(op9_secrets),
 }
