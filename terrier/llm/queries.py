@@ -7,7 +7,17 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrier.llm import bpe, exact_dedup, mixing, near_dedup, secrets
+from terrier.llm import (
+    bpe,
+    exact_dedup,
+    language_id,
+    language_model,
+    mixing,
+    near_dedup,
+    quality,
+    secrets,
+)
+from terrier.llm.common import held_out
 from terrier.queries.tables import Query
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -120,6 +130,28 @@ JOIN (SELECT a AS doc_id, min(b) AS least_id FROM reach GROUP BY a) USING (doc_i
 """
 
 
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Expected grade of every document, and whether it is likely good."""
+    docs = documents(spark, folder)
+    model = quality.train(docs, quality.graded(labels(spark, folder)))
+    return quality.rate(docs, model, ["doc_id"], wanted=2).withColumn(
+        "kept", F.col("tail_probability") >= quality.KEEP_FROM)
+
+
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learned from three quarters of them."""
+    docs = documents(spark, folder)
+    model = language_id.train(docs.filter(~held_out(4)))
+    return language_id.identify(docs, model, ["doc_id", held_out(4).alias("held_out")])
+
+
+def op10_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    """Log10 probability of every document, learned from six sevenths of them."""
+    docs = documents(spark, folder)
+    model = language_model.train(docs.filter(~held_out(7)))
+    return language_model.score(docs, model, ["doc_id", held_out(7).alias("held_out")])
+
+
 def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets of every document; a source is an owner and each of its documents a repository."""
     owner = F.col("source")
@@ -145,5 +177,8 @@ QUERIES: dict[str, Query] = {
     "op2_exact_dedup": Query(op2_exact_dedup, OP2_SQL),
     "op4_mixing": Query(op4_mixing, OP4_SQL),
     "op5_near_dedup": Query(op5_near_dedup, OP5_SQL),
+    "op6_quality": Query(op6_quality),
+    "op8_language_id": Query(op8_language_id),
     "op9_secrets": Query(op9_secrets),
+    "op10_language_model": Query(op10_language_model),
 }
