@@ -17,7 +17,7 @@ So no pair of a bucket is lost, and a bucket of near copies never emits all its
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -189,8 +189,11 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
-def _links(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Confirmed links between classes (id, bands), enough of them to tell the components."""
+def linked(classes: DataFrame, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Confirmed links (a < b) between classes (id, bands), enough to tell the components.
+
+    ``confirm`` keeps of distinct, staged pairs those that are alike.
+    """
     each = classes.select("id", F.posexplode("bands").alias("band", "value")).select(
         "id", F.xxhash64("band", "value").alias("key"))
     buckets = each.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"),
@@ -200,7 +203,7 @@ def _links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     def stars(pivot: str) -> DataFrame:
         return members.filter(F.col("id") != F.col(pivot)).select(
             F.least("id", pivot).alias("a"), F.greatest("id", pivot).alias("b"))
-    links = staged(_confirmed(staged(stars("low").union(stars("high")).distinct()), docs))
+    links = staged(confirm(staged(stars("low").union(stars("high")).distinct())))
 
     # two pivots have met all pairs of up to three members
     crowded = members.filter("members > 3").select("key", "id", "members")
@@ -218,7 +221,7 @@ def _links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     found = (blocks.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "id")
              .select("key", "left", "right", "part", "id", "label", "bands").mapInArrow(_across, "a long, b long"))
     more = staged(found.distinct().join(links, ["a", "b"], "left_anti"))
-    return links if more.isEmpty() else links.union(_confirmed(more, docs))
+    return links if more.isEmpty() else links.union(confirm(more))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -237,7 +240,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     least = staged(known.groupBy("set").agg(F.min("doc_id").alias("id")))
     classes = staged(known.join(least, [known["set"] == least["set"], known.doc_id == least.id], "left_semi")
                      .select(F.col("doc_id").alias("id"), "bands").dropDuplicates(["id"]))
-    roots = components(_links(classes, base))
+    roots = components(linked(classes, lambda pairs: _confirmed(pairs, base)))
     found = least.join(roots, least.id == roots.node, "left").select(
         "set", F.coalesce("root", "id").alias("component"))
     out = rows.join(staged(found), "set", "left")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terrier.llm import (
     bpe,
+    edit_fingerprint,
     exact_dedup,
     language_id,
     language_model,
@@ -138,6 +139,11 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
         "kept", F.col("tail_probability") >= quality.KEEP_FROM)
 
 
+def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Edit fingerprints of every document and of its edited text."""
+    return edit_fingerprint.fingerprint_documents(documents(spark, folder))
+
+
 def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """The language of every document, learned from three quarters of them."""
     docs = documents(spark, folder)
@@ -178,6 +184,7 @@ QUERIES: dict[str, Query] = {
     "op4_mixing": Query(op4_mixing, OP4_SQL),
     "op5_near_dedup": Query(op5_near_dedup, OP5_SQL),
     "op6_quality": Query(op6_quality),
+    "op7_fingerprints": Query(op7_fingerprints),
     "op8_language_id": Query(op8_language_id),
     "op9_secrets": Query(op9_secrets),
     "op10_language_model": Query(op10_language_model),
