@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from terrier.llm.lexicon import Lexicon, compile_words
 from terrier.session import scratch_dir, staged
 
-#: A word is compiled if it makes up this share of all words or more: at most 100,000 words.
-LEXICON_RATE = 1e-5
+#: A word is compiled if it makes up this share of all words or more: at most 1,000,000 words.
+LEXICON_RATE = 1e-6
 #: Characters worked on at once, and texts' chunks remembered by a worker.
-SLICE_CHARS, MEMO_ENTRIES = 2_000_000, 300_000
+SLICE_CHARS, MEMO_ENTRIES = 1_000_000, 150_000
 #: Distinct words a counting task holds before it hands its counts on.
 COUNT_ENTRIES = 200_000
 
@@ -90,19 +90,22 @@ class WordBpe:
         """Ids of one word: the lowest-ranked pair merges first, from the left."""
         parts = [self.symbols[b] for b in word.encode("utf-8", "surrogatepass")]
         parts[-1] += self.end
-        ranks, vocab = self.ranks, self.vocab
         if len(parts) > 48:
             return self._merge_long(parts)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                rank = ranks.get((parts[i], parts[i + 1]))
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
+        none, get = len(self.ranks), self.ranks.get
+        order = [get(pair, none) for pair in zip(parts, parts[1:])]
+        while order:
+            best = min(order)
+            if best == none:
                 break
+            at = order.index(best)
             parts[at: at + 2] = [parts[at] + parts[at + 1]]
-        return tuple(vocab[p] for p in parts if p in vocab)
+            del order[at]
+            if at < len(order):
+                order[at] = get((parts[at], parts[at + 1]), none)
+            if at:
+                order[at - 1] = get((parts[at - 1], parts[at]), none)
+        return tuple([self.vocab[p] for p in parts if p in self.vocab])
 
     def _merge_long(self, parts: list[str | None]) -> tuple[int, ...]:
         """The same with a heap and links, for words of any length."""
@@ -125,17 +128,15 @@ class WordBpe:
         return tuple(self.vocab[p] for p in parts if p is not None and p in self.vocab)
 
 
-def slices(texts: list[str | None]) -> Iterator[list[str]]:
-    """Texts in runs of about ``SLICE_CHARS`` characters, null as empty."""
-    run, held = [], 0
-    for text in texts:
-        run.append(text or "")
+def slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """A batch in runs of about ``SLICE_CHARS`` characters of its last column, null as empty."""
+    run, held, start = [], 0, 0
+    for i, value in enumerate(batch.column(batch.num_columns - 1)):
+        run.append(value.as_py() or "")
         held += len(run[-1])
-        if held >= SLICE_CHARS:
-            yield run
-            run, held = [], 0
-    if run:
-        yield run
+        if held >= SLICE_CHARS or i == batch.num_rows - 1:
+            yield batch.slice(start, len(run)), run
+            run, held, start = [], 0, i + 1
 
 
 def _counter(definition) -> Callable:
@@ -166,6 +167,11 @@ def word_counts(docs: DataFrame, definition, text: str = "text") -> DataFrame:
             .groupBy("word").agg(F.sum("n").alias("n")))
 
 
+def text_of_ids(ids: bytes, tokens: dict[int, str]) -> str:
+    """Tokens of packed ids, joined by blanks; ids of no token are left out."""
+    return " ".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist() if i in tokens])
+
+
 def put_file(spark: SparkSession, data: bytes) -> str:
     """Write ``data`` to the shared folder and have Spark copy it to each executor; its name there."""
     name = f"lexicon-{uuid.uuid4().hex}"
@@ -195,48 +201,48 @@ class Codec:
         self._lexicon = put_file(self._spark, compile_words((w, bpe.merge(w)) for w in words))
         return self
 
-    def encode(self, docs: DataFrame, text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
+    def encode(self, docs: DataFrame, text: str = "text", drop: tuple[str, ...] = (),
+               decoded: str | None = None) -> DataFrame:
         """``docs`` without ``drop``, and with ``n_tokens`` and ``ids``.
 
         ``ids`` is binary: ids as little-endian unsigned 32-bit integers. Null and
-        empty texts have none. Repeated rows each give a row. Columns of these two
-        names that are there already are replaced. Texts are encoded whole.
+        empty texts have none. With ``decoded``, a column of that name has what the ids
+        decode to, as ``decode`` gives it. Repeated rows each give a row. Columns of
+        these names that are there already are replaced. Texts are encoded whole.
         """
-        kept = [c for c in docs.columns if c not in (*drop, "n_tokens", "ids", "__text")]
+        more = ["n_tokens", "ids"] + [decoded] * bool(decoded)
+        kept = [c for c in docs.columns if c not in (*drop, *more)]
         source = docs.select(*kept, F.col(text).alias("__text"))
-        schema = source.drop("__text").withColumns(
-            {"n_tokens": F.lit(0).cast("long"), "ids": F.lit(b"")}).schema
+        schema = source.drop("__text").withColumns({c: v for c, v in zip(
+            more, (F.lit(0).cast("long"), F.lit(b""), F.lit("")))}).schema
         definition, lexicon = self._definition, self._lexicon
 
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bpe = WordBpe(definition.value)
             known = Lexicon(SparkFiles.get(lexicon)) if lexicon else None
             preset = {" " + t: np.uint32(i).tobytes() for t, i in bpe.specials.items()}
-            memo = dict(preset)
+            memo, words = dict(preset), {}
 
             def learn(chunks: set[str]) -> None:
                 cut = {c: bpe.words(c) for c in chunks}
-                words = list({w for ws in cut.values() for w in ws})
-                ids = dict(zip(words, known.find(words) if known else [None] * len(words)))
-                for word, found in ids.items():
-                    if found is None:
-                        ids[word] = np.array(bpe.merge(word), "<u4").tobytes()
+                new = list({w for ws in cut.values() for w in ws if w not in words})
+                for word, found in zip(new, known.find(new) if known else [None] * len(new)):
+                    words[word] = np.array(bpe.merge(word), "<u4").tobytes() if found is None else found
                 for chunk, ws in cut.items():
-                    memo[chunk] = b"".join([ids[w] for w in ws])
+                    memo[chunk] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
 
             for batch in batches:
-                out: list[bytes] = []
-                for run in slices(batch.column(batch.num_columns - 1).to_pylist()):
+                for rows, texts in slices(batch):
                     if len(memo) > MEMO_ENTRIES:
-                        memo.clear()
-                        memo.update(preset)
-                    cut = [bpe.chunks(t) for t in run]
+                        memo = dict(preset)
+                        words.clear()
+                    cut = [bpe.chunks(t) for t in texts]
                     learn(set().union(*cut).difference(memo))
-                    out += [b"".join(map(memo.__getitem__, c)) for c in cut]
-                yield pa.RecordBatch.from_arrays(
-                    batch.columns[:-1] + [pa.array([len(x) // 4 for x in out], pa.int64()),
-                                          pa.array(out, pa.binary())],
-                    batch.schema.names[:-1] + ["n_tokens", "ids"])
+                    out = [b"".join(map(memo.__getitem__, c)) for c in cut]
+                    columns = [pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())]
+                    if decoded:
+                        columns.append(pa.array([text_of_ids(x, bpe.tokens) for x in out], pa.string()))
+                    yield pa.RecordBatch.from_arrays(rows.columns[:-1] + columns, rows.schema.names[:-1] + more)
         return source.mapInArrow(encode, schema)
 
     def decode(self, encoded: DataFrame, ids: str = "ids", into: str = "decoded",
@@ -254,10 +260,7 @@ class Codec:
         def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens = WordBpe(definition.value).tokens
             for batch in batches:
-                out = []
-                for value in batch.column(batch.num_columns - 1):
-                    numbers = np.frombuffer(value.as_py() or b"", "<u4").tolist()
-                    out.append(" ".join([tokens[i] for i in numbers if i in tokens]))
+                out = [text_of_ids(v.as_py() or b"", tokens) for v in batch.column(batch.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays(batch.columns[:-1] + [pa.array(out, pa.string())],
                                                  batch.schema.names[:-1] + [into])
         return source.mapInArrow(decode, schema)

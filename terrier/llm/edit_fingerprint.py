@@ -250,15 +250,12 @@ def similar_documents(docs: DataFrame, least: float = 0.8, text: str = "text", d
                      .filter(F.size("bands") > 0))
     known = classes.select("id", "fingerprint")
 
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [likeness(x.as_py(), y.as_py()) >= least for x, y in zip(batch.column(2), batch.column(3))]
-            yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        return (pairs.join(known.toDF("a", "x"), "a").join(known.toDF("b", "y"), "b")
-                .select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"))
-    roots = components(linked(classes, confirm))
+    def like(one: bytes, other: bytes) -> bool:
+        return likeness(one.decode(), other.decode()) >= least
+
+    def items(ids: DataFrame) -> DataFrame:
+        return known.join(ids, "id", "left_semi").select("id", F.col("fingerprint").cast("binary").alias("item"))
+    roots = components(linked(classes, items, like))
     out = prints.join(least_id, "fingerprint").join(roots, F.col("first") == F.col("node"), "left")
     empty = F.size("bands") == 0
     return out.select(F.col("id").alias("doc_id"), F.when(empty, F.col("id")).otherwise(F.coalesce("root", "first")).alias("component_id"))

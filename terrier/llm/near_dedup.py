@@ -5,11 +5,11 @@ its maximum, for one evaluation per shingle. Values are banded; the candidates o
 band are confirmed on the full shingle sets.
 
 * Texts of equal shingle sets are one class, found by one grouping.
-* Star step: in a band's bucket every class is paired with two pivots only.
-  Confirmed pairs make components.
-* Block step: buckets that still hold several components, and classes no pivot has
-  met, compare their classes across components in blocks of bounded size. Only pairs
-  that the signatures find alike leave a task, and those are confirmed as well.
+* Star step: every class is paired with one other only, the lowest class of most of
+  its buckets. Confirmed pairs make components.
+* Block step: in buckets that hold several components, the classes outside the
+  largest meet all others in blocks of bounded size. Each pair is looked at once, in
+  the first band it shares, and confirmed inside the task; only links leave it.
 
 So no pair of a bucket is lost, and a bucket of near copies never emits all its pairs.
 """
@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrier.llm.common import words_of
@@ -116,112 +116,135 @@ def sketches(docs: DataFrame) -> DataFrame:
         _sketch, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, set binary, bands array<long>")
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes, held = WordHashes(), {}
+def alike(left: bytes, right: bytes) -> bool:
+    """Whether two full shingle sets (sorted, packed) are similar enough."""
+    x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
+    small, large = sorted((len(x), len(y)))
+    if not small or 100 * small < PERCENT * large:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= PERCENT * (small + large - both)
 
-    def items(doc: int, text: str) -> np.ndarray:
-        key = (doc, len(text))
-        if key not in held:
-            if len(held) >= 64:
-                held.clear()
-            held[key] = (text, shingles(text, hashes))
-        if held[key][0] != text:  # two texts under one id
-            return shingles(text, hashes)
-        return held[key][1]
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
     for batch in batches:
-        good = []
-        for a, b, x, y in zip(*(batch.column(i) for i in range(4))):
-            left, right = items(a.as_py(), x.as_py() or ""), items(b.as_py(), y.as_py() or "")
-            small, large = sorted((len(left), len(right)))
-            if not small or 100 * small < PERCENT * large:
-                good.append(False)
-                continue
-            both = len(np.intersect1d(left, right, assume_unique=True))
-            good.append(100 * both >= PERCENT * (small + large - both))
-        picked = batch.filter(pa.array(good, pa.bool_()))
-        yield picked.select(["a", "b"])
-
-
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a < b, distinct, staged) whose full shingle sets are alike enough."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    if pairs.count() * 2 <= BROADCAST_IDS:
-        ids = F.broadcast(ids)  # at most BROADCAST_IDS numbers
-    texts = docs.join(ids, docs.doc_id == F.col("id"), "left_semi")
-    kind = dict(docs.dtypes)["doc_id"]
-    return (pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-            .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-            .select("a", "b", "text_a", "text_b").mapInArrow(_confirm, f"a {kind}, b {kind}"))
-
-
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of unlike labels and like signatures within each run of (key, left, right)."""
-    def pairs(block: pa.Table) -> pa.RecordBatch | None:
-        ids, labels = (block.column(c).to_numpy() for c in ("id", "label"))
-        part = block.column("part").to_numpy()
-        if len(ids) < 2:
-            return None
-        bands = np.array(block.column("bands").to_pylist(), np.int64).view(np.uint16)
-        same = block.column("left")[0].as_py() == block.column("right")[0].as_py()
-        a, b = [], []
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([shingles(t.as_py(), hashes).tobytes() for t in batch.column(1)], pa.binary())],
+            ["id", "item"])
+
+
+def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and item, the packed shingle set, of the documents (doc_id, text) with the given ids."""
+    chosen = docs.join(ids, docs.doc_id == ids["id"], "left_semi")
+    return chosen.select("doc_id", "text").mapInArrow(_sets, "id long, item binary")
+
+
+def _across(like: Callable[[bytes, bytes], bool], agreement: float, distance: int | None):
+    """Links across labels within each run of rows of one (key, left, right)."""
+    def links(block: pa.Table) -> pa.RecordBatch | None:
+        ids, label, part = (block.column(c).to_numpy() for c in ("id", "label", "part"))
+        bands = np.array(block.column("bands").to_pylist(), np.int64)
+        items, band = block.column("item"), block.column("band")[0].as_py()
+        within = block.column("left")[0].as_py() == block.column("right")[0].as_py()
+        label, a, b = label.copy(), [], []
+        values, sketch = bands.view(np.uint16), block.column("sketch").to_numpy()
         for i in range(len(ids) - 1):
-            rest = np.flatnonzero(labels[i + 1:] != labels[i]) + i + 1
-            if not same:
+            rest = np.flatnonzero(label[i + 1:] != label[i]) + i + 1
+            if not within:
                 rest = rest[part[rest] != part[i]]
-            if len(rest):
-                alike = rest[(bands[rest] == bands[i]).mean(axis=1) >= LEAST_AGREEMENT]
-                a += [min(ids[i], ids[j]) for j in alike]
-                b += [max(ids[i], ids[j]) for j in alike]
+            same = bands[rest] == bands[i]
+            rest = rest[same.argmax(axis=1) == band] if len(rest) else rest  # a pair is looked at in its first shared band
+            if agreement and len(rest):
+                rest = rest[(values[rest] == values[i]).mean(axis=1) >= agreement]
+            if distance is not None:
+                rest = rest[np.bitwise_count((sketch[rest] ^ sketch[i]).view(np.uint64)) <= distance]
+            for j in rest.tolist():
+                if label[i] != label[j] and like(items[i].as_py(), items[j].as_py()):
+                    a.append(min(ids[i], ids[j]))
+                    b.append(max(ids[i], ids[j]))
+                    label[label == label[j]] = label[i]
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]) if a else None
 
-    held = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        held = pa.concat_tables([held, table]) if held is not None else table
-        keys = np.stack([held.column(c).to_numpy() for c in ("key", "left", "right")])
-        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-        for start, end in zip(np.append(0, cuts[:-1]), cuts):
-            if (out := pairs(held.slice(start, end - start))) is not None:
-                yield out
-        if len(cuts):
-            held = held.slice(cuts[-1])
-    if held is not None and held.num_rows and (out := pairs(held)) is not None:
-        yield out
-
-
-def linked(classes: DataFrame, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, table]) if held is not None else table
+            keys = np.stack([held.column(c).to_numpy() for c in ("key", "left", "right")])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            for start, end in zip(np.append(0, cuts[:-1]), cuts):
+                if (out := links(held.slice(start, end - start))) is not None:
+                    yield out
+            if len(cuts):
+                held = held.slice(cuts[-1])
+        if held is not None and held.num_rows and (out := links(held)) is not None:
+            yield out
+    return runs
+
+
+def linked(classes: DataFrame, items: Callable[[DataFrame], DataFrame], like: Callable[[bytes, bytes], bool],
+           agreement: float = 0.0, distance: int | None = None) -> DataFrame:
     """Confirmed links (a < b) between classes (id, bands), enough to tell the components.
 
-    ``confirm`` keeps of distinct, staged pairs those that are alike.
+    ``items`` gives id and item (binary) for a table of ids; two classes that share a
+    band are linked where ``like`` says so of their items. ``agreement`` is the share of
+    equal signature values below which ``like`` is not asked; likewise ``distance`` the
+    number of unlike bits of the column ``sketch`` (bigint) of ``classes`` above which.
     """
-    each = classes.select("id", F.posexplode("bands").alias("band", "value")).select(
-        "id", F.xxhash64("band", "value").alias("key"))
-    buckets = each.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"),
-                                      F.count(F.lit(1)).alias("members")).filter("low < high")
-    members = staged(each.join(buckets, "key"))
-
-    def stars(pivot: str) -> DataFrame:
-        return members.filter(F.col("id") != F.col(pivot)).select(
-            F.least("id", pivot).alias("a"), F.greatest("id", pivot).alias("b"))
-    links = staged(confirm(staged(stars("low").union(stars("high")).distinct())))
-
-    # two pivots have met all pairs of up to three members
-    crowded = members.filter("members > 3").select("key", "id", "members")
+    near = distance is not None
+    sketch = F.col("sketch") if near else F.lit(0).cast("long").alias("sketch")
+    apart = F.bit_count(F.col("at.sketch").bitwiseXOR(F.col("low.sketch")))
+    each = classes.select("id", sketch, F.posexplode("bands").alias("band", "value")).select(
+        F.struct("id", "sketch").alias("at"), "band", F.xxhash64("band", "value").alias("key"))
+    buckets = each.groupBy("key").agg(F.min("at").alias("low"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    members = staged(each.join(buckets, "key").select(
+        "key", "band", "members", F.col("at.id").alias("id"), F.col("low.id").alias("low"),
+        (apart <= (distance or 0)).alias("near")))
+
+    def chosen(ids: DataFrame) -> DataFrame:
+        ids = staged(ids.distinct())
+        return items(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids)
+
+    if near:  # star step: a class meets the lowest class of each of its buckets
+        stars = staged(members.filter("id <> low AND near").select("id", "low").distinct())
+        members = members.filter("members > 2")
+    else:  # it meets the lowest class of most of its buckets
+        shared = members.filter("id <> low").groupBy("id", "low").agg(F.count(F.lit(1)).alias("n"))
+        stars = staged(shared.groupBy("id").agg(F.max_by("low", F.struct("n", -F.col("low"))).alias("low")))
+    star_items = chosen(stars.select("id").union(stars.select("low")))
+
+    def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [like(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3))]
+            yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
+    links = staged(stars.join(star_items.withColumnRenamed("item", "x"), "id")
+                   .join(star_items.select(F.col("id").alias("low"), F.col("item").alias("y")), "low")
+                   .select(F.col("low").alias("a"), F.col("id").alias("b"), "x", "y").mapInArrow(confirmed, "a long, b long"))
+
+    # block step: in buckets of several components, those but the largest meet all others
     roots = components(links)
-    labelled = staged(crowded.join(roots.withColumnRenamed("node", "id"), "id", "left")
-                      .select("key", "id", "members", F.coalesce("root", "id").alias("label")))
-    mixed = (labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-             .filter("x < y").select("key"))
-    chunks = F.ceil(F.col("members") / BLOCK).cast("int")
-    part = F.pmod(F.xxhash64("id"), chunks).cast("int")
-    blocks = (labelled.join(mixed, "key").withColumn("part", part)
-              .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-              .select("key", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"),
-                      "part", "id", "label").join(classes, "id"))
-    found = (blocks.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "id")
-             .select("key", "left", "right", "part", "id", "label", "bands").mapInArrow(_across, "a long, b long"))
-    more = staged(found.distinct().join(links, ["a", "b"], "left_anti"))
-    return links if more.isEmpty() else links.union(confirm(more))
+    labelled = staged(members.join(roots.withColumnRenamed("node", "id"), "id", "left")
+                      .select("key", "band", "id", F.coalesce("root", "id").alias("label")))
+    sizes = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = staged(sizes.groupBy("key").agg(
+        F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"),
+        (F.sum("n") - F.max("n")).alias("few")).filter("few > 0"))
+    few, most = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("few", "most"))
+    in_main = F.col("label") == F.col("main")
+    part = F.when(in_main, -1 - F.pmod(F.xxhash64("id"), most)).otherwise(F.pmod(F.xxhash64("id"), few)).cast("int")
+    others = F.sequence(F.lit(0), few - 1)
+    meets = F.when(in_main, others).otherwise(
+        F.concat(others, F.transform(F.sequence(F.lit(0), most - 1), lambda j: -1 - j)))
+    own, other = F.col("part"), F.col("other")
+    left = F.when(own < 0, other).when(other < 0, own).otherwise(F.least(own, other))
+    right = F.when(own < 0, own).when(other < 0, other).otherwise(F.greatest(own, other))
+    blocks = staged(labelled.join(mixed, "key").withColumn("part", part).withColumn("other", F.explode(meets))
+                    .select("key", "band", left.alias("left"), right.alias("right"), "part", "id", "label"))
+    rows = (blocks.join(classes.select("id", "bands", sketch), "id").join(chosen(blocks.select("id")), "id")
+            .repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "id")
+            .select("key", "band", "left", "right", "part", "id", "label", "bands", "sketch", "item"))
+    return links.union(rows.mapInArrow(_across(like, agreement, distance), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -240,7 +263,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     least = staged(known.groupBy("set").agg(F.min("doc_id").alias("id")))
     classes = staged(known.join(least, [known["set"] == least["set"], known.doc_id == least.id], "left_semi")
                      .select(F.col("doc_id").alias("id"), "bands").dropDuplicates(["id"]))
-    roots = components(linked(classes, lambda pairs: _confirmed(pairs, base)))
+    roots = components(linked(classes, lambda ids: shingle_sets(base, ids), alike, LEAST_AGREEMENT))
     found = least.join(roots, least.id == roots.node, "left").select(
         "set", F.coalesce("root", "id").alias("component"))
     out = rows.join(staged(found), "set", "left")

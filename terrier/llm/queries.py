@@ -13,6 +13,7 @@ from terrier.llm import (
     exact_dedup,
     language_id,
     language_model,
+    line_dedup,
     mixing,
     near_dedup,
     quality,
@@ -45,8 +46,8 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Token digests of every whole text and of what its tokens decode to."""
     docs = documents(spark, folder)
     codec = bpe.Codec(spark, tokenizer_path()).fit_lexicon(docs)
-    encoded = codec.encode(docs.select("doc_id", "text"), drop=("text",))
-    return codec.decode(encoded).select(
+    encoded = codec.encode(docs.select("doc_id", "text"), drop=("text",), decoded="decoded")
+    return encoded.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
@@ -63,6 +64,13 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of every document, and which of them repeat an earlier one closely."""
+    found = line_dedup.document_lines(documents(spark, folder))
+    removed = F.array_join(F.col("removed").cast("array<string>"), ",")
+    return found.select("doc_id", "n_lines", "n_kept", F.sha2(removed, 256).alias("removed_sha256"))
+
+
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """How many words of every document the mix takes."""
     return mixing.mix(documents(spark, folder)).select(
@@ -181,6 +189,7 @@ def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_bpe": Query(op1_bpe),
     "op2_exact_dedup": Query(op2_exact_dedup, OP2_SQL),
+    "op3_line_dedup": Query(op3_line_dedup),
     "op4_mixing": Query(op4_mixing, OP4_SQL),
     "op5_near_dedup": Query(op5_near_dedup, OP5_SQL),
     "op6_quality": Query(op6_quality),
