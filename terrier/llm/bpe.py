@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
 import re
 import unicodedata
 import uuid
@@ -35,6 +36,14 @@ SLICE_CHARS, MEMO_ENTRIES = 1_000_000, 150_000
 COUNT_ENTRIES = 200_000
 
 
+def vocabulary_path() -> str:
+    """The vocabulary file where none is given: ``TERRIER_TOKENIZER``, or the public one installed."""
+    if "TERRIER_TOKENIZER" in os.environ:
+        return os.environ["TERRIER_TOKENIZER"]
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def byte_symbols() -> list[str]:
     """The visible character that stands for each byte in byte-level vocabularies.
 

@@ -12,7 +12,7 @@ buckets, so no task ever holds or sorts a whole source.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrier.llm.common import WORD, text_of
@@ -105,28 +105,42 @@ def contract_weights(sources: DataFrame) -> DataFrame:
         "weight", F.when(turn == 0, 3.0).when(turn == 1, 1.0).otherwise(2.0)).drop("rank")
 
 
-def mix(docs: DataFrame, weights=contract_weights, share: float = 1.5, max_epochs: float = 2.0,
-        seed: str = "mix", text: str = "text", doc_id: str = "doc_id",
-        source: str = "source") -> DataFrame:
-    """How often each document is taken: doc_id, source, size, source_size, target, times, taken.
+def _key(seed: str, doc_id: str) -> Column:
+    """The random place of a document in its source's order."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))).cast("binary"))
+
 
-    ``weights`` turns a table of ``source`` and ``source_size`` into one with
-    ``weight`` beside. The mix wants ``share`` times all words. Null text has no
-    words; a null source is a source of its own. Rows that repeat id and size are
-    drawn together. A document that holds the cut is taken where that brings the
-    source nearer to its target. An empty table gives no rows.
+def draws(docs: DataFrame, weights=contract_weights, share: float = 1.5, max_epochs: float = 2.0,
+          seed: str = "mix", text: str = "text", doc_id: str = "doc_id", source: str = "source") -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, source, size, key) and what each source draws.
+
+    The second table has source, source_size, target, whole repetitions, and the last
+    (key, doc_id, size) that the fractional repetition takes, null for none.
     """
-    base = staged(docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))).cast("binary")).alias("key")))
+    base = staged(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
+                              word_count(text).alias("size"), _key(seed, doc_id).alias("key")))
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     total = base.agg(F.sum("size")).first()[0] or 0
     targets = water_fill(weights(sizes), share * total, max_epochs)
-    plan = staged(targets.withColumn("whole", F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0)).cast("long"))
+    whole = F.coalesce(F.floor(F.col("target") / F.nullif("source_size", F.lit(0))), F.lit(0)).cast("long")
+    plan = staged(targets.withColumn("whole", whole)
                   .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")))
     cuts = _cut(base, plan.filter("rest > 0").select("source", "rest"))
     plan = staged(plan.alias("p").join(cuts.alias("c"), F.col("p.source").eqNullSafe(F.col("c.source")), "left")
                   .select("p.source", "p.source_size", "p.target", "p.whole", "c.cut"))
+    return base, plan
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """How often each document is taken: doc_id, source, size, source_size, target, times, taken.
+
+    The options are those of ``draws``: ``weights`` turns a table of ``source`` and
+    ``source_size`` into one with ``weight`` beside; the mix wants ``share`` times all
+    words. Null text has no words; a null source is a source of its own. Rows that
+    repeat id and size are drawn together. A document that holds the cut is taken where
+    that brings the source nearer to its target. An empty table gives no rows.
+    """
+    base, plan = draws(docs, **options)
     extra = F.coalesce(F.struct("d.key", "d.doc_id", "d.size") <= F.col("p.cut"), F.lit(False)).cast("long")
     times = F.col("p.whole") + extra
     return (base.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
@@ -137,14 +151,15 @@ def mix(docs: DataFrame, weights=contract_weights, share: float = 1.5, max_epoch
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as many times as it is taken, with all its columns.
 
-    Documents without words add nothing to a target; their source's draw holds for them too.
+    Documents without words add nothing to a target; their source's draw holds for
+    them too. Texts are not moved: each row meets its source's draw alone.
     """
-    doc_id, source = options.get("doc_id", "doc_id"), options.get("source", "source")
-    text = options.get("text", "text")
-    times = mix(docs, **options).groupBy("doc_id", "source", "size").agg(F.max("times").alias("__times"))
-    drawn = times.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"),
-                         F.col("size").alias("__size"), "__times").filter("__times > 0")
-    same = [F.col(doc_id).eqNullSafe(F.col("__id")), F.col(source).eqNullSafe(F.col("__source")),
-            word_count(text) == F.col("__size")]
-    return (docs.join(drawn, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))))
-            .select(*[docs[c] for c in docs.columns]))
+    doc_id, source, text = (options.get(c, c) for c in ("doc_id", "source", "text"))
+    _, plan = draws(docs, **options)
+    plan = plan.select(F.col("source").alias("__source"), "whole", "cut").withColumnsRenamed({"whole": "__whole", "cut": "__cut"})
+    own = F.struct(_key(options.get("seed", "mix"), doc_id).alias("key"), F.col(doc_id).alias("doc_id"),
+                   word_count(text).alias("size"))
+    times = F.col("__whole") + F.coalesce(own <= F.col("__cut"), F.lit(False)).cast("long")
+    copies = F.explode(F.when(F.col("__times") > 0, F.sequence(F.lit(1), F.col("__times").cast("int"))))
+    return (docs.join(plan, F.col(source).eqNullSafe(F.col("__source"))).withColumn("__times", times)
+            .select(*docs.columns, copies.alias("__copy")).drop("__copy"))

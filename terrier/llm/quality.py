@@ -69,10 +69,6 @@ class Ordinal:
     def __init__(self, weights: np.ndarray, thresholds: np.ndarray) -> None:
         self.weights, self.thresholds = weights, thresholds
 
-    def tails(self, score: float) -> np.ndarray:
-        """P(grade >= 1), P(grade >= 2), ...; never increasing."""
-        return _logistic(score - self.thresholds)
-
 
 def fit_ordinal(grades: np.ndarray, starts: np.ndarray, columns: np.ndarray) -> Ordinal:
     """Maximum likelihood with weight decay, by full steps of Adam.
@@ -136,6 +132,16 @@ def train(docs: DataFrame, ratings: DataFrame, sample_rows: int = SAMPLE_ROWS, t
     return fit_ordinal(np.array(grades, np.int64), starts, np.concatenate(lists or [np.empty(0, np.int32)]))
 
 
+def _tails(model: Ordinal, texts: pa.Array, known: _Features) -> np.ndarray:
+    """Tail probabilities of each text, one row a text."""
+    scores = [model.weights[list(features(t.as_py(), known))].sum(dtype=np.float64) for t in texts]
+    return _logistic(np.array(scores).reshape(-1, 1) - model.thresholds)
+
+
+def _reaching(tails: np.ndarray, wanted: int) -> np.ndarray:
+    return tails[:, wanted - 1] if wanted <= tails.shape[1] else np.zeros(len(tails))
+
+
 def rate(docs: DataFrame, model: Ordinal, keep: list[Column | str], wanted: int, text: str = "text") -> DataFrame:
     """``keep`` columns of every row with expected_grade and tail_probability of its whole text.
 
@@ -146,21 +152,28 @@ def rate(docs: DataFrame, model: Ordinal, keep: list[Column | str], wanted: int,
     schema = source.drop("__text").withColumns({"expected_grade": F.lit(0.0), "tail_probability": F.lit(0.0)}).schema
 
     def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = shared.value, _Features()
+        known = _Features()
         for batch in batches:
-            expected, tail = [], []
-            for value in batch.column(batch.num_columns - 1):
-                found = features(value.as_py(), known)
-                score = float(model.weights[list(found)].sum(dtype=np.float64))
-                tails = model.tails(score)
-                expected.append(float(tails.sum()))
-                tail.append(float(tails[wanted - 1]) if wanted <= len(tails) else 0.0)
+            tails = _tails(shared.value, batch.column(batch.num_columns - 1), known)
             yield pa.RecordBatch.from_arrays(
-                batch.columns[:-1] + [pa.array(expected, pa.float64()), pa.array(tail, pa.float64())],
+                batch.columns[:-1] + [pa.array(tails.sum(axis=1)), pa.array(_reaching(tails, wanted))],
                 batch.schema.names[:-1] + ["expected_grade", "tail_probability"])
     return source.mapInArrow(rated, schema)
 
 
+def select(docs: DataFrame, model: Ordinal, wanted: int, least: float, text: str = "text") -> DataFrame:
+    """The rows whose probability of grade ``wanted`` or better is ``least`` or more, as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def selected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Features()
+        for batch in batches:
+            chance = _reaching(_tails(shared.value, batch.column(at), known), wanted)
+            yield batch.filter(pa.array(chance >= least))
+    return docs.mapInArrow(selected, docs.schema)
+
+
 #: Probability of a good grade from which a document is kept.
 KEEP_FROM = 0.5
 
@@ -174,6 +187,4 @@ def graded(labels: DataFrame) -> DataFrame:
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are likely good, with all their columns."""
-    model = train(docs, graded(labels))
-    rated = rate(docs, model, [docs[c] for c in docs.columns], wanted=2)
-    return rated.filter(F.col("tail_probability") >= KEEP_FROM).select(*docs.columns)
+    return select(docs, train(docs, graded(labels)), wanted=2, least=KEEP_FROM)

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from terrier.llm import (
     bpe,
     edit_fingerprint,
@@ -34,18 +33,10 @@ def labels(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(LABELS).parquet(f"{folder}/labels.parquet")
 
 
-def tokenizer_path() -> str:
-    """The vocabulary file of the registered queries; ``TERRIER_TOKENIZER`` names another."""
-    if "TERRIER_TOKENIZER" in os.environ:
-        return os.environ["TERRIER_TOKENIZER"]
-    import public_tokenizers
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Token digests of every whole text and of what its tokens decode to."""
     docs = documents(spark, folder)
-    codec = bpe.Codec(spark, tokenizer_path()).fit_lexicon(docs)
+    codec = bpe.Codec(spark, bpe.vocabulary_path()).fit_lexicon(docs)
     encoded = codec.encode(docs.select("doc_id", "text"), drop=("text",), decoded="decoded")
     return encoded.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
@@ -196,5 +187,6 @@ QUERIES: dict[str, Query] = {
     "op7_fingerprints": Query(op7_fingerprints),
     "op8_language_id": Query(op8_language_id),
     "op9_secrets": Query(op9_secrets),
+    "pipeline": Query(corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
     "op10_language_model": Query(op10_language_model),
 }
