@@ -455,9 +455,9 @@ def test_language_on_held_out_rows(spark, odd, empty):
 def test_unknown_words_back_off_to_ngrams():
     model = language_id.Model(["a", "b"], {"known": 0}, np.log([[0.9, 0.1]]),
                               {"^xy": 0, "x": 1, "y": 2}, np.log([[0.1, 0.9], [0.9, 0.1], [0.5, 0.5]]))
-    assert model.score("known").argmax() == 0
-    assert np.allclose(model.score("xy"), np.mean([model.gram_scores[0], model.gram_scores[1], model.gram_scores[2]], axis=0))
-    assert model.score("??").tolist() == [0.0, 0.0]
+    known, backed, none = model.score(["known", "xy", "??"])
+    assert known.argmax() == 0 and none.tolist() == [0.0, 0.0]
+    assert np.allclose(backed, model.gram_scores.mean(axis=0))
 
 
 # --- language model
