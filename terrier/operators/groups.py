@@ -8,7 +8,7 @@ from functools import reduce as fold
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrier.operators.skew import LIGHT_ROWS, attach, by_weight
+from terrier.operators.skew import LIGHT_ROWS, attach, by_weight, key_struct
 
 
 def _no_null(keys: Sequence[str]) -> Column:
@@ -87,6 +87,18 @@ def allocate(df: DataFrame, amount: str, total: str, share: str, name: str) -> D
     return df.withColumn(name, F.try_divide(F.col(amount), F.col(total)) * F.col(share))
 
 
+def _items(order_by: Sequence[str], lists: Sequence[str]) -> Column:
+    """The wanted columns of a group's rows, in order, as one sorted list ``__l``."""
+    return F.sort_array(F.collect_list(F.struct(
+        F.struct(*order_by).alias("o"), *[F.col(c).alias(f"v{i}") for i, c in enumerate(lists)]))).alias("__l")
+
+
+def _as_lists(lists: Sequence[str]) -> list[Column]:
+    def field(name: str) -> Callable[[Column], Column]:
+        return lambda item: item[name]
+    return [F.transform("__l", field(f"v{i}")).alias(c) for i, c in enumerate(lists)]
+
+
 def reduce_groups(df: DataFrame, keys: Sequence[str], order_by: Sequence[str],
                   firsts: Sequence[str] = (), lists: Sequence[str] = (),
                   sums: Sequence[str] = (), part_by: Sequence[str] = (),
@@ -94,61 +106,57 @@ def reduce_groups(df: DataFrame, keys: Sequence[str], order_by: Sequence[str],
     """One row per group: first values, aligned lists and sums, in ``order_by`` order.
 
     A first value may be null, lists keep their nulls, an all-null sum is 0, and
-    null keys form groups. ``part`` is 0. A group above ``light_rows`` would not
-    fit one list cell; its lists continue on rows ``part`` 1, 2, ... that repeat
-    its firsts and sums. The cuts lie where ``part_by`` (leading columns of
+    null keys form groups. Groups above ``light_rows`` give the same row: only their
+    lists are first sorted in pieces, cut where ``part_by`` (leading columns of
     ``order_by``; the first one by default) changes value.
     """
     part_by = list(part_by or order_by[:1])
     order = F.struct(*order_by)
-    scalar_aggs = []
+    scalars = []
     if firsts:
-        scalar_aggs.append(F.min_by(F.struct(*firsts), order).alias("__f"))
-    scalar_aggs += [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums]
-    list_aggs = []
-    if lists:
-        items = F.sort_array(F.collect_list(
-            F.struct(order.alias("o"), *[F.col(c).alias(f"v{i}") for i, c in enumerate(lists)])))
-        list_aggs.append(items.alias("__l"))
-    if not scalar_aggs and not list_aggs:
-        scalar_aggs.append(F.count(F.lit(1)).alias("__n"))
-
-    def field(name: str) -> Callable[[Column], Column]:
-        return lambda item: item[name]
+        scalars.append(F.min_by(F.struct(*firsts), order).alias("__f"))
+    scalars += [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums]
+    whole = [_items(order_by, lists)] if lists else []
+    if not scalars and not whole:
+        scalars.append(F.count(F.lit(1)).alias("__n"))
 
     def project(row: DataFrame) -> DataFrame:
-        return row.select(
-            *keys, "part",
-            *[F.col(f"__f.{c}").alias(c) for c in firsts],
-            *[F.transform("__l", field(f"v{i}")).alias(c) for i, c in enumerate(lists)],
-            *sums)
+        return row.select(*keys, *[F.col(f"__f.{c}").alias(c) for c in firsts], *_as_lists(lists), *sums)
 
     def light(rows: DataFrame) -> DataFrame:
-        return project(rows.groupBy(*keys).agg(*scalar_aggs, *list_aggs)
-                       .withColumn("part", F.lit(0)))
+        return project(rows.groupBy(*keys).agg(*scalars, *whole))
 
     def heavy(rows: DataFrame) -> DataFrame:
         if not lists:
-            return project(rows.groupBy(*keys).agg(*scalar_aggs).withColumn("part", F.lit(0)))
-        pieces = rows.groupBy(*keys, *[F.col(c).alias(f"__p{i}") for i, c in enumerate(part_by)]
-                              ).agg(*list_aggs)
-        nth = Window.partitionBy(*keys).orderBy(*[f"__p{i}" for i in range(len(part_by))])
-        # number the pieces without carrying their lists through the window
-        places = (pieces.drop("__l").withColumn("part", F.row_number().over(nth) - 1))
-        named = [f"__p{i}" for i in range(len(part_by))]
-        key = F.struct(*keys, *named).alias("__k")
-        whole = pieces.withColumn("__k", key).join(
-            places.select(key, "part"), "__k").drop("__k", *named)
-        if scalar_aggs:
-            scalars = rows.groupBy(*keys).agg(*scalar_aggs)
-            group = F.struct(*keys).alias("__k")
-            whole = whole.withColumn("__k", group).join(
-                F.broadcast(scalars.withColumn("__k", group).drop(*keys)), "__k").drop("__k")
-        return project(whole)
+            return light(rows)
+        pieces = rows.groupBy(*keys, F.struct(*part_by).alias("__p")).agg(*whole)
+        joined = pieces.groupBy(key_struct(keys).alias("__k")).agg(
+            F.sort_array(F.collect_list(F.struct("__p", "__l"))).alias("__l")).withColumn(
+            "__l", F.flatten(F.col("__l.__l")))
+        if scalars:
+            more = rows.groupBy(*keys).agg(*scalars)
+            joined = joined.join(more.withColumn("__k", key_struct(keys)).drop(*keys), "__k")
+        return project(joined.select("*", "__k.*"))
 
     return by_weight(df, keys, light, heavy, mode, light_rows)
 
 
+def list_pieces(df: DataFrame, keys: Sequence[str], order_by: Sequence[str],
+                lists: Sequence[str], part_by: Sequence[str]) -> DataFrame:
+    """The lists of each group in pieces: one row per value of ``part_by``, numbered by ``part``.
+
+    ``part_by`` are leading columns of ``order_by``. The form is the same for groups
+    of any size; only counts of pieces, not their lists, meet in one task.
+    """
+    pieces = df.groupBy(*keys, F.struct(*part_by).alias("__p")).agg(_items(order_by, lists))
+    nth = Window.partitionBy(*keys).orderBy("__p")
+    places = df.groupBy(*keys, F.struct(*part_by).alias("__p")).agg(F.count(F.lit(1)).alias("__n")).withColumn(
+        "part", F.row_number().over(nth) - 1)
+    key = F.struct(*keys, "__p").alias("__k")
+    return pieces.withColumn("__k", key).join(places.select(key, "part"), "__k").select(
+        *keys, "part", *_as_lists(lists))
+
+
 def duplicate_keys(df: DataFrame, key: Column) -> DataFrame:
     """One row: ``n_rows``, ``n_keys`` and whether they agree (``is_unique``)."""
     per_key = df.groupBy(key.alias("__key")).agg(F.count(F.lit(1)).alias("n"))

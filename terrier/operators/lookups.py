@@ -67,8 +67,13 @@ def name_areas(areas: DataFrame, names: DataFrame, code: str, chain: Sequence[st
 
 
 def with_constants(shapes: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Copy the columns of a one-row table onto every row."""
-    tag = "__one"
-    return (shapes.withColumn(tag, F.lit(1))
-            .join(F.broadcast(one_row.limit(1).withColumn(tag, F.lit(1))), tag, "left").drop(tag))
+    """Copy the columns of a one-row table onto every row; null where it is empty.
+
+    A table of several rows is an error when the result is computed.
+    """
+    tag, several = "__one", F.lit("with_constants needs a table of one row")
+    checked = one_row.agg(F.count(F.lit(1)).alias("n"), F.first(F.struct(*one_row.columns)).alias("r")).select(
+        F.lit(1).alias(tag), F.when(F.col("n") > 1, F.raise_error(several)).otherwise(F.col("r")).alias("r"))
+    return (shapes.withColumn(tag, F.lit(1)).join(F.broadcast(checked), tag, "left")
+            .select(*shapes.columns, "r.*"))
 

@@ -67,18 +67,17 @@ def order_stats(df: DataFrame, keys: Sequence[str], stats: Sequence[Stat],
     """``keys``, one column per statistic, and ``aggs``: other named aggregates.
 
     Null values are skipped and null keys form groups. A group without any value
-    for a statistic gets null there; under ``rank`` without ``aggs`` it is left out.
+    for a statistic gets null there, whatever the strategy.
     """
     subsets = dict(subsets or {})
 
     def rank(rows: DataFrame) -> DataFrame:
         ranked = _by_rank(rows, keys, stats, subsets, resolution, bucket_rows, broadcast_rows)
-        if not aggs:
-            return ranked
-        # two tables with one row per group
-        plain = rows.groupBy(*keys).agg(*aggs).withColumn("__k", key_struct(keys))
-        return plain.join(ranked.withColumn("__k", key_struct(keys)).drop(*keys),
-                          "__k", "left").drop("__k")
+        # two tables with one row per group; groups without a value have no ranks
+        plain = rows.groupBy(*keys).agg(*(aggs or [F.count(F.lit(1)).alias("__n")])).withColumn(
+            "__k", key_struct(keys))
+        both = plain.join(ranked.withColumn("__k", key_struct(keys)).drop(*keys), "__k", "left")
+        return both.drop("__k") if aggs else both.drop("__k", "__n")
 
     if strategy == "arrays":
         return _by_arrays(df, keys, stats, subsets, aggs)
@@ -169,25 +168,27 @@ def _by_rank(df: DataFrame, keys: Sequence[str], stats: Sequence[Stat],
     n_targets, largest = targets.agg(
         F.count(F.lit(1)), F.max(F.when(F.col("lo") < F.col("hi"), F.col("size")))).first()
     small = n_targets <= broadcast_rows
-    while small and (largest or 0) > bucket_rows:
+
+    def sent(table: DataFrame) -> DataFrame:
+        return F.broadcast(table) if small else table
+
+    while (largest or 0) > bucket_rows:  # each cut parts a bucket's least from its largest value
         # cut evenly between the bucket's own least and largest value
         cut = (f"case when lo < hi then least({PIECES - 1}L, floor((v - lo) / (hi - lo) * {PIECES}))"
                " else 0L end")
-        points = points.join(F.broadcast(targets.select(*on, "lo", "hi")), on).selectExpr(
+        points = points.join(sent(targets.select(*on, "lo", "hi")), on).selectExpr(
             "k", "m", "b as parent", "v", *flags, f"b * {PIECES} + {cut} as b")
         parents = targets.selectExpr("k", "m", "b as parent", *totals,
                                      *[f"o{i} as p{i}" for i in every])
         pieces = points.groupBy("k", "m", "parent", "b").agg(*counts, *extent).selectExpr(
             "*", *before("k, m, parent"))
-        deeper = pieces.join(F.broadcast(parents), ["k", "m", "parent"]).selectExpr(
+        deeper = pieces.join(sent(parents), ["k", "m", "parent"]).selectExpr(
             "k", "m", "b", *[f"c{i}" for i in every], "lo", "hi", "size", *totals,
             *[f"o{i} + p{i} as o{i}" for i in every])
         points = points.drop("parent")
-        targets, previous = wanted(deeper), largest
+        targets = wanted(deeper)
         largest = targets.agg(
             F.max(F.when(F.col("lo") < F.col("hi"), F.col("size")))).first()[0]
-        if largest == previous:
-            break
 
     targets = targets.drop("lo", "hi", "size")
     if small:

@@ -17,9 +17,6 @@ from terrier.session import staged
 
 #: A group up to this many rows may be handled by one task.
 LIGHT_ROWS = 1_000_000
-#: At most this many keys are treated as heavy, which bounds what is broadcast.
-#: By pigeonhole every other key then holds less than 1/HEAVY_KEYS of the rows.
-HEAVY_KEYS = 10_000
 #: A lookup is broadcast up to this many rows and bytes, joined by shuffle beyond.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -32,26 +29,23 @@ def key_struct(keys: Sequence[str]) -> Column:
     return F.struct(*[F.col(k) for k in keys])
 
 
-def heavy_keys(df: DataFrame, keys: Sequence[str], light_rows: int = LIGHT_ROWS,
-               limit: int = HEAVY_KEYS) -> DataFrame:
-    """``(__key, rows)`` of the heaviest keys above ``light_rows``; at most ``limit`` of them."""
+def heavy_keys(df: DataFrame, keys: Sequence[str], light_rows: int = LIGHT_ROWS) -> DataFrame:
+    """``(__key, rows)`` of all keys with more than ``light_rows`` rows."""
     return (
         df.groupBy(key_struct(keys).alias(_KEY))
         .agg(F.count(F.lit(1)).alias("rows"))
         .where(F.col("rows") > light_rows)
-        .orderBy(F.desc("rows"), F.col(_KEY))
-        .limit(limit)
     )
 
 
-def split_heavy(df: DataFrame, keys: Sequence[str], light_rows: int = LIGHT_ROWS,
-                limit: int = HEAVY_KEYS) -> tuple[DataFrame, DataFrame | None]:
+def split_heavy(df: DataFrame, keys: Sequence[str],
+                light_rows: int = LIGHT_ROWS) -> tuple[DataFrame, DataFrame | None]:
     """Rows of light groups and rows of heavy groups (``None`` when there are none)."""
-    heavy = staged(heavy_keys(df, keys, light_rows, limit))
+    heavy = staged(heavy_keys(df, keys, light_rows))
     if heavy.isEmpty():
         return df, None
     tagged = df.withColumn(_KEY, key_struct(keys))
-    listed = F.broadcast(heavy.select(_KEY))
+    listed = small_side(heavy.select(_KEY))
     light = tagged.join(listed, _KEY, "left_anti").drop(_KEY)
     dense = tagged.join(listed, _KEY, "left_semi").drop(_KEY)
     return light, dense
@@ -77,12 +71,20 @@ def by_weight(df: DataFrame, keys: Sequence[str],
 
 def fits_broadcast(table: DataFrame, row_bytes: Column | None = None,
                    max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Whether a staged table is small enough to send to every executor."""
-    size = row_bytes if row_bytes is not None else F.lit(0)
+    """Whether a staged table is small enough to send to every executor.
+
+    ``row_bytes`` weighs a row; without it the length of its JSON text does.
+    """
+    size = row_bytes if row_bytes is not None else F.length(F.to_json(F.struct(*table.columns)))
     rows, total = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
     return rows <= max_rows and total <= max_bytes
 
 
+def small_side(table: DataFrame) -> DataFrame:
+    """A staged table, with a broadcast hint where it is small enough; else it is joined by shuffle."""
+    return F.broadcast(table) if fits_broadcast(table) else table
+
+
 def attach(fact: DataFrame, lookup: DataFrame, keys: Sequence[str], salt_by: Sequence[str],
            how: str = "left", row_bytes: Column | None = None,
            max_rows: int = BROADCAST_ROWS, light_rows: int = LIGHT_ROWS) -> DataFrame:
@@ -99,7 +101,7 @@ def attach(fact: DataFrame, lookup: DataFrame, keys: Sequence[str], salt_by: Seq
     heavy = staged(heavy_keys(fact, keys, light_rows))
     if heavy.isEmpty():
         return fact.join(lookup, list(keys), how)
-    spread = F.broadcast(
+    spread = small_side(
         heavy.select(_KEY, F.ceil(F.col("rows") / light_rows).cast("int").alias(_SPREAD)))
     salted = (
         fact.withColumn(_KEY, key_struct(keys)).join(spread, _KEY, "left")

@@ -15,18 +15,18 @@ MAX_LAT = 85.0511287798066
 
 @dataclass(frozen=True)
 class TileLayer:
-    """Zoom range of a layer; ``drop_densest`` layers may lose features in crowded tiles."""
+    """Zoom range of a layer; the features of ``ranked`` layers know their rank in a tile."""
 
     min_zoom: int
     max_zoom: int
-    drop_densest: bool = False
+    ranked: bool = False
 
 
 # The zoom ranges of the published layers.
 LAYERS = {
     "communes": TileLayer(9, 14),
     "iris": TileLayer(11, 16),
-    "parcels": TileLayer(13, 16, drop_densest=True),
+    "parcels": TileLayer(13, 16, ranked=True),
 }
 
 
@@ -55,12 +55,11 @@ def tile_features(df: DataFrame, box: str, min_zoom: int, max_zoom: int) -> Data
         .withColumn("y", F.explode(F.sequence(tile_y(b["maxy"], z), tile_y(b["miny"], z)))))
 
 
-def drop_densest(tiles: DataFrame, size: str, id_by: Sequence[str], max_per_tile: int) -> DataFrame:
-    """Keep the ``max_per_tile`` largest features of each tile.
+def rank_in_tile(tiles: DataFrame, size: str, id_by: Sequence[str]) -> DataFrame:
+    """Add ``rank``: a feature's place in its tile, the largest first. Every row stays.
 
-    Spark limits each group within its map task before the shuffle, so a crowded
-    tile sends at most ``max_per_tile`` rows per task.
+    A reader that wants the largest few of each tile filters on it; Spark then cuts
+    each group within its map task, before the shuffle.
     """
     w = Window.partitionBy("z", "x", "y").orderBy(F.desc(size), *id_by)
-    return (tiles.withColumn("__n", F.row_number().over(w))
-            .where(F.col("__n") <= max_per_tile).drop("__n"))
+    return tiles.withColumn("rank", F.row_number().over(w))

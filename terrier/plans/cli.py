@@ -26,8 +26,6 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--span", default="all", choices=list(S.SPANS), help="span shown on the map")
     p.add_argument("--layers", default="geojson", choices=["geojson", "gpkg", "parquet"],
                    help="format of the boundary layers")
-    p.add_argument("--max-per-tile", type=int, default=None,
-                   help="most parcels per tile; none are dropped when not given")
     return p
 
 
@@ -47,12 +45,11 @@ def run(spark: SparkSession, args: argparse.Namespace) -> list[str]:
     if "process" in chosen:
         zones = layer(spark, args, "iris").withColumnRenamed("nom_iris_gpkg", "nom_iris")
         zones = zones.withColumn("geom", maps.G.to_lambert93(zones.geom))
-        sales, parts = process.process(
+        sales = process.process(
             deeds.scan_deeds(spark, f"{src}/deeds"),
             deeds.scan_departments(spark, f"{src}/departments.csv"),
             deeds.scan_regions(spark, f"{src}/regions.csv"), zones)
         write_table(sales, f"{out}/processed")
-        write_table(parts, f"{out}/processed_list_parts")
     if "aggregate" in chosen:
         aggregate.aggregate(deeds.scan_processed(spark, f"{out}/processed"), stats)
     if "geometries" in chosen or "convert" in chosen:
@@ -73,7 +70,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> list[str]:
         glob = f"{src}/cadastre/*/*/cadastre-*-parcelles.json.gz"
         maps.export_parcels(
             B.list_cadastre(spark, glob), B.scan_cadastre(spark, glob), saved("parcel"),
-            f"{out}/map/parcels", f"{out}/tiles/parcels", args.max_per_tile).show()
+            f"{out}/map/parcels", f"{out}/tiles/parcels").show()
     return chosen
 
 

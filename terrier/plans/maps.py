@@ -12,7 +12,7 @@ from terrier.operators import features as X
 from terrier.operators.dissolve import dissolve
 from terrier.operators.lookups import join_stats, with_constants
 from terrier.operators.simplify import simplify
-from terrier.operators.tiles import LAYERS, drop_densest, tile_features
+from terrier.operators.tiles import LAYERS, rank_in_tile, tile_features
 from terrier.sinks import save_geojson, save_parcels, save_tiles
 from terrier.session import staged
 
@@ -55,19 +55,18 @@ def with_display(df: DataFrame, parcels: bool = False) -> DataFrame:
         "shade": scale_position("prix_m2_median", S.SCALE_LOW, S.SCALE_HIGH)})
 
 
-def save_layer_tiles(df: DataFrame, name: str, path: str, key: str,
-                     max_per_tile: int | None = None) -> None:
-    """Features by tile over the layer's zooms. Only parcels may lose features in full tiles."""
+def save_layer_tiles(df: DataFrame, name: str, path: str, key: str) -> None:
+    """Features by tile over the layer's zooms; parcels with their rank in the tile."""
     layer = LAYERS[name]
     sized = df.withColumns({"box": G.bbox(F.col("geom")), "area": G.area(F.col("geom"))})
     rows = tile_features(sized, "box", layer.min_zoom, layer.max_zoom)
-    if layer.drop_densest and max_per_tile is not None:
-        rows = drop_densest(rows, "area", [key], max_per_tile)
+    if layer.ranked:
+        rows = rank_in_tile(rows, "area", [key])
     save_tiles(rows, path)
 
 
 def export_parcels(files: DataFrame, parcels: DataFrame, stats: DataFrame, base: str,
-                   tiles: str | None = None, max_per_tile: int | None = None) -> DataFrame:
+                   tiles: str | None = None) -> DataFrame:
     """Parcels with statistics, by commune; returns files and parcels per outcome.
 
     The parsed parcels are written once: the count per file then reads ids only,
@@ -80,6 +79,6 @@ def export_parcels(files: DataFrame, parcels: DataFrame, stats: DataFrame, base:
                                   S.TOLERANCE["parcels"]))
     save_parcels(thin, base, "code_commune_file")
     if tiles is not None:
-        save_layer_tiles(thin, "parcels", tiles, "id_parcelle_unique", max_per_tile)
+        save_layer_tiles(thin, "parcels", tiles, "id_parcelle_unique")
     return staged(X.status_totals(X.file_status(
         files, parcels, stats, "file", "code_departement", "id_parcelle_unique", "readable")))

@@ -45,7 +45,7 @@ def clean_lines(lines: DataFrame, mode: str) -> DataFrame:
 
 
 def reduce_deeds(lines: DataFrame, light_rows: int = LIGHT_ROWS) -> DataFrame:
-    """One row per disposition (``part`` 0; lists of a huge one continue on further parts).
+    """One row per disposition.
 
     All groups of this step nest in the disposition, so ordinary ones need a
     single shuffle of the lines: every window and the final grouping reuse it.
@@ -82,16 +82,15 @@ def assign_zones(sales: DataFrame, zones: DataFrame, size: float = 1000.0) -> Da
 
 
 def process(lines: DataFrame, departments: DataFrame, regions: DataFrame, zones: DataFrame,
-            light_rows: int = LIGHT_ROWS) -> tuple[DataFrame, DataFrame]:
-    """The processed table, and the list parts of dispositions too large for one row.
+            light_rows: int = LIGHT_ROWS) -> DataFrame:
+    """The processed table: one row per sale.
 
     Lines, reduced table and cleaned table are written to the shared folder:
     later passes read them several times, a few columns at a time, and the text
     files are parsed once.
     """
     lines = staged(lines.select(*LINE_COLUMNS))
-    reduced = staged(reduce_deeds(lines, light_rows))
-    sales = reduced.where("part = 0").drop("part")
+    sales = staged(reduce_deeds(lines, light_rows))
     groups.require_unique(sales, F.struct(*S.DISPOSITION))
     clean = staged(remove_outliers(
         derive(sales, departments, regions), S.BOUNDS, "code_commune", ["cle_principale"],
@@ -99,8 +98,7 @@ def process(lines: DataFrame, departments: DataFrame, regions: DataFrame, zones:
     dated = clean.withColumn("annee_mutation", F.year("date_mutation"))
     adjusted = adjust_prices(dated, ["code_departement", "type_local"], "annee_mutation",
                              "prix_m2", S.REFERENCE_YEAR, "prix_m2_ajuste", ["cle_principale"])
-    more = reduced.where("part > 0").select(*S.DISPOSITION, "part", *S.LISTS)
-    return assign_zones(adjusted, zones), more
+    return assign_zones(adjusted, zones)
 
 
 def missing_regions(processed: DataFrame) -> DataFrame:

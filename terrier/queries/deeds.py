@@ -118,13 +118,13 @@ def _reduce(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _reduce_parts(spark: SparkSession, folder: str) -> DataFrame:
-    """Three groups hold all rows: their lists must be cut into parts."""
+    """Three groups hold all rows: their lists come in pieces."""
     lines = _with_nulls(spark, folder).withColumns({
         "month": F.trunc("l_shipdate", "month"), "rooms_sum": F.col("rooms")})
-    r = groups.reduce_groups(
-        lines, ["l_returnflag"], ["month", "l_orderkey", *LINE_ORDER], ["use", "l_partkey"],
-        ["l_suppkey", "rooms"], ["rooms_sum"], part_by=["month"], light_rows=1000)
-    return r.select("l_returnflag", "part", "use", F.col("l_partkey").alias("first_part"),
+    keys, order = ["l_returnflag"], ["month", "l_orderkey", *LINE_ORDER]
+    whole = groups.reduce_groups(lines, keys, order, ["use", "l_partkey"], sums=["rooms_sum"])
+    pieces = groups.list_pieces(lines, keys, order, ["l_suppkey", "rooms"], ["month"])
+    return pieces.join(whole, keys).select("l_returnflag", "part", "use", F.col("l_partkey").alias("first_part"),
                     "rooms_sum", F.size("rooms").alias("n"),
                     F.md5(_as_text("l_suppkey")).alias("suppliers"),
                     F.md5(_as_text("rooms")).alias("rooms"))

@@ -14,6 +14,8 @@ from terrier.operators import lookups, tiles
 from terrier.operators.simplify import simplify
 from terrier.operators.spatial import point_in_zone, project_points
 from terrier.queries.tables import TRANSACTIONS, Query, coarse, coarse_sql, table, transactions
+from terrier.session import scratch_file
+from terrier.sources import boundaries as B
 
 # Outline of a supplier's zone, from the corner of its 10 x 10 square. It reaches
 # into the square above, and every third zone has a hole.
@@ -219,7 +221,8 @@ def _tile_assign(spark: SparkSession, folder: str) -> DataFrame:
 
 def _tile_cap(spark: SparkSession, folder: str) -> DataFrame:
     sized = _tiles(spark, folder).withColumn("balance", F.col("c_custkey") % 97)
-    return tiles.drop_densest(sized, "balance", ["c_custkey"], 2).select("c_custkey", "z", "x", "y")
+    ranked = tiles.rank_in_tile(sized, "balance", ["c_custkey"])
+    return ranked.where("rank <= 2").select("c_custkey", "z", "x", "y")
 
 
 TILES_SQL = f"""
@@ -257,6 +260,30 @@ def _geojson(spark: SparkSession, folder: str) -> DataFrame:
         "maxx", "miny")
 
 
+def _scan_geojson(spark: SparkSession, folder: str) -> DataFrame:
+    """The lots as files of three layouts, some cut short, read back by the layer source."""
+    lots = _lots(spark, folder).withColumn("id", F.col("c_name"))
+    text = X.feature_text(lots, "geom", ["id", "c_mktsegment"])
+    turned = F.concat(F.lit("{"), F.substr(text, F.lit(len('{"type":"Feature",') + 1),
+                                           F.length(text) - len('{"type":"Feature",') - 1), F.lit(',"type":"Feature"}'))
+    doc = F.floor(F.col("c_custkey") / 50)
+    layout = F.col("doc") % 3
+    joined = F.concat(F.lit('{"features":['), F.array_join("f", ","), F.lit('],"type":"FeatureCollection"}'))
+    written = (F.when(layout == 0, joined).when(layout == 1, F.regexp_replace(joined, r"([,{\[])", "$1\n"))
+               .otherwise(F.array_join("f", "\n")))
+    short = (F.col("doc") % 7 == 3) & (layout < 2)
+    files = (lots.select(doc.alias("doc"), F.when(doc % 3 == 2, turned).otherwise(text).alias("f"))
+             .groupBy("doc").agg(F.collect_list("f").alias("f"))
+             .select("doc", F.when(short, F.substr(written, F.lit(1), (F.length(written) / 2).cast("int")))
+                     .otherwise(written).alias("value")))
+    path = scratch_file(spark)
+    files.write.partitionBy("doc").text(path)
+    return B.scan_features(spark, path).select(
+        F.regexp_extract("file", r"doc=(\d+)", 1).cast("long").alias("doc"), F.col("properties")["id"].alias("id"),
+        F.col("properties")["c_mktsegment"].alias("segment"), G.vertex_count(F.col("geom")).alias("n_vertices"),
+        F.col("error").isNotNull().alias("unreadable"))
+
+
 def _sale_stats(spark: SparkSession, folder: str) -> DataFrame:
     return (transactions(spark, folder).where(F.col("kind") == "Maison")
             .groupBy(F.col("o_custkey").alias("c_custkey"))
@@ -288,7 +315,8 @@ FROM customer LEFT JOIN st USING (c_custkey) WHERE c_mktsegment <> 'MACHINERY' {
 
 def _left_join(spark: SparkSession, folder: str) -> DataFrame:
     nation = table(spark, folder, "nation").withColumnRenamed("n_nationkey", "department")
-    stats = transactions(spark, folder).where("kind = 'Local' and department % 4 > 0").groupBy(
+    stats = transactions(spark, folder).withColumn(
+        "department", F.when(F.col("department") % 4 > 0, F.col("department"))).groupBy(
         "department", "commune_name").agg(F.count(F.lit(1)).alias("nb_transactions"))
     return lookups.join_stats(nation, stats.withColumn("n_name", F.lit("stale")), "department",
                               drop=["n_name", "no_such_column"])
@@ -394,11 +422,19 @@ WITH {LOTS_SQL}
 SELECT c_custkey // 50 AS doc, c_name AS id, c_mktsegment AS segment,
        CAST(n_vertices AS INTEGER) AS n_vertices, {coarse_sql('maxx')} AS maxx,
        {coarse_sql('miny')} AS miny FROM lots JOIN customer USING (c_custkey)"""),
+    "scan_geojson": Query(_scan_geojson, f"""
+WITH {LOTS_SQL}, f AS (
+  SELECT c_custkey // 50 AS doc, c_name AS id, c_mktsegment AS segment, CAST(n_vertices AS INTEGER) AS n_vertices
+  FROM lots JOIN customer USING (c_custkey))
+SELECT *, false AS unreadable FROM f WHERE NOT (doc % 7 = 3 AND doc % 3 < 2)
+UNION ALL
+SELECT DISTINCT doc, NULL, NULL, CAST(NULL AS INTEGER), true FROM f WHERE doc % 7 = 3 AND doc % 3 < 2"""),
     "export_keep_empty": _export(True),
     "export_drop_empty": _export(False),
     "left_join_stats": Query(_left_join, f"""
-WITH {TRANSACTIONS}, s AS (SELECT department, commune_name, count(*) AS nb_transactions FROM tx
-  WHERE kind = 'Local' AND department % 4 > 0 GROUP BY ALL)
+WITH {TRANSACTIONS}, s AS (
+  SELECT CASE WHEN department % 4 > 0 THEN department END AS department, commune_name,
+         count(*) AS nb_transactions FROM tx GROUP BY ALL)
 SELECT n_nationkey AS department, n_name, n_regionkey, commune_name, nb_transactions
 FROM nation LEFT JOIN s ON n_nationkey = department"""),
     "name_fallback": Query(_names, """

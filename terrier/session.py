@@ -41,6 +41,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def scratch_file(spark: SparkSession) -> str:
+    """A place of its own in the shared folder."""
+    return f"{scratch_dir(spark)}/terrier/{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -49,6 +54,6 @@ def staged(df: DataFrame, *partition_by: str) -> DataFrame:
     (lookups, heavy keys, loop state); plans stage a step that is read many times.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/terrier/{uuid.uuid4().hex}"
+    path = scratch_file(spark)
     df.write.parquet(path, partitionBy=list(partition_by) or None)
     return spark.read.schema(df.schema).parquet(path)

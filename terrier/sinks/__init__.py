@@ -22,8 +22,8 @@ def write_table(df: DataFrame, path: str) -> None:
 
 def save_aggregate(stats: DataFrame, base: str, level: str, keys: Sequence[str]) -> None:
     """Statistics of one level, one folder per ``span``, sorted by key within it."""
-    (stats.orderBy("span", *keys).write.mode("overwrite").partitionBy("span")
-     .parquet(f"{base}/{level}"))
+    (stats.repartition("span").sortWithinPartitions("span", *keys).write.mode("overwrite")
+     .partitionBy("span").parquet(f"{base}/{level}"))
 
 
 def collection_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -67,9 +67,11 @@ def save_parcels(df: DataFrame, path: str, commune: str, geom: str = "geom") ->
 
 
 def save_list(df: DataFrame, path: str, limit: int) -> None:
-    """At most ``limit`` rows as one JSON array, nulls written as null."""
-    rows = df.limit(limit).select(F.struct(*df.columns).alias("r"))
-    one = rows.agg(F.to_json(F.collect_list("r"), {"ignoreNullFields": "false"}).alias("value"))
+    """The rows as one JSON array, nulls written as null; more than ``limit`` rows are an error."""
+    rows = df.select(F.struct(*df.columns).alias("r"))
+    text = F.to_json(F.collect_list("r"), {"ignoreNullFields": "false"})
+    many = F.raise_error(F.lit(f"more than {limit} rows for one list"))
+    one = rows.agg(F.when(F.count(F.lit(1)) > limit, many).otherwise(text).alias("value"))
     one.write.mode("overwrite").text(path)
 
 

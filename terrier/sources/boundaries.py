@@ -24,20 +24,45 @@ LAYER_COLUMNS = {
 }
 
 
+#: One line of a file: a feature, or a whole collection.
+LINE = f"struct<type:string,{FEATURE[len('struct<'):-1]},features:array<{FEATURE}>>"
+#: Lines that only hold a collection together where each feature has a line of its own.
+WRAPPER = (r'^(\{|\[|\]|\}|\]\s*\}|\{?\s*"(type|name)"\s*:\s*"[^"]*"|'
+           r'"(crs|bbox)"\s*:\s*[\{\[].*[\}\]]|\{?.*"features"\s*:\s*\[)$')
+
+
 def scan_features(spark: SparkSession, path: str, srid: int = G.WGS84) -> DataFrame:
-    """GeoJSON with one feature per line, as ``properties`` and ``geom``.
+    """GeoJSON of any layout, as ``file``, ``properties``, ``geom`` and ``error``.
 
-    Reads feature lines and feature collections written one feature per line,
-    as most tools do. Lines are splittable, so a layer may be one large file.
+    Files with one feature or one collection per line are read line by line, so a
+    layer may be one large file; keys may come in any order. Files of any other
+    layout are read whole. A document or line that cannot be read is a row with an
+    ``error`` and nothing else, never left out.
     """
-    line = F.regexp_replace(F.trim("value"), ",$", "")
-    feature = F.from_json("line", FEATURE)
-    return (spark.read.text(path).select(line.alias("line"))
-            .where(F.col("line").rlike(r'^\{\s*"type"\s*:\s*"Feature"\s*,'))
-            .select(feature.alias("f"))
-            .select(F.col("f.properties").alias("properties"),
-                    G.parse_geojson_geometry(F.col("f.geometry.type"),
-                                             F.col("f.geometry.coordinates"), srid).alias("geom")))
+    text = F.regexp_replace(F.trim("value"), ",$", "")
+    lines = (spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), text.alias("line"))
+             .where("line <> ''").withColumn("f", F.from_json("line", LINE)))
+    feature, collection = F.col("f.type") == "Feature", F.col("f.features").isNotNull()
+    good = F.coalesce(feature | collection, F.lit(False))
+    bad = ~good & ~F.col("line").rlike(WRAPPER)
+    # a job over the text alone: the files, seldom any, none of whose lines is a document
+    odd = [r.file for r in lines.groupBy("file").agg(F.count_if(good).alias("good"), F.count_if(bad).alias("bad"))
+           .where("good = 0 and bad > 0").toLocalIterator()]
+    single = F.struct(*[F.col(f"f.{c}").alias(c) for c in ("id", "properties", "geometry")])
+    features = F.when(collection, F.col("f.features")).when(feature, F.array(single))
+    unreadable = F.lit("not a GeoJSON feature or collection")
+
+    def exploded(rows: DataFrame, failed: Column) -> DataFrame:
+        return rows.select("file", F.explode_outer(features).alias("f"), F.when(failed, unreadable).alias("error"))
+    found = exploded(lines.where((good | bad) & ~F.col("file").isin(odd)), bad)
+    if odd:
+        whole = (spark.read.text(odd, wholetext=True)
+                 .select(F.col("_metadata.file_path").alias("file"), F.from_json("value", LINE).alias("f")))
+        found = found.unionByName(exploded(whole, features.isNull()))
+    found = found.where("f IS NOT NULL OR error IS NOT NULL")  # a collection may be empty
+    return found.select("file", F.col("f.properties").alias("properties"),
+                        G.parse_geojson_geometry(F.col("f.geometry.type"),
+                                                 F.col("f.geometry.coordinates"), srid).alias("geom"), "error")
 
 
 def scan_layer(spark: SparkSession, path: str, layer: str, srid: int = G.WGS84,
@@ -46,6 +71,7 @@ def scan_layer(spark: SparkSession, path: str, layer: str, srid: int = G.WGS84,
 
     The format follows the file name: GeoPackage, Parquet (flat columns and
     ``geom``) or GeoJSON. ``table`` is the GeoPackage table if not the layer's name.
+    Text that is not GeoJSON fails the query that reads it.
     """
     columns = LAYER_COLUMNS[layer]
     if path.endswith(".parquet"):
@@ -56,6 +82,8 @@ def scan_layer(spark: SparkSession, path: str, layer: str, srid: int = G.WGS84,
         rows = spark.read.format("geopackage").option("table", table or layer).load(path)
     else:
         rows = scan_features(spark, path, srid)
+        failed = F.raise_error(F.concat("file", F.lit(": "), "error")).cast("boolean")
+        rows = rows.where(F.when(F.col("error").isNotNull(), failed).otherwise(True))
     return rows.select(*[F.col("properties")[a].alias(b) for a, b in columns.items()], "geom")
 
 
@@ -92,7 +120,7 @@ def scan_cadastre(spark: SparkSession, glob: str) -> DataFrame:
     cannot be decompressed has none. ``readable`` tells the first two apart.
     """
     texts = _with_codes(
-        spark.read.option("wholetext", True).option("ignoreCorruptFiles", True).text(glob),
+        spark.read.option("ignoreCorruptFiles", True).text(glob, wholetext=True),
         F.col("_metadata.file_path"))
     doc = F.from_json("value", COLLECTION)
     keep = ["file", "code_commune_file", "code_departement"]

@@ -21,7 +21,7 @@ def scan_deeds(spark: SparkSession, path: str | list[str], strict_dates: bool =
     raw = (spark.read.schema(DEED_LINE).option("header", True).option("mode", "PERMISSIVE")
            .option("escape", '"').csv(path))
     place = F.struct(
-        F.substring_index("_metadata.file_path", "/", -1).alias("file"),
+        F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"))
     cells = [

@@ -57,8 +57,8 @@ def test_reduce_keeps_nulls_order_and_alignment(spark, mode):
                "m string, seq int, a int, b string, rooms long")
     out = groups.reduce_groups(df.withColumn("fa", F.col("a")), ["m"], ["seq"], ["fa"],
                                ["a", "b"], ["rooms"], mode=mode)
-    assert [(r.m, r.part, r.fa, r.a, r.b, r.rooms) for r in out.orderBy("m").collect()] == [
-        (None, 0, 7, [7], ["n"], 4), ("A", 0, None, [None, 5, None], [None, "y", "z"], 3)]
+    assert [(r.m, r.fa, r.a, r.b, r.rooms) for r in out.orderBy("m").collect()] == [
+        (None, 7, [7], ["n"], 4), ("A", None, [None, 5, None], [None, "y", "z"], 3)]
 
 
 def test_reduce_all_null_sum_is_zero(spark):
@@ -66,17 +66,20 @@ def test_reduce_all_null_sum_is_zero(spark):
     assert groups.reduce_groups(df, ["m"], ["seq"], sums=["rooms"]).first().rooms == 0
 
 
-def test_a_huge_group_is_cut_into_parts_that_lose_nothing(spark):
-    data = [("hot", i // 50, i, i * 3 % 11) for i in range(400)] + [("cold", 0, 1, 4)]
+@pytest.mark.parametrize("light_rows", [1_000_000, 100, 3])
+def test_a_group_is_one_row_whatever_its_size(spark, light_rows):
+    data = [("hot", i // 50, i, i * 3 % 11) for i in range(400)] + [("cold", 0, 1, 4), (None, 2, 5, None)]
     df = frame(spark, data, "m string, day int, seq int, v int").repartition(5)
     out = groups.reduce_groups(df, ["m"], ["day", "seq"], ["day"], ["v", "seq"],
-                               part_by=["day"], light_rows=100)
-    hot = out.where("m = 'hot'").orderBy("part").collect()
+                               part_by=["day"], light_rows=light_rows)
+    assert rows(out, "m", "day", "v", "seq") == [
+        ("cold", 0, [4], [1]), ("hot", 0, [i * 3 % 11 for i in range(400)], list(range(400))),
+        (None, 2, [None], [5])]
+    pieces = groups.list_pieces(df, ["m"], ["day", "seq"], ["v", "seq"], ["day"])
+    hot = pieces.where("m = 'hot'").orderBy("part").collect()
     assert [r.part for r in hot] == list(range(8))
     assert [s for r in hot for s in r.seq] == list(range(400))
-    assert [v for r in hot for v in r.v] == [i * 3 % 11 for i in range(400)]
-    assert {r.day for r in hot} == {0}                      # the group's first value on each part
-    assert out.where("m = 'cold'").first().v == [4]
+    assert pieces.where("m is null").first().v == [None]
 
 
 def test_uniqueness(spark):

@@ -58,7 +58,7 @@ def test_scan_maps_null_tokens_and_keeps_bad_rows(spark, tmp_path):
     r = deeds.scan_deeds(spark, str(tmp_path / "d.csv")).first()
     assert (r.numero_disposition, r.valeur_fonciere, r.type_local, r.nature_culture) == (None,) * 4
     assert (r.id_parcelle, r.surface_reelle_bati, r.adresse_nom_voie) == ("007", 12.5, 'RUE "A", B')
-    assert r.date_mutation.isoformat() == "2024-03-01" and r.seq.file == "d.csv"
+    assert r.date_mutation.isoformat() == "2024-03-01" and r.seq.file.endswith("/d.csv")
     write_csv(tmp_path / "e.csv", [line("A", 1, 1, "p", "Maison", 1, day="01/02/2024")])
     assert deeds.scan_deeds(spark, str(tmp_path / "e.csv"), strict_dates=False).first() \
         .date_mutation is None
@@ -82,7 +82,7 @@ def test_deed_reduction(spark, deed_lines, light_rows):
     assert house.type_local == "Maison" and house.nombre_pieces_principales == 7
     assert got["B", 1].nombre_pieces_principales == 0
     assert got["B", 1].nature_culture == ["unknown"]
-    assert set(out.columns) == {*S.DISPOSITION, "part", *S.FIRSTS, *S.LISTS, *S.SUMS}
+    assert set(out.columns) == {*S.DISPOSITION, *S.FIRSTS, *S.LISTS, *S.SUMS}
 
 
 def test_ordinary_deeds_shuffle_once(spark, deed_lines):
@@ -163,7 +163,6 @@ def test_all_steps(spark, landed, tmp_path):
     assert sales.where("code_commune = '69001' and code_iris is not null").count() == 0
     year = sales.where("annee_mutation = 2025").select(F.max(F.abs(F.col("prix_m2_ajuste") - F.col("prix_m2"))))
     assert year.first()[0] < 1e-9
-    assert spark.read.parquet(f"{out}/processed_list_parts").count() == 0
 
     for level in S.LEVELS:
         for span in S.SPANS:

@@ -204,8 +204,8 @@ def test_tiles_cover_boxes_and_drop_the_smallest(spark):
     t = tiles.tile_features(df, "box", 0, 1)
     assert rows(t.where("id = 1"), "z", "x", "y") == [(0, 0, 0), (1, 1, 0)]
     assert t.where("id = 3").count() == 5
-    capped = tiles.drop_densest(t, "area", ["id"], 2)
-    assert rows(capped.where("z = 0"), "id") == [(1,), (2,)]
+    ranked = tiles.rank_in_tile(t, "area", ["id"])
+    assert rows(ranked.where("z = 0"), "rank", "id") == [(1, 2), (2, 1), (3, 3)]
     assert rows(tiles.tile_features(df.where("id = 1"), "box", 14, 14).select("x", "y").limit(1)) \
         == [(8296, 5636)]
 
@@ -257,3 +257,26 @@ def test_layers_from_feature_lines_and_parquet(spark, tmp_path):
     both = B.communes_with_districts(communes, arr)
     assert rows(both, "code_commune", "code_departement") == [
         ("01001", "d"), ("75101", "75"), ("A", "A"), (None, "d")]
+
+
+def test_features_of_any_layout(spark, tmp_path):
+    shape = {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1], [0, 0]]]}
+    feats = [{"properties": {"id": str(i)}, "geometry": shape, "type": "Feature"} for i in range(3)]
+    whole = {"features": feats, "type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": "x"}}}
+    texts = {"one_line": json.dumps(whole), "pretty": json.dumps(whole, indent=1), "lines": "\n".join(map(json.dumps, feats)),
+             "single": json.dumps(feats[0], indent=2), "broken": json.dumps(whole)[:150],
+             "cut": "\n".join(map(json.dumps, feats))[:-20], "prose": "no\njson", "empty": json.dumps({**whole, "features": []}),
+             "wrapped": '{"type":"FeatureCollection","name":"a","features":[\n' + ",\n".join(map(json.dumps, feats)) + "\n]}"}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.geojson").write_text(text)
+    found = B.scan_features(spark, str(tmp_path)).select(
+        F.regexp_extract("file", r"(\w+)\.geojson", 1).alias("name"), F.col("properties")["id"].alias("id"),
+        F.col("geom").isNotNull().alias("shape"), F.col("error").isNotNull().alias("bad")).collect()
+    by_name = {n: sorted((r.id or "", r.shape, r.bad) for r in found if r.name == n) for n in texts}
+    good, failed = [(str(i), True, False) for i in range(3)], ("", False, True)
+    assert by_name["one_line"] == by_name["pretty"] == by_name["lines"] == by_name["wrapped"] == good
+    assert by_name["single"] == good[:1] and by_name["empty"] == []
+    assert by_name["broken"] == [failed] and by_name["prose"] == [failed]
+    assert by_name["cut"] == [failed, *good[:2]]
+    with pytest.raises(Exception, match="not a GeoJSON"):
+        B.scan_layer(spark, str(tmp_path / "broken.geojson"), "region").collect()
