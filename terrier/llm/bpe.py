@@ -17,6 +17,7 @@ import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +26,14 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrier.llm.common import slices
 from terrier.llm.lexicon import Lexicon, compile_words
 from terrier.session import scratch_dir, staged
 
 #: A word is compiled if it makes up this share of all words or more: at most 1,000,000 words.
 LEXICON_RATE = 1e-6
-#: Characters worked on at once, and texts' chunks remembered by a worker.
-SLICE_CHARS, MEMO_ENTRIES = 1_000_000, 150_000
+#: Chunks of texts that a worker remembers.
+MEMO_ENTRIES = 400_000
 #: Distinct words a counting task holds before it hands its counts on.
 COUNT_ENTRIES = 200_000
 
@@ -69,6 +71,11 @@ class WordBpe:
         self.special = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
         self.symbols = byte_symbols()
         self.tokens = {i: t for t, i in {**self.vocab, **self.specials}.items()}
+        # the same as arrays: ids of bytes within and at the end of a word, and merges by pair of ids
+        self.inner = np.array([self.vocab.get(s, -1) for s in self.symbols])
+        self.outer = np.array([self.vocab.get(s + self.end, -1) for s in self.symbols])
+        rules = sorted((self.vocab[a] << 32 | self.vocab[b], i, self.vocab[a + b]) for (a, b), i in self.ranks.items())
+        self.pairs, self.order, self.merged = np.array(rules, np.int64).reshape(-1, 3).T.copy()
 
     def chunks(self, text: str) -> list[str]:
         """Normalised stretches between white space; a special token is one with a blank before it."""
@@ -116,6 +123,54 @@ class WordBpe:
                 order[at - 1] = get((parts[at - 1], parts[at]), none)
         return tuple([self.vocab[p] for p in parts if p in self.vocab])
 
+    def _rules(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids, the number of merges where there is no merge."""
+        key = left << 32 | right
+        spot = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[spot] == key, self.order[spot], len(self.pairs))
+
+    def merge_many(self, words: list[str]) -> list[bytes]:
+        """Packed ids of many words: words of one length merge their best pairs side by side."""
+        out: list[bytes] = [b""] * len(words)
+        by_length: dict[int, list[int]] = {}
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        complete = len(self.pairs) and self.inner.min() >= 0 and self.outer.min() >= 0
+        for i, data in enumerate(raw):
+            if complete and len(data) <= 48:
+                by_length.setdefault(len(data), []).append(i)
+            else:
+                out[i] = np.array(self.merge(words[i]), "<u4").tobytes()
+        by_rank = np.argsort(self.order)
+        for width, members in by_length.items():
+            rows = np.array(members)
+            codes = np.frombuffer(b"".join([raw[i] for i in members]), np.uint8).reshape(-1, width)
+            ids = self.inner[codes]
+            ids[:, -1] = self.outer[codes[:, -1]]
+            ranks = self._rules(ids[:, :-1], ids[:, 1:])
+            while len(rows):
+                size = ids.shape[1]
+                best = ranks.argmin(axis=1) if size > 1 else np.zeros(len(rows), np.int64)
+                least = ranks[np.arange(len(rows)), best] if size > 1 else np.full(len(rows), len(self.pairs))
+                done = least == len(self.pairs)
+                if done.any():
+                    packed = ids[done].astype("<u4").tobytes()
+                    for k, i in enumerate(rows[done].tolist()):
+                        out[i] = packed[4 * size * k: 4 * size * (k + 1)]
+                    rows, ids, ranks, best, least = (x[~done] for x in (rows, ids, ranks, best, least))
+                if not len(rows):
+                    break
+                every = np.arange(len(rows))
+                ids[every, best] = self.merged[by_rank[least]]
+                stay = np.arange(size)[None, :] != best[:, None] + 1
+                ids = ids[stay].reshape(len(rows), size - 1)
+                ranks = ranks[np.arange(size - 1)[None, :] != best[:, None]].reshape(len(rows), size - 2)
+                if size > 2:
+                    for at in (best - 1, best):  # the pairs on both sides of what was merged
+                        good = (at >= 0) & (at < size - 2)
+                        r, c = every[good], at[good]
+                        ranks[r, c] = self._rules(ids[r, c], ids[r, c + 1])
+        return out
+
     def _merge_long(self, parts: list[str | None]) -> tuple[int, ...]:
         """The same with a heap and links, for words of any length."""
         ranks, n = self.ranks, len(parts)
@@ -137,26 +192,16 @@ class WordBpe:
         return tuple(self.vocab[p] for p in parts if p is not None and p in self.vocab)
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """A batch in runs of about ``SLICE_CHARS`` characters of its last column, null as empty."""
-    run, held, start = [], 0, 0
-    for i, value in enumerate(batch.column(batch.num_columns - 1)):
-        run.append(value.as_py() or "")
-        held += len(run[-1])
-        if held >= SLICE_CHARS or i == batch.num_rows - 1:
-            yield batch.slice(start, len(run)), run
-            run, held, start = [], 0, i + 1
-
-
 def _counter(definition) -> Callable:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, held = WordBpe(definition.value), Counter()
 
         def counted() -> pa.RecordBatch:
-            words: Counter = Counter()
+            words = Counter({c: n for c, n in held.items() if c.isascii() and c.isalpha()})
             for chunk, n in held.items():
-                for word in bpe.words(chunk) if chunk[0] != " " else ():
-                    words[word] += n
+                if not (chunk.isascii() and chunk.isalpha()) and chunk[0] != " ":
+                    for word in bpe.words(chunk):
+                        words[word] += n
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()),
                                                pa.array(words.values(), pa.int64())], ["word", "n"])
@@ -178,7 +223,11 @@ def word_counts(docs: DataFrame, definition, text: str = "text") -> DataFrame:
 
 def text_of_ids(ids: bytes, tokens: dict[int, str]) -> str:
     """Tokens of packed ids, joined by blanks; ids of no token are left out."""
-    return " ".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist() if i in tokens])
+    numbers = np.frombuffer(ids, "<u4").tolist()
+    try:
+        return " ".join(map(tokens.__getitem__, numbers))
+    except KeyError:
+        return " ".join([tokens[i] for i in numbers if i in tokens])
 
 
 def put_file(spark: SparkSession, data: bytes) -> str:
@@ -230,21 +279,21 @@ class Codec:
             bpe = WordBpe(definition.value)
             known = Lexicon(SparkFiles.get(lexicon)) if lexicon else None
             preset = {" " + t: np.uint32(i).tobytes() for t, i in bpe.specials.items()}
-            memo, words = dict(preset), {}
+            memo = dict(preset)  # of chunks, and of words, which are chunks of their own
 
             def learn(chunks: set[str]) -> None:
-                cut = {c: bpe.words(c) for c in chunks}
-                new = list({w for ws in cut.values() for w in ws if w not in words})
-                for word, found in zip(new, known.find(new) if known else [None] * len(new)):
-                    words[word] = np.array(bpe.merge(word), "<u4").tobytes() if found is None else found
-                for chunk, ws in cut.items():
-                    memo[chunk] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
+                mixed = {c: bpe.words(c) for c in chunks if not (c.isascii() and c.isalpha())}
+                new = list(set(chain.from_iterable(mixed.values())).union(chunks.difference(mixed)).difference(memo))
+                memo.update(zip(new, known.find(new) if known else [None] * len(new)))
+                unseen = [w for w in new if memo[w] is None]
+                memo.update(zip(unseen, bpe.merge_many(unseen)))
+                for chunk, words in mixed.items():
+                    memo[chunk] = b"".join([memo[w] for w in words])
 
             for batch in batches:
                 for rows, texts in slices(batch):
                     if len(memo) > MEMO_ENTRIES:
                         memo = dict(preset)
-                        words.clear()
                     cut = [bpe.chunks(t) for t in texts]
                     learn(set().union(*cut).difference(memo))
                     out = [b"".join(map(memo.__getitem__, c)) for c in cut]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,6 +17,15 @@ def text_of(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+#: Rows of keys (each of at most some 64 bytes) up to which a table of them is broadcast.
+BROADCAST_KEYS = 1 << 19
+
+
+def few_keys(keys: DataFrame) -> DataFrame:
+    """A staged table of keys, with a broadcast hint where it is counted to be small; else it is shuffled."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def held_out(modulus: int, doc_id: str = "doc_id") -> Column:
     """Whether crc32 of the id as text leaves 2; a null id is never held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == 2,
@@ -31,12 +40,16 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-                schema: str) -> DataFrame:
-    """``mapInArrow``, its barrier-free form, under one name for all operators."""
-    return df.mapInArrow(function, schema)
+#: Characters of a run of ``slices``.
+SLICE_CHARS = 1_000_000
 
 
-def columns_of(batch: pa.RecordBatch, *names: str) -> list[list]:
-    """Python lists of the named columns of a batch."""
-    return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
+def slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """A batch in runs of about ``SLICE_CHARS`` characters of its last column, null as empty."""
+    run, held, start = [], 0, 0
+    for i, value in enumerate(batch.column(batch.num_columns - 1)):
+        run.append(value.as_py() or "")
+        held += len(run[-1])
+        if held >= SLICE_CHARS or i == batch.num_rows - 1:
+            yield batch.slice(start, len(run)), run
+            run, held, start = [], 0, i + 1
