@@ -12,12 +12,14 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrier.llm.common import slices
 from terrier.session import staged
 
 #: Share of a language's words (n-grams) from which one enters the model: at most 200,000 a language.
@@ -79,19 +81,32 @@ class Model:
         self.words, self.word_scores = words, word_scores
         self.grams, self.gram_scores = grams, gram_scores
 
-    def score(self, word: str) -> np.ndarray:
-        """Log likelihood of a word in each language, up to what the languages share."""
-        known = self.words.get(word)
-        if known is not None:
-            return self.word_scores[known]
-        marked, rows = f"^{word}$", []
+    def grams_of(self, word: str) -> list[int]:
+        """At each position of the marked word the longest known n-gram."""
+        marked, find, found = f"^{word}$", self.grams.get, []
         for i in range(len(marked) - 1):
             for k in range(min(LONGEST, len(marked) - i), 0, -1):
-                gram = self.grams.get(marked[i: i + k])
+                gram = find(marked[i: i + k])
                 if gram is not None:
-                    rows.append(gram)
+                    found.append(gram)
                     break
-        return self.gram_scores[rows].mean(axis=0) if rows else np.zeros(len(self.languages))
+        return found
+
+    def score(self, words: list[str]) -> np.ndarray:
+        """Log likelihood of each word in each language, up to what the languages share.
+
+        A known word has its own; any other has the mean of its n-grams, 0 without one.
+        """
+        out = np.zeros((len(words), len(self.languages)))
+        known = np.array([self.words.get(w, -1) for w in words], np.int64)
+        out[known >= 0] = self.word_scores[known[known >= 0]]
+        grams = {i: found for i in np.flatnonzero(known < 0).tolist() if (found := self.grams_of(words[i]))}
+        if grams:
+            sizes = np.array([len(g) for g in grams.values()])
+            flat = np.fromiter(chain.from_iterable(grams.values()), np.int64, int(sizes.sum()))
+            sums = np.add.reduceat(self.gram_scores[flat], np.cumsum(sizes) - sizes, axis=0)
+            out[list(grams)] = sums / sizes[:, None]
+        return out
 
 
 def _table(counts: DataFrame, item: str, languages: list[str], totals: dict[str, float]) -> tuple[dict[str, int], np.ndarray]:
@@ -144,36 +159,37 @@ def identify(docs: DataFrame, model: Model, keep: list[Column | str], text: str
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         memo: dict[str, int] = {}
-        table = np.zeros((1024, len(model.languages)))  # row 0: nothing to score
+        table = np.zeros((1, len(model.languages)))  # row 0: nothing to score
 
-        def learn(chunk: str) -> None:
+        def learn(chunks: list[str]) -> None:
+            """Rows of the table for new chunks: the sums of their words."""
             nonlocal table
-            words = words_in(chunk)
-            if not words:
-                memo[chunk] = 0
-                return
-            at = memo[chunk] = len(memo) + 1
-            if at >= len(table):
-                table = np.concatenate([table, np.zeros_like(table)])
-            table[at] = sum(model.score(w) for w in words)
+            cut = [words_in(c) for c in chunks]
+            sizes = np.array([len(ws) for ws in cut], np.int64)
+            some = sizes > 0
+            memo.update(zip(chunks, np.where(some, len(table) - 1 + np.cumsum(some), 0).tolist()))
+            if some.any():
+                scores = model.score(list(chain.from_iterable(cut)))
+                table = np.concatenate([table, np.add.reduceat(scores, (np.cumsum(sizes) - sizes)[some], axis=0)])
 
         for batch in batches:
-            names, scores = [], []
-            for value in batch.column(batch.num_columns - 1):
-                chunks = (value.as_py() or "").lower().split()
+            for run, texts in slices(batch):
                 if len(memo) > MEMO_ENTRIES:
-                    memo.clear()
-                for chunk in set(chunks).difference(memo):
-                    learn(chunk)
-                rows = np.fromiter(map(memo.__getitem__, chunks), np.int64, len(chunks))
-                if not rows.any() or not model.languages:
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                total = table[rows].sum(axis=0)
-                best = int(total.argmax())
-                names.append(model.languages[best])
-                scores.append(float(1.0 / np.exp(np.minimum(total - total[best], 0.0)).sum()))
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1] + [pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                                             batch.schema.names[:-1] + ["lang_pred", "score"])
+                    memo, table = {}, table[:1]
+                chunks = [t.lower().split() for t in texts]
+                learn(list(set().union(*chunks).difference(memo)))
+                names, scores = [], []
+                for each in chunks:
+                    rows = np.fromiter(map(memo.__getitem__, each), np.int64, len(each))
+                    if not rows.any() or not model.languages:
+                        names.append(UNKNOWN)
+                        scores.append(0.0)
+                        continue
+                    total = table[rows].sum(axis=0)
+                    best = int(total.argmax())
+                    names.append(model.languages[best])
+                    scores.append(float(1.0 / np.exp(np.minimum(total - total[best], 0.0)).sum()))
+                yield pa.RecordBatch.from_arrays(
+                    run.columns[:-1] + [pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+                    run.schema.names[:-1] + ["lang_pred", "score"])
     return source.mapInArrow(predict, schema)

@@ -251,9 +251,10 @@ def test_edit_distance():
 
 def plain_lines(rows):
     """kept by (doc_id, line), linking all pairs of near hashes."""
-    strip = str.maketrans({**dict.fromkeys(line_dedup.DIGITS, "0"), **dict.fromkeys(line_dedup.MARKS, None)})
-    found = [(i, k, line.lower().translate(strip).strip(line_dedup.BLANKS)) for i, t in rows for k, line in enumerate((t or "").split("\n"))]
-    found = [f for f in found if f[2]]
+    lower = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"} | {ord(c): "0" for c in "0123456789"}
+    lower |= {c: None for c in line_dedup.MARKS}
+    found = [(i, k, line.translate(lower).strip(" \t\v\f")) for i, t in rows for k, line in enumerate((t or "").split("\n"))]
+    found = [(i, k, line.encode()) for i, k, line in found if line]
     unique = list(dict.fromkeys(f[2] for f in found))
     hashes = line_dedup.simhashes(unique, near_dedup.WordHashes()).view(np.uint64)
     root = list(range(len(unique)))
@@ -264,7 +265,7 @@ def plain_lines(rows):
         return x
     for i in range(len(unique)):
         for j in np.flatnonzero(np.bitwise_count(hashes[i + 1:] ^ hashes[i]) <= line_dedup.DISTANCE) + i + 1:
-            if line_dedup.alike(unique[i].encode(), unique[j].encode()):
+            if line_dedup.alike(unique[i], unique[j]):
                 root[find(i)] = find(int(j))
     place = {u: i for i, u in enumerate(unique)}
     first = {}
@@ -273,6 +274,14 @@ def plain_lines(rows):
     return {(i, k): first[find(place[line])] == (i, k) for i, k, line in found}
 
 
+def test_simhash_is_the_majority_of_bits():
+    lines = [t.encode() for t in random_texts(30, 3)] + [b"only", b"w " * 700 + b"x y z", b"a b " * 300]
+    got = line_dedup.simhashes(lines, near_dedup.WordHashes()).view(np.uint8).reshape(-1, 8)
+    for line, hashed in zip(lines, got):
+        words = [np.unpackbits(np.array([near_dedup.WordHashes()[w]], np.uint64).view(np.uint8)) for w in line.split()]
+        assert (np.unpackbits(hashed) == (2 * np.sum(words, axis=0, dtype=int) > len(words))).all()
+
+
 def test_fuzzy_lines_as_brute_force(spark):
     rng = random.Random(8)
     base = [t for t in random_texts(25, 8, 400, 60) if len(t.split()) > 15]
