@@ -13,36 +13,38 @@ joined to their occurrences, so each has its own smoothed probability.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrier.llm.common import words_of
+from terrier.llm.common import slices, words_of
 from terrier.session import staged
 
-#: Shares of all tokens from which words and n-grams enter: at most 1,000,000 and 500,000 a level.
-WORD_RATE, GRAM_RATE = 1e-6, 2e-6
+#: Shares of all tokens from which words and n-grams enter: at most 1,000,000 and 100,000 a level.
+WORD_RATE, GRAM_RATE = 1e-6, 1e-5
 #: Taken off each count of an n-gram for shorter contexts.
 DISCOUNT = 0.75
 #: The end of a text; white space, so no word is equal to it.
-END = "\n"
-COUNT_ENTRIES, GATHERED = 200_000, 4_000_000
+END = b"\n"
+COUNT_ENTRIES, GATHERED = 200_000, 2_500_000
 
 
-def tokens_of(text: str | None) -> list[str]:
+def tokens_of(text: str | None) -> list[bytes]:
     """Words with A-Z in lower case, then the end."""
     words = words_of(text or "")
-    return [*b"\n".join(words).decode("utf-8").split("\n"), END] if words else [END]
+    words.append(END)
+    return words
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: Counter = Counter()
 
     def counted() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())],
+        out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()).cast(pa.string()), pa.array(held.values(), pa.int64())],
                                          ["word", "n"])
         held.clear()
         return out
@@ -102,11 +104,15 @@ class Automaton:
         self._arcs = self._ids = None
 
     @property
-    def ids(self) -> dict[str, int]:
+    def ids(self) -> dict[bytes, int]:
         if self._ids is None:
-            self._ids = {w: i for i, w in enumerate(self.words)}
+            self._ids = {w.encode("utf-8"): i for i, w in enumerate(self.words)}
         return self._ids
 
+    def places(self, tokens: list[bytes]) -> list[int]:
+        """Ids of tokens, -1 for those outside."""
+        return list(map(self.ids.get, tokens, repeat(-1)))
+
     def grams(self, ids: np.ndarray) -> list[np.ndarray]:
         """For each level the place of the n-gram that ends at each token, -1 for none."""
         found = [ids]
@@ -154,10 +160,11 @@ class Automaton:
         return {**self.__dict__, "_arcs": None, "_ids": None}
 
 
-def _grams(shared) -> callable:
+def _grams(shared, often) -> Callable:
+    """Counts of n-grams one word longer than the model's; all their words are ``often`` ones."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        ids, size = model.ids, len(model.words)
+        size = len(model.words)
         held: list[np.ndarray] = []
 
         def counted() -> pa.RecordBatch:
@@ -165,8 +172,13 @@ def _grams(shared) -> callable:
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
         for batch in batches:
-            for text in batch.column(0):
-                at = np.fromiter((ids.get(t, -1) for t in tokens_of(text.as_py())), np.int64)
+            for _, texts in slices(batch):
+                places: list[int] = []
+                for text in texts:
+                    places += model.places(tokens_of(text))
+                    places.append(-1)  # nothing reaches over the end of a text
+                at = np.array(places, np.int64)
+                at[~often.value[at]] = -1
                 last = model.grams(at)[-1]
                 good = (last[:-1] >= 0) & (last[1:] >= 0) & (at[1:] >= 0)
                 held.append(last[:-1][good] * size + at[1:][good])
@@ -195,10 +207,12 @@ def train(docs: DataFrame, order: int = 3, text: str = "text") -> LanguageModel:
     chosen = sorted((r.word, r.n) for r in counts.filter(frequent).toLocalIterator())  # at most 1 / WORD_RATE
     words, number = [w for w, _ in chosen], np.array([n for _, n in chosen], np.int64)
     levels: list[tuple[np.ndarray, np.ndarray]] = []
+    least = max(2.0, GRAM_RATE * total)
+    often = spark.sparkContext.broadcast(np.append(number >= least, False))  # the last for the unknown, at -1
     for _ in range(order - 1):
         shared = spark.sparkContext.broadcast(Automaton(words, number, total, distinct, levels))
-        found = (texts.mapInArrow(_grams(shared), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-                 .filter(F.col("n") >= F.lit(max(2.0, GRAM_RATE * total))))
+        found = (texts.mapInArrow(_grams(shared, often), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+                 .filter(F.col("n") >= F.lit(least)))
         rows = sorted((r.key, r.n) for r in found.toLocalIterator())  # at most 1 / GRAM_RATE
         if not rows:
             break
@@ -220,27 +234,31 @@ def score(docs: DataFrame, model: LanguageModel, keep: list[Column | str], text:
     schema = source.drop("__text").withColumns({
         "n_tokens": F.lit(0).cast("long"), "known": F.lit(0).cast("long"), "base": F.lit(0.0),
         "walked": F.lit(0.0), "rare": F.lit(None).cast(rare)}).schema
-    kind = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int32())]))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        ids, weights = model.ids, np.array(model.root_score)
+        weights = np.array([*model.root_score, 0.0])  # the last for the unknown, at -1
         for batch in batches:
-            out = ([], [], [], [], [])
-            for value in batch.column(batch.num_columns - 1):
-                tokens = tokens_of(value.as_py())
-                at = [ids.get(t, -1) for t in tokens]
-                walked, unknown = model.walk(at)
-                inside = np.array(at)
-                inside = inside[inside >= 0]
-                rare = Counter(tokens[i] for i in unknown)
-                for column, x in zip(out, (len(tokens), len(inside), float(weights[inside].sum()) if len(inside) else 0.0,
-                                           walked, [{"word": w, "times": n} for w, n in rare.items()])):
-                    column.append(x)
-            yield pa.RecordBatch.from_arrays(
-                batch.columns[:-1] + [pa.array(c, t) for c, t in zip(
-                    out, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), kind))],
-                batch.schema.names[:-1] + ["n_tokens", "known", "base", "walked", "rare"])
+            for run, texts in slices(batch):
+                sizes, known, base, walked, ends, words, times = [], [], [], [], [0], [], []
+                for text in texts:
+                    tokens = tokens_of(text)
+                    at = model.places(tokens)
+                    score, unknown = model.walk(at)
+                    rare = Counter([tokens[i] for i in unknown])
+                    sizes.append(len(tokens))
+                    known.append(len(tokens) - len(unknown))
+                    base.append(float(weights[at].sum()))
+                    walked.append(score)
+                    words += rare.keys()
+                    times += rare.values()
+                    ends.append(len(words))
+                rare = pa.StructArray.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(times, pa.int32())],
+                                                  ["word", "times"])
+                yield pa.RecordBatch.from_arrays(
+                    run.columns[:-1] + [pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
+                                        pa.array(walked, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare)],
+                    run.schema.names[:-1] + ["n_tokens", "known", "base", "walked", "rare"])
 
     rows = staged(source.mapInArrow(walk, schema).withColumn("row", F.monotonically_increasing_id()))
     own = [c for c in rows.columns if c not in ("n_tokens", "known", "base", "walked", "rare", "row")]
