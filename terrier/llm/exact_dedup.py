@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrier.llm.common import text_of
+from terrier.llm.common import few_keys, text_of
 from terrier.session import staged
 
 #: Fingerprints a merged segment should hold, and bits of a quotient within a segment.
@@ -148,8 +148,8 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
     base = base.withColumn("fingerprint", F.xxhash64("text"))
-    repeated = staged(fingerprint_counts(base.select("fingerprint"))
-                      .filter("copies > 1").select("fingerprint"))
+    repeated = few_keys(staged(fingerprint_counts(base.select("fingerprint"))
+                               .filter("copies > 1").select("fingerprint")))
     digest = F.sha2(F.col("text"), 256).alias("text_sha256")
     texts = (base.join(repeated, "fingerprint", "left_semi")
              .groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
@@ -171,19 +171,17 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
 
 def drop_exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The documents that stay, with all their columns; of rows that repeat id and text, one."""
-    found = staged(exact_duplicates(docs, text, doc_id).filter("group_size > 1"))
-    key = [F.col(doc_id).eqNullSafe(F.col("__id")),
-           F.sha2(text_of(text), 256) == F.col("__sha")]
-    gone = found.filter("NOT kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    sha = F.unhex(F.sha2(text_of(text), 256))
+    found = staged(exact_duplicates(docs, text, doc_id).filter("group_size > 1").select(
+        F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__sha"), "kept"))
+    key = [F.col(doc_id).eqNullSafe(F.col("__id")), sha == F.col("__sha")]
+    gone, kept = (few_keys(staged(found.filter(f).drop("kept"))) for f in ("NOT kept", "kept"))
     rest = docs.join(gone, key, "left_anti")
     # a kept row can itself be there several times; only such rows are compared again
-    kept = found.filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    ties = staged(rest.select(F.col(doc_id).alias("__id"), F.sha2(text_of(text), 256).alias("__sha"))
-                  .join(kept.withColumnsRenamed({"__id": "k", "__sha": "s"}),
-                        [F.col("__id").eqNullSafe(F.col("k")), F.col("__sha") == F.col("s")], "left_semi")
-                  .groupBy("__id", "__sha").count().filter("count > 1").drop("count"))
+    ties = few_keys(staged(rest.select(doc_id, text).join(kept, key).groupBy("__id", "__sha").count()
+                           .filter("count > 1").drop("count")))
     if ties.isEmpty():
         return rest
     single = (rest.join(ties, key, "left_semi")
-              .withColumn("__sha", F.sha2(text_of(text), 256)).dropDuplicates([doc_id, "__sha"]).drop("__sha"))
+              .withColumn("__sha", sha).dropDuplicates([doc_id, "__sha"]).drop("__sha"))
     return rest.join(ties, key, "left_anti").unionByName(single)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrier.llm.common import words_of
+from terrier.llm.common import few_keys, words_of
 from terrier.llm.components import components
 from terrier.session import staged
 
@@ -274,5 +274,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One document of each component, with all its columns."""
-    gone = staged(near_duplicates(docs, text, doc_id).filter("NOT kept").select(F.col("doc_id").alias("__id")).distinct())
+    gone = few_keys(staged(near_duplicates(docs, text, doc_id).filter("NOT kept")
+                           .select(F.col("doc_id").alias("__id")).distinct()))
     return docs.join(gone, F.col(doc_id) == F.col("__id"), "left_anti")
