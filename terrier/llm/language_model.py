@@ -1,20 +1,22 @@
-"""Language-model scores by a weighted backoff automaton.
-
-Training counts all words, then level by level the n-grams whose parts reach a
-rate, each level in one pass with counts combined before the shuffle. N-grams
-become states and arcs of an automaton: an arc carries the smoothed probability of
-a word in a state; a failure arc leads to the state of the next shorter context
-and carries the mass left for it. Its size is bounded by the rates alone.
-
-Words too rare for the automaton are not lumped together: their exact counts are
-joined to their occurrences, so each has its own smoothed probability.
+"""Language-model scores by weighted backoff over staged tables of n-grams.
+
+Training counts words, then all longer n-grams in one pass, with counts combined before
+the shuffle. Every n-gram seen ``LEAST`` times is kept, whatever the size of the corpus,
+as a row of a staged table. Only a core of frequent rows is broadcast, as a cache: it
+saves joins and changes no result.
+
+The log probability of a word after a context is that of its n-gram, or else the mass
+the context leaves plus the same after the next shorter context. Written as a sum: each
+n-gram of a text adds its own value (what its probability is above that of its suffix and
+the mass its context leaves, plus the mass it leaves as a context itself), an unseen one
+adds nothing. So a score is a sum over the n-grams of a text, each looked up by its key.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import repeat
+from functools import reduce as fold
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +24,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrier.llm.common import slices, words_of
+from terrier.llm.near_dedup import WordHashes
 from terrier.session import staged
 
-#: Shares of all tokens from which words and n-grams enter: at most 1,000,000 and 500,000 a level.
-WORD_RATE, GRAM_RATE = 1e-6, 2e-6
+#: Occurrences from which an n-gram of several words is kept.
+LEAST = 2
+#: Shares of all tokens below which words enter no n-gram, and n-grams are left out: none.
+WORD_RATE, GRAM_RATE = 0.0, 0.0
+#: Share of all tokens from which a row is broadcast too: at most 500,000 a level.
+CORE_RATE = 2e-6
 #: Taken off each count of an n-gram for shorter contexts.
 DISCOUNT = 0.75
 #: The end of a text; white space, so no word is equal to it.
@@ -40,12 +47,37 @@ def tokens_of(text: str | None) -> list[bytes]:
     return words
 
 
+def hashed(texts: list[str], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of all texts in a row, and how many each text has."""
+    tokens, sizes = [], []
+    for text in texts:
+        own = tokens_of(text)
+        tokens += own
+        sizes.append(len(own))
+    return np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens)), np.array(sizes, np.int64)
+
+
+def chained(words: np.ndarray, seed: np.ndarray | int = 42) -> np.ndarray:
+    """Spark's xxhash64 of one more bigint; ``seed`` is the hash of those before."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (
+        0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def turned(x: np.ndarray, by: int) -> np.ndarray:
+        return x << np.uint64(by) | x >> np.uint64(64 - by)
+    out = np.asarray(seed, np.uint64) + (p5 + np.uint64(8)) ^ turned(words * p2, 31) * p1
+    out = turned(out, 27) * p1 + p4
+    out = (out ^ out >> np.uint64(33)) * p2
+    out = (out ^ out >> np.uint64(29)) * p3
+    return out ^ out >> np.uint64(32)
+
+
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: Counter = Counter()
+    hashes = WordHashes()
 
     def counted() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()).cast(pa.string()), pa.array(held.values(), pa.int64())],
-                                         ["word", "n"])
+        words = np.fromiter(map(hashes.__getitem__, held), np.uint64, len(held)).view(np.int64)
+        out = pa.RecordBatch.from_arrays([pa.array(words), pa.array(held.values(), pa.int64())], ["w0", "n"])
         held.clear()
         return out
     for batch in batches:
@@ -57,220 +89,164 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield counted()
 
 
-class Automaton:
-    """States, arcs and failure arcs over word ids; state 0 is the empty context."""
-
-    def __init__(self, words: list[str], counts: np.ndarray, total: int, distinct: int,
-                 levels: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """``levels``: sorted keys and counts of 2-grams, 3-grams, ...; a key is the place of
-        the n-gram without its last word times the number of words, plus that word."""
-        self.words, self.total, self.distinct = words, total, distinct
-        self.levels = levels
-        size = max(1, len(words))
-        floor = total + distinct + 1
-        prob = [(counts + 1) / floor]
-        number, last = [counts], [np.arange(len(words))]
-        suffix = [np.zeros(len(words), np.int64)]
-        own: list[np.ndarray] = []  # the state of each n-gram that has arcs, else 0
-        states = 1
-        back, fail = [0.0], [0]
-        parents = []
-        for k, (keys, count) in enumerate(levels):
-            prefix, word = keys // size, keys % size
-            taken = np.bincount(prefix, (count - DISCOUNT), minlength=len(number[k])) / np.maximum(number[k], 1)
-            has = np.bincount(prefix, minlength=len(number[k])) > 0
-            own.append(np.where(has, np.cumsum(has) + states - 1, 0))
-            states += int(has.sum())
-            rest = 1.0 - taken
-            back += np.log10(rest[has]).tolist()
-            parents.append(has)
-            under = word if k == 0 else np.searchsorted(levels[k - 1][0], suffix[k][prefix] * size + word)
-            suffix.append(under)
-            prob.append((count - DISCOUNT) / number[k][prefix] + rest[prefix] * prob[k][under])
-            number.append(count)
-            last.append(word)
-        own.append(np.zeros(len(number[-1]), np.int64))
-        target = [own[0]]
-        for k in range(1, len(own)):  # without arcs of its own an n-gram stands for its suffix
-            target.append(np.where(own[k] > 0, own[k], target[k - 1][suffix[k]]))
-        for k, has in enumerate(parents):
-            fail += (np.zeros(int(has.sum()), np.int64) if k == 0 else target[k - 1][suffix[k][has]]).tolist()
-        self.back, self.fail = back, fail
-        self.root_score, self.root_next = np.log10(prob[0]).tolist(), target[0].tolist()
-        self.arc_keys = np.concatenate([own[k][keys // size] * size + keys % size for k, (keys, _) in enumerate(levels)]
-                                       or [np.empty(0, np.int64)])
-        self.arc_score = np.concatenate([np.log10(prob[k + 1]) for k in range(len(levels))] or [np.empty(0)]).tolist()
-        self.arc_next = np.concatenate([target[k + 1] for k in range(len(levels))] or [np.empty(0, np.int64)]).tolist()
-        self._arcs = self._ids = None
-
-    @property
-    def ids(self) -> dict[bytes, int]:
-        if self._ids is None:
-            self._ids = {w.encode("utf-8"): i for i, w in enumerate(self.words)}
-        return self._ids
-
-    def places(self, tokens: list[bytes]) -> list[int]:
-        """Ids of tokens, -1 for those outside."""
-        return list(map(self.ids.get, tokens, repeat(-1)))
-
-    def grams(self, ids: np.ndarray) -> list[np.ndarray]:
-        """For each level the place of the n-gram that ends at each token, -1 for none."""
-        found = [ids]
-        for keys, _ in self.levels:
-            key = np.full(len(ids), -1, np.int64)
-            key[1:] = found[-1][:-1] * len(self.words) + ids[1:]
-            good = (ids >= 0) & (found[-1] >= 0)
-            good[1:] &= found[-1][:-1] >= 0
-            good[:1] = False
-            spot = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
-            found.append(np.where(good & (keys[spot] == key), spot, -1) if len(keys) else np.full(len(ids), -1))
-        return found
-
-    def walk(self, ids: list[int]) -> tuple[float, list[int]]:
-        """Log10 probability of what the automaton knows, and the places of the tokens it doesn't.
-
-        One pass from left to right; an unknown token falls back to the empty context,
-        where its own probability is to be added.
-        """
-        if self._arcs is None:
-            self._arcs = dict(zip(self.arc_keys.tolist(), range(len(self.arc_next))))
-        arcs, back, fail, size = self._arcs.get, self.back, self.fail, len(self.words)
-        score, state, unknown = 0.0, 0, []
-        for at, word in enumerate(ids):
-            if word < 0:
-                while state:
-                    score += back[state]
-                    state = fail[state]
-                unknown.append(at)
-                continue
-            while state:
-                arc = arcs(state * size + word)
-                if arc is not None:
-                    score += self.arc_score[arc]
-                    state = self.arc_next[arc]
-                    break
-                score += back[state]
-                state = fail[state]
-            else:
-                score += self.root_score[word]
-                state = self.root_next[word]
-        return score, unknown
-
-    def __getstate__(self) -> dict:
-        return {**self.__dict__, "_arcs": None, "_ids": None}
-
-
-def _grams(shared, often) -> Callable:
-    """Counts of n-grams one word longer than the model's; all their words are ``often`` ones."""
+def _grams(order: int, known) -> Callable:
+    """Counts of the n-grams of 2 to ``order`` words; of ``known`` words alone where they are given."""
+    names = [f"w{i}" for i in range(order)]
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        size = len(model.words)
-        held: list[np.ndarray] = []
+        hashes = WordHashes()
+        chosen = None if known is None else known.value
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def counted() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
+        def counted() -> Iterator[pa.RecordBatch]:
+            words, left = (np.concatenate(part) for part in zip(*held))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
+            for k in range(2, order + 1):
+                at = np.flatnonzero(left >= k)  # where an n-gram of k words starts
+                key = fold(lambda seed, i: chained(words[at + i], seed), range(k), np.uint64(42))
+                _, first, n = np.unique(key, return_index=True, return_counts=True)
+                at = at[first]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(words[at + i].view(np.int64)) if i < k else pa.nulls(len(at), pa.int64()) for i in range(order)]
+                    + [pa.array(n)], [*names, "n"])
         for batch in batches:
             for _, texts in slices(batch):
-                places: list[int] = []
-                for text in texts:
-                    places += model.places(tokens_of(text))
-                    places.append(-1)  # nothing reaches over the end of a text
-                at = np.array(places, np.int64)
-                at[~often.value[at]] = -1
-                last = model.grams(at)[-1]
-                good = (last[:-1] >= 0) & (last[1:] >= 0) & (at[1:] >= 0)
-                held.append(last[:-1][good] * size + at[1:][good])
-                if sum(map(len, held)) >= GATHERED:
-                    yield counted()
+                words, sizes = hashed(texts, hashes)
+                ends = np.cumsum(sizes).repeat(sizes)
+                if chosen is not None:  # an n-gram ends before the next word that is not known
+                    spot = np.minimum(np.searchsorted(chosen, words), max(0, len(chosen) - 1))
+                    out = np.flatnonzero(chosen[spot] != words) if len(chosen) else np.arange(len(words))
+                    stops = np.append(out, len(words))
+                    ends = np.minimum(ends, stops[np.searchsorted(out, np.arange(len(words)))])
+                held.append((words, ends - np.arange(len(words))))
+                if sum(len(w) for w, _ in held) >= GATHERED:
+                    yield from counted()
         if held:
-            yield counted()
+            yield from counted()
     return count
 
 
+class Core:
+    """Values of the frequent n-grams by key: a cache of the table."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        keys = rows.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.value, self.base = (rows.column(c).to_numpy()[order] for c in ("value", "base"))
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Places of keys, -1 for those outside."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        spot = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[spot] == keys, spot, -1)
+
+
 class LanguageModel:
-    """An automaton with the exact counts of the words outside it (word, n)."""
+    """The staged rows outside the core (key, value, base), the core, and what was counted."""
 
-    def __init__(self, automaton: Automaton, rare: DataFrame) -> None:
-        self.automaton, self.rare = automaton, rare
+    def __init__(self, order: int, total: int, distinct: int, core: Core, rest: DataFrame) -> None:
+        self.order, self.total, self.distinct, self.core, self.rest = order, total, distinct, core, rest
 
 
 def train(docs: DataFrame, order: int = 3, text: str = "text") -> LanguageModel:
     """The model of all rows of ``docs``; null text is an empty one. No rows: nothing is known."""
     texts = docs.select(F.col(text).alias("text"))
     spark = docs.sparkSession
-    counts = staged(texts.mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    counts = staged(texts.mapInArrow(_words, "w0 long, n long").groupBy("w0").agg(F.sum("n").alias("n")))
     row = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     total, distinct = row[0] or 0, row[1]
-    frequent = F.col("n") >= F.lit(WORD_RATE * total)
-    chosen = sorted((r.word, r.n) for r in counts.filter(frequent).toLocalIterator())  # at most 1 / WORD_RATE
-    words, number = [w for w, _ in chosen], np.array([n for _, n in chosen], np.int64)
-    levels: list[tuple[np.ndarray, np.ndarray]] = []
-    least = max(2.0, GRAM_RATE * total)
-    often = spark.sparkContext.broadcast(np.append(number >= least, False))  # the last for the unknown, at -1
-    for _ in range(order - 1):
-        shared = spark.sparkContext.broadcast(Automaton(words, number, total, distinct, levels))
-        found = (texts.mapInArrow(_grams(shared, often), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-                 .filter(F.col("n") >= F.lit(least)))
-        rows = sorted((r.key, r.n) for r in found.toLocalIterator())  # at most 1 / GRAM_RATE
-        if not rows:
-            break
-        levels.append((np.array([k for k, _ in rows], np.int64), np.array([n for _, n in rows], np.int64)))
-    return LanguageModel(Automaton(words, number, total, distinct, levels), counts.filter(~frequent))
+    names = [f"w{i}" for i in range(order)]
+    known = None
+    if WORD_RATE > 0:
+        chosen = counts.filter(F.col("n") >= F.lit(WORD_RATE * total)).select("w0").toArrow()  # at most 1 / WORD_RATE
+        known = spark.sparkContext.broadcast(np.sort(chosen.column("w0").to_numpy().view(np.uint64)))
+    grams = None
+    if order > 1:
+        grams = staged(texts.mapInArrow(_grams(order, known), ", ".join(f"{c} long" for c in [*names, "n"]))
+                       .groupBy(*names).agg(F.sum("n").alias("n")).filter(F.col("n") >= F.lit(max(float(LEAST), GRAM_RATE * total))))
+
+    def level(k: int) -> DataFrame:
+        longer = F.col(names[k]).isNull() if k < order else F.lit(True)
+        return grams.filter(F.col(names[k - 1]).isNotNull() & longer).select(*names[:k], "n")
+
+    def left_mass(rows: DataFrame, k: int) -> DataFrame:
+        """Add ``rest``, the mass that an n-gram of k words leaves as a context; 1 where nothing follows."""
+        if k == order:
+            return rows.withColumn("rest", F.lit(1.0))
+        taken = level(k + 1).groupBy(*names[:k]).agg(F.sum(F.col("n") - F.lit(DISCOUNT)).alias("taken"))
+        return rows.join(taken, names[:k], "left").withColumn(
+            "rest", F.lit(1.0) - F.coalesce(F.col("taken") / F.col("n"), F.lit(0.0))).drop("taken")
+
+    base = F.log10(F.col("n") + F.lit(1.0))
+    rows = staged(left_mass(counts, 1).withColumn("prob", (F.col("n") + F.lit(1)) / F.lit(float(total + distinct + 1))))
+    tables = [rows.select(F.xxhash64("w0").alias("key"), "n", (base + F.log10("rest")).alias("value"), base.alias("base"))]
+    for k in range(2, order + 1):
+        shorter = rows.select(*names[: k - 1], F.col("n").alias("of"), F.col("rest").alias("left"))
+        suffix = rows.select(*[F.col(a).alias(b) for a, b in zip(names, names[1:k])], F.col("prob").alias("below"))
+        found = left_mass(level(k), k).join(shorter, names[: k - 1]).join(suffix, names[1:k])
+        rows = staged(found.withColumn("prob", (F.col("n") - F.lit(DISCOUNT)) / F.col("of") + F.col("left") * F.col("below"))
+                      .select(*names[:k], "n", "rest", "prob", (F.log10("prob") - F.log10("below") - F.log10("left")).alias("more")))
+        tables.append(rows.select(F.xxhash64(*names[:k]).alias("key"), "n", (F.col("more") + F.log10("rest")).alias("value"),
+                                  F.lit(None).cast("double").alias("base")))
+    table = fold(DataFrame.unionByName, tables)
+    often = F.col("n") >= F.lit(max(1.0, CORE_RATE * total))
+    core = Core(table.filter(often).drop("n").toArrow())  # at most order / CORE_RATE rows
+    return LanguageModel(order, total, distinct, core, table.filter(~often).drop("n"))
 
 
 def score(docs: DataFrame, model: LanguageModel, keep: list[Column | str], text: str = "text") -> DataFrame:
     """``keep`` columns of every row with n_tokens, n_known, train_tokens, base_score and score.
 
     ``base_score`` is the add-one unigram log10 probability, ``score`` that of the
-    automaton with the same unigrams below it. Null and empty texts are the end
+    n-grams with the same unigrams below them. Null and empty texts are the end
     alone. Repeated rows each give their row.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model.automaton)  # bounded by the rates
-    total, distinct = model.automaton.total, model.automaton.distinct
+    shared = docs.sparkSession.sparkContext.broadcast(model.core)  # bounded by the rate
+    total, order = model.total, model.order
+    floor = float(np.log10(total + model.distinct + 1))
     source = docs.select(*keep, F.col(text).alias("__text"))
-    rare = "array<struct<word:string,times:int>>"
     schema = source.drop("__text").withColumns({
         "n_tokens": F.lit(0).cast("long"), "known": F.lit(0).cast("long"), "base": F.lit(0.0),
-        "walked": F.lit(0.0), "rare": F.lit(None).cast(rare)}).schema
+        "walked": F.lit(0.0), "others": F.lit(None).cast("array<long>")}).schema
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        weights = np.array([*model.root_score, 0.0])  # the last for the unknown, at -1
+        core, hashes = shared.value, WordHashes()
         for batch in batches:
             for run, texts in slices(batch):
-                sizes, known, base, walked, ends, words, times = [], [], [], [], [0], [], []
-                for text in texts:
-                    tokens = tokens_of(text)
-                    at = model.places(tokens)
-                    score, unknown = model.walk(at)
-                    rare = Counter([tokens[i] for i in unknown])
-                    sizes.append(len(tokens))
-                    known.append(len(tokens) - len(unknown))
-                    base.append(float(weights[at].sum()))
-                    walked.append(score)
-                    words += rare.keys()
-                    times += rare.values()
-                    ends.append(len(words))
-                rare = pa.StructArray.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(times, pa.int32())],
-                                                  ["word", "times"])
+                words, sizes = hashed(texts, hashes)
+                n, own = len(texts), np.arange(len(texts)).repeat(sizes)
+                left = np.cumsum(sizes).repeat(sizes) - np.arange(len(words))
+                known, walked, base = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+                seed, others = np.full(len(words), 42, np.uint64), []
+                for k in range(1, order + 1):
+                    at = np.flatnonzero(left >= k)
+                    seed[at] = chained(words[at + k - 1], seed[at])
+                    place = core.places(seed[at])
+                    hit, place = at[place >= 0], place[place >= 0]
+                    walked += np.bincount(own[hit], core.value[place], n)
+                    if k == 1:
+                        base += np.bincount(own[hit], core.base[place], n)
+                        known += np.bincount(own[hit], minlength=n)
+                    missed = np.setdiff1d(at, hit, assume_unique=True)
+                    others.append((own[missed], seed[missed]))
+                rows, keys = (np.concatenate(part) for part in zip(*others))
+                ends = np.append(0, np.cumsum(np.bincount(rows, minlength=n)))
+                keys = keys[np.argsort(rows, kind="stable")].view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    run.columns[:-1] + [pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
-                                        pa.array(walked, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare)],
-                    run.schema.names[:-1] + ["n_tokens", "known", "base", "walked", "rare"])
+                    run.columns[:-1] + [pa.array(sizes), pa.array(known), pa.array(base), pa.array(walked),
+                                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys))],
+                    run.schema.names[:-1] + ["n_tokens", "known", "base", "walked", "others"])
 
     rows = staged(source.mapInArrow(walk, schema).withColumn("row", F.monotonically_increasing_id()))
-    own = [c for c in rows.columns if c not in ("n_tokens", "known", "base", "walked", "rare", "row")]
-    floor = float(np.log10(total + distinct + 1))
-    n = F.coalesce("n", F.lit(0))
-    tail = (rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times")
-            .join(model.rare, "word", "left")
-            .groupBy("row").agg(
-                F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("seen"),
-                F.sum(F.col("times") * (F.log10(n + F.lit(1.0)) - F.lit(floor))).alias("tail")))
-    more = F.coalesce("tail", F.lit(0.0))
+    own = [c for c in rows.columns if c not in ("n_tokens", "known", "base", "walked", "others", "row")]
+    tail = (rows.select("row", F.explode("others").alias("key")).join(model.rest, "key")
+            .groupBy("row").agg(F.count("base").alias("seen"), F.sum("value").alias("more"), F.sum("base").alias("below")))
+    zero = F.lit(0.0)
+    least = F.col("n_tokens") * F.lit(floor)
     return rows.join(tail, "row", "left").select(
         *own, "n_tokens", (F.col("known") + F.coalesce("seen", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"),
-        (F.col("walked") + more).alias("score"))
+        F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("below", zero) - least).alias("base_score"),
+        (F.col("walked") + F.coalesce("more", zero) - least).alias("score"))

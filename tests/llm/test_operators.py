@@ -528,6 +528,33 @@ def test_language_model_as_written_out(spark, monkeypatch, order):
         assert abs(row.score - want) < 1e-6
 
 
+def test_language_model_keeps_ngrams_of_any_share(spark):
+    """Among 1.6 million other tokens, n-grams seen twice and their words count as on a small table."""
+    rare = ["alpha beta gamma delta", "alpha beta gamma delta", "beta gamma epsilon", "zeta alpha beta epsilon"]
+    texts = [*rare, *["f " * 400_000] * 4]
+    chance, counts, total, distinct = plain_model(texts, 3, 0, 0)
+    docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    asked = [*rare, "gamma delta alpha beta gamma new beta gamma"]
+    rows = language_model.score(documents(spark, [(i, t, "en", "a") for i, t in enumerate(asked)]),
+                                language_model.train(docs), ["doc_id"]).collect()
+    assert len(rows) == len(asked)
+    for row in rows:
+        t = tokens(asked[row.doc_id])
+        want = sum(math.log10(chance(w, tuple(t[max(0, i - 2): i]))) for i, w in enumerate(t))
+        assert row.train_tokens == total and abs(row.score - want) < 1e-6
+
+
+@pytest.mark.parametrize("core", [0.0, 0.005, 1.0])
+def test_language_model_is_one_whatever_is_broadcast(spark, monkeypatch, core):
+    monkeypatch.setattr(language_model, "CORE_RATE", core)
+    texts = [*random_texts(150, 9, 60, 25), None, ""]
+    chance, *_ = plain_model(texts, 3, 0, 0)
+    docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    for row in language_model.score(docs, language_model.train(docs), ["doc_id"]).collect():
+        t = tokens(texts[row.doc_id])
+        assert abs(row.score - sum(math.log10(chance(w, tuple(t[max(0, i - 2): i]))) for i, w in enumerate(t))) < 1e-6
+
+
 def test_language_model_of_odd_rows(odd, empty):
     model = language_model.train(odd)
     assert language_model.score(odd, model, ["doc_id"]).count() == len(ODD)
