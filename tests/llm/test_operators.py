@@ -303,6 +303,31 @@ def test_fuzzy_lines_as_brute_force(spark):
         assert texts[i] == "\n".join(x for k, x in enumerate(t.split("\n")) if want.get((i, k), True))
 
 
+@pytest.mark.parametrize("edits", ["one", "word", "most"])
+def test_recall_of_fuzzy_lines_against_edit_similarity(spark, edits):
+    """Lines with a copy of one altered letter, one altered word, or as many edits as may be."""
+    rng = random.Random(21)
+    pool = ["".join(rng.choice("abcdefghiklmnoprstuvw") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    pairs = []
+    while len(pairs) < 300:
+        line = " ".join(rng.choice(pool) for _ in range(rng.randrange(8, 41)))
+        words, most = line.split(), len(line) // 10
+        if edits == "word":
+            words[rng.randrange(len(words))] = rng.choice(pool)
+        chars = list(" ".join(words))
+        for _ in range({"one": 1, "word": 0, "most": most}[edits]):
+            chars[rng.randrange(1, len(chars) - 1)] = rng.choice("abcdefgh")
+        other = "".join(chars)
+        if other != line and line_dedup.alike(line.encode(), other.encode()):
+            pairs.append((line, other))
+    docs = documents(spark, [(2 * i + k, t, "en", "a") for i, pair in enumerate(pairs) for k, t in enumerate(pair)])
+    groups = {r.doc_id: r.group_id for r in line_dedup.fuzzy_lines(docs).collect()}
+    recall = sum(groups[2 * i] == groups[2 * i + 1] for i in range(len(pairs))) / len(pairs)
+    print(f"recall {edits} {recall}")
+    assert recall >= {"one": 1, "word": 1, "most": 0.97}[edits]
+    assert len(set(groups.values())) >= len(pairs)
+
+
 def test_lines_of_odd_rows(odd, empty):
     rows = {r.doc_id: r for r in line_dedup.document_lines(odd).collect()}
     assert len(rows) == 8
