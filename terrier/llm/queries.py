@@ -19,6 +19,7 @@ from terrier.llm import (
     secrets,
 )
 from terrier.llm.common import held_out
+from terrier.llm.turn_queries import OP11_SQL, op11_conversation_repair
 from terrier.queries.tables import Query
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -189,4 +190,5 @@ QUERIES: dict[str, Query] = {
     "op9_secrets": Query(op9_secrets),
     "pipeline": Query(corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
     "op10_language_model": Query(op10_language_model),
+    "op11_conversation_repair": Query(op11_conversation_repair, OP11_SQL),
 }
