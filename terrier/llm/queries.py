@@ -19,6 +19,7 @@ from terrier.llm import (
     secrets,
 )
 from terrier.llm.common import held_out
+from terrier.llm.corpus_queries import OP12_SQL, op12_collocations, op13_simhash_dedup
 from terrier.llm.turn_queries import OP11_SQL, op11_conversation_repair
 from terrier.queries.tables import Query
 
@@ -191,4 +192,6 @@ QUERIES: dict[str, Query] = {
     "pipeline": Query(corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
     "op10_language_model": Query(op10_language_model),
     "op11_conversation_repair": Query(op11_conversation_repair, OP11_SQL),
+    "op12_collocations": Query(op12_collocations, OP12_SQL),
+    "op13_simhash_dedup": Query(op13_simhash_dedup),
 }
