@@ -270,7 +270,8 @@ def _subtree(group: pa.Table) -> pa.Table:
                     names=["lang", "phrase", "n"])
 
 
-def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang",
+                  budget: int = BUDGET) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, n) of all phrases of one to four words seen ``LEAST`` times, and (lang, n) of all words."""
     sc = docs.sparkSession.sparkContext
     texts = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"),
@@ -282,7 +283,7 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> tu
     known = sc.broadcast(bit_table(words))
     pairs = staged(texts.mapInArrow(_count_pairs(known), schema).groupBy("lang", "phrase").agg(sums)
                    .filter(F.col("n") >= LEAST))
-    groups = sc.broadcast(Groups(pairs))
+    groups = sc.broadcast(Groups(pairs, budget))
     suffixes = texts.mapInArrow(_suffixes(known, sc.broadcast(bit_table(pairs)), groups), f"group long, {schema}")
     longer = staged(suffixes.groupBy("group").applyInArrow(_subtree, schema))
     return words.unionByName(pairs).unionByName(longer), staged(all_words.groupBy("lang").agg(sums))
