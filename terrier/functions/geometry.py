@@ -75,6 +75,16 @@ def area(geom: Column) -> Column:
     return F.aggregate(F.transform(geom["parts"], part), F.lit(0.0), lambda acc, a: acc + a)
 
 
+def corners(ring: Column) -> Column:
+    """The vertices of a closed ring at which it turns, each once."""
+    n = F.size(ring) - 1
+
+    def turns(v: Column, i: Column) -> Column:
+        a, b = F.get(ring, F.pmod(i + n - 1, n)), F.get(ring, i + 1)
+        return (v["x"] - a["x"]) * (b["y"] - v["y"]) != (v["y"] - a["y"]) * (b["x"] - v["x"])
+    return F.filter(F.slice(ring, F.lit(1), n), turns)
+
+
 def vertex_count(geom: Column) -> Column:
     return F.size(vertices(geom))
 

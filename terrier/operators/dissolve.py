@@ -1,4 +1,4 @@
-"""Dissolving polygons: cancel shared edges, then stitch what is left into rings."""
+"""Dissolving polygons: cancel shared edges, find the union's border, stitch it into rings."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrier.functions import geometry as G
+from terrier.operators.arrangement import union_border
 from terrier.operators.spatial import point_in_zone
 from terrier.session import staged
 
@@ -109,14 +110,28 @@ def stitch(border: DataFrame, keys: Sequence[str], max_steps: int = 64) -> DataF
                     lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"))).alias("vertices"))
 
 
+def union_outline(df: DataFrame, keys: Sequence[str], geom: str, size: float,
+                  snap: float | None = None) -> DataFrame:
+    """Edges on the border of each group's union, whether its polygons share vertices, overlap or not.
+
+    Segments that cancel are gone before the rest is noded, so polygons that share
+    all vertices cost no more than their outline. A vertex within ``snap`` of another
+    polygon's edge (a billionth of ``size`` by default) becomes a vertex of it.
+    """
+    border = outline(df, keys, geom).select(_group(keys).alias("k"), *_EDGE, "times")
+    return union_border(border, size, snap).select(*[F.col(f"k.{c}").alias(c) for c in keys], *_EDGE)
+
+
 def dissolve(df: DataFrame, keys: Sequence[str], geom: str, srid: int,
-             size: float) -> DataFrame:
-    """One geometry per group: the union of its polygons, which must share vertices.
+             size: float, snap: float | None = None) -> DataFrame:
+    """One geometry per group: the union of its polygons.
 
-    Only the keys are kept; attributes of an arbitrary member would be stale.
-    ``size`` is the grid cell for placing holes in their shells.
+    They may share borders with or without sharing vertices, overlap, cross or hold one
+    another. Only the keys are kept; attributes of an arbitrary member would be stale.
+    ``size`` is the grid cell in which segments are compared and holes placed in their
+    shells. Groups without a polygon give no row.
     """
-    rings = staged(stitch(outline(df, keys, geom), keys)
+    rings = staged(stitch(union_outline(df, keys, geom, size, snap), keys)
                    .withColumn("signed", G.ring_area(F.col("vertices")))
                    .withColumn("__k", _group(keys)))
     shells = rings.where("signed > 0")

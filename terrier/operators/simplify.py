@@ -1,4 +1,4 @@
-"""Fewer vertices: Douglas and Peucker (1973) on each ring of each feature."""
+"""Fewer vertices: Douglas and Peucker (1973), with every step checked against the whole shape."""
 
 from __future__ import annotations
 
@@ -17,37 +17,145 @@ from terrier.functions import geometry as G
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def thin_ring(xy: np.ndarray, tolerance: float) -> np.ndarray:
-    """Which vertices of a closed ring stay; at least four, so the ring stays a ring."""
-    n = len(xy)
-    if n <= 4:
-        return np.arange(n)
-    # a closed line has no ends: cut it at the first vertex and the one farthest from it
+class Segments:
+    """The segments of one shape as it is being thinned, by the grid cells they meet."""
+
+    def __init__(self, rings: list[np.ndarray]) -> None:
+        self.ends = np.concatenate([np.hstack([r[:-1], r[1:]]) for r in rings])
+        self.alive = np.ones(len(self.ends), dtype=bool)
+        self.more: list[np.ndarray] = []
+        low, high = self.ends.min(axis=0), self.ends.max(axis=0)
+        self.origin = np.minimum(low[:2], low[2:])
+        extent = float((np.maximum(high[:2], high[2:]) - self.origin).max())
+        self.side = extent / max(1.0, len(self.ends) ** 0.5) or 1.0
+        self.cells: dict[tuple[int, int], list[int]] = {}
+        for number, ends in enumerate(self.ends):
+            self._file(number, ends)
+
+    def _cover(self, ends: np.ndarray) -> Iterator[tuple[int, int]]:
+        xs, ys = sorted((ends[0], ends[2])), sorted((ends[1], ends[3]))
+        x1, x2 = (int((x - self.origin[0]) // self.side) for x in xs)
+        y1, y2 = (int((y - self.origin[1]) // self.side) for y in ys)
+        for x in range(x1, x2 + 1):
+            for y in range(y1, y2 + 1):
+                yield x, y
+
+    def _file(self, number: int, ends: np.ndarray) -> None:
+        for cell in self._cover(ends):
+            self.cells.setdefault(cell, []).append(number)
+
+    def _near(self, ends: np.ndarray) -> np.ndarray:
+        found = {n for cell in self._cover(ends) for n in self.cells.get(cell, ())}
+        first = len(self.alive)
+        return np.array([self.ends[n] if n < first else self.more[n - first] for n in found
+                         if n >= first or self.alive[n]]).reshape(-1, 4)
+
+    def replace(self, first: int, last: int, ends: np.ndarray) -> bool:
+        """Put one segment in place of those numbered ``first`` to ``last`` - 1, if it meets no other."""
+        self.alive[first:last] = False
+        if meets(ends, self._near(ends)):
+            self.alive[first:last] = True
+            return False
+        self._file(len(self.alive) + len(self.more), ends)
+        self.more.append(ends)
+        return True
+
+
+def _turn(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Positive where c lies left of a to b."""
+    return (b[..., 0] - a[..., 0]) * (c[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (c[..., 0] - a[..., 0])
+
+
+def meets(ends: np.ndarray, others: np.ndarray) -> bool:
+    """Whether a segment meets any other, but for ends that they share."""
+    if not len(others):
+        return False
+    p, q, a, b = ends[:2], ends[2:], others[:, :2], others[:, 2:]
+
+    def within(c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        return ((c >= np.minimum(lo, hi)) & (c <= np.maximum(lo, hi))).all(axis=-1)
+    pa, pb, ap, aq = _turn(p, q, a), _turn(p, q, b), _turn(a, b, p), _turn(a, b, q)
+    crossing = (np.sign(pa) * np.sign(pb) < 0) & (np.sign(ap) * np.sign(aq) < 0)
+    same = {(x, y): (s == t).all(axis=1) for x, s in (("a", a), ("b", b)) for y, t in (("p", p), ("q", q))}
+    on = ((pa == 0) & within(a, p, q) & ~same["a", "p"] & ~same["a", "q"]
+          | (pb == 0) & within(b, p, q) & ~same["b", "p"] & ~same["b", "q"]
+          | (ap == 0) & within(p, a, b) & ~same["a", "p"] & ~same["b", "p"]
+          | (aq == 0) & within(q, a, b) & ~same["a", "q"] & ~same["b", "q"])
+    twice = same["a", "p"] & same["b", "q"] | same["a", "q"] & same["b", "p"]
+    return bool((crossing | on | twice).any())
+
+
+def holds(path: np.ndarray, points: np.ndarray) -> bool:
+    """Whether any point lies inside the area between an open path and its closing segment."""
+    if not len(points):
+        return False
+    a, b = path, np.roll(path, -1, axis=0)
+    x, y = points[:, :1], points[:, 1:]
+    straddles = (a[:, 1] > y) != (b[:, 1] > y)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        at = a[:, 0] + (y - a[:, 1]) / (b[:, 1] - a[:, 1]) * (b[:, 0] - a[:, 0])
+    return bool((np.count_nonzero(straddles & (x < at), axis=1) % 2 == 1).any())
+
+
+def _offsets(xy: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """Distances of the vertices between two of a line from the segment that joins them."""
+    a, ab, between = xy[lo], xy[hi] - xy[lo], xy[lo + 1:hi]
+    length = float(ab @ ab)
+    along = np.clip(((between - a) @ ab) / length, 0, 1) if length else np.zeros(len(between))
+    return np.hypot(*(between - (a + along[:, None] * ab)).T)
+
+
+def _anchors(xy: np.ndarray) -> list[int]:
+    """Vertices that stay, so that a closed ring keeps an area: the first, the farthest, and the one off their line."""
     far = int(np.argmax(((xy - xy[0]) ** 2).sum(axis=1)))
-    gain = np.zeros(n)
-    gain[[0, far, n - 1]] = np.inf
-    spans = [(0, far), (far, n - 1)]
-    while spans:
-        lo, hi = spans.pop()
-        if hi - lo < 2:
+    aside = int(np.argmax(np.abs(_turn(xy[0], xy[far], xy))))
+    return sorted({0, far, aside, len(xy) - 1})
+
+
+def thin_shape(rings: list[np.ndarray], tolerance: float) -> list[np.ndarray]:
+    """Which vertices of each closed ring of one shape stay.
+
+    A run of vertices goes if all lie within the tolerance of the segment that takes its
+    place, and that segment neither meets what is left of the shape nor passes over another
+    ring or the rest of its own. So rings do not cross, holes stay inside, and islands
+    outside. Rings keep at least three vertices; what crosses already is left as it is.
+    """
+    stay = [np.arange(len(r)) if len(r) <= 4 else None for r in rings]
+    if all(s is not None for s in stay):
+        return stay
+    segments, base = Segments(rings), np.cumsum([0] + [len(r) - 1 for r in rings])
+    firsts = np.array([r[0] for r in rings])
+    for i, xy in enumerate(rings):
+        if stay[i] is not None:
             continue
-        a, ab = xy[lo], xy[hi] - xy[lo]
-        between = xy[lo + 1:hi]
-        length = float(ab @ ab)
-        along = np.clip(((between - a) @ ab) / length, 0, 1) if length else np.zeros(len(between))
-        offset = np.hypot(*(between - (a + along[:, None] * ab)).T)
-        worst = int(np.argmax(offset))
-        gain[lo + 1 + worst] = offset[worst]
-        if offset[worst] > tolerance:
+        others = np.delete(firsts, i, axis=0)
+        anchors = _anchors(xy)
+        keep = set(anchors)
+        spans = list(zip(anchors[:-1], anchors[1:]))
+        while spans:
+            lo, hi = spans.pop()
+            if hi - lo < 2:
+                continue
+            offsets = _offsets(xy, lo, hi)
+            worst = int(np.argmax(offsets))
+            if offsets[worst] <= tolerance:
+                rest = xy[1:lo][:1] if hi == len(xy) - 1 else xy[hi + 1:hi + 2] if lo or hi + 2 < len(xy) else xy[:0]
+                if (not holds(xy[lo:hi + 1], np.concatenate([others, rest]))
+                        and segments.replace(base[i] + lo, base[i] + hi, np.concatenate([xy[lo], xy[hi]]))):
+                    continue
+            keep.add(lo + 1 + worst)
             spans += [(lo, lo + 1 + worst), (lo + 1 + worst, hi)]
-    keep = np.flatnonzero(gain > tolerance)
-    if len(keep) < 4:
-        keep = np.sort(np.argsort(-gain, kind="stable")[:4])
-    return keep
+        stay[i] = np.array(sorted(keep))
+    return stay
+
+
+def thin_ring(xy: np.ndarray, tolerance: float) -> np.ndarray:
+    """Which vertices of a closed ring stay."""
+    return thin_shape([xy], tolerance)[0]
 
 
 def thin_geometries(shapes: pa.StructArray, tolerance: float) -> pa.StructArray:
-    """Thin every ring of an Arrow batch; works on the flat vertex arrays."""
+    """Thin every shape of an Arrow batch; works on the flat vertex arrays."""
     parts = shapes.field("parts")
     rings = parts.values.values
     if len(rings) == 0:
@@ -55,9 +163,13 @@ def thin_geometries(shapes: pa.StructArray, tolerance: float) -> pa.StructArray:
     vertices = rings.values
     xy = np.column_stack([vertices.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y")])
     ends = rings.offsets.to_numpy()
-    keep = np.zeros(len(xy), dtype=bool)
-    for lo, hi in zip(ends[:-1], ends[1:]):
-        keep[lo + thin_ring(xy[lo:hi], tolerance)] = True
+    of_part, of_shape = parts.values.offsets.to_numpy(), parts.offsets.to_numpy()
+    keep = np.ones(len(xy), dtype=bool)
+    for first, last in zip(of_part[of_shape[:-1]], of_part[of_shape[1:]]):
+        own = [xy[lo:hi] for lo, hi in zip(ends[first:last], ends[first + 1:last + 1])]
+        for lo, hi, stay in zip(ends[first:last], ends[first + 1:last + 1], thin_shape(own, tolerance)):
+            keep[lo:hi] = False
+            keep[lo + stay] = True
     kept_before = np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)
     thinner = pa.ListArray.from_arrays(pa.array(kept_before[ends]), vertices.filter(pa.array(keep)))
     nested = pa.ListArray.from_arrays(
@@ -66,9 +178,10 @@ def thin_geometries(shapes: pa.StructArray, tolerance: float) -> pa.StructArray:
 
 
 def simplify(df: DataFrame, geom: str, tolerance: float) -> DataFrame:
-    """Simplify a geometry column; rings are independent and keep their ends.
+    """Simplify a geometry column, each shape for itself and with its topology kept.
 
-    The result has a subset of the vertices, not the same ones as other tools.
+    The result has a subset of the vertices, not the same ones as other tools. Every
+    vertex left out lies within the tolerance of the segment that replaces it.
     """
     @F.arrow_udf(G.GEOMETRY)
     def thin(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

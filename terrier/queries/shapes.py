@@ -164,6 +164,23 @@ def _dissolve_country(spark: SparkSession, folder: str) -> DataFrame:
                          .alias("n_edges"))
 
 
+def _boxes(spark: SparkSession, folder: str) -> DataFrame:
+    """Boxes of a few units that overlap, hold one another and meet without shared vertices."""
+    k = F.col("p_partkey")
+    x, y = (k * 13 % 17).cast("double"), F.floor(k / 150).cast("double")
+    return table(spark, folder, "part").select("p_brand", G.polygon(F.array(
+        G.box_ring(x, y, x + 1 + k % 3, y + 1 + k % 2)), G.LAMBERT93).alias("geom"))
+
+
+def _dissolve_union(spark: SparkSession, folder: str) -> DataFrame:
+    """The corners of each brand's union, how often its rings turn there, and its area."""
+    shapes = D.dissolve(_boxes(spark, folder), ["p_brand"], "geom", G.LAMBERT93, 4.0)
+    turns = F.flatten(F.transform(G.rings(F.col("geom")), G.corners))
+    return shapes.select("p_brand", G.area(F.col("geom")).alias("area"), F.explode(turns).alias("v")).groupBy(
+        "p_brand", "area", F.col("v.x").cast("long").alias("x"), F.col("v.y").cast("long").alias("y")).agg(
+        F.count(F.lit(1)).alias("turns"))
+
+
 def _lots(spark: SparkSession, folder: str) -> DataFrame:
     p = _lonlat(spark, folder).join(table(spark, folder, "customer"), "c_custkey")
     ring = _ring(LOT, F.col("longitude"), F.col("latitude"), 0.001)
@@ -191,21 +208,75 @@ def _polygon_area(spark: SparkSession, folder: str) -> DataFrame:
                     box["maxx"].alias("maxx"), box["maxy"].alias("maxy"))
 
 
+def _jagged(k: Column, radius: float, count: int, waves: int) -> Column:
+    """A closed ring around (k, k) that wavers by 0.05."""
+    turn = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.radians(i * F.lit(360.0 / count)))
+    rim = F.transform(turn, lambda a: F.struct(
+        (k + F.cos(a) * (F.lit(radius) + F.sin(a * waves + k) * 0.05)).alias("x"),
+        (k + F.sin(a) * (F.lit(radius) + F.sin(a * waves + k) * 0.05)).alias("y")))
+    return F.concat(rim, F.slice(rim, 1, 1))
+
+
 def _simplify(spark: SparkSession, folder: str) -> DataFrame:
     # a jagged rim of 60 vertices around each supplier's point
     k = F.col("s_suppkey")
-    turn = F.transform(F.sequence(F.lit(0), F.lit(59)), lambda i: F.radians(i * F.lit(6.0)))
-    rim = F.transform(turn, lambda a: F.struct(
-        (k + F.cos(a) * (F.lit(3.0) + F.sin(a * 7 + k) * 0.05)).alias("x"),
-        (k + F.sin(a) * (F.lit(3.0) + F.sin(a * 7 + k) * 0.05)).alias("y")))
     shapes = table(spark, folder, "supplier").select(
-        k.alias("zone"), rim.alias("rim")).select(
-        "zone", G.polygon(F.array(F.concat("rim", F.slice("rim", 1, 1))), G.WGS84).alias("geom"))
+        k.alias("zone"), G.polygon(F.array(_jagged(k, 3.0, 60, 7)), G.WGS84).alias("geom"))
     return simplify(shapes, "geom", 0.1).select(
         "zone", G.vertex_count(F.col("geom")).alias("n_vertices"),
         F.round(G.area(F.col("geom")), 6).alias("area"))
 
 
+def _simplify_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """What simplification promises, of shapes with a hole and an island close to their rim."""
+    k, tolerance = F.col("s_suppkey"), 0.2
+    rings = F.array(_jagged(k, 3.0, 90, 11), _jagged(k, 2.88, 80, 7))
+    given = table(spark, folder, "supplier").select(k.alias("zone"), F.struct(
+        F.lit(G.WGS84).alias("srid"), F.array(rings, F.array(_jagged(k, 2.76, 70, 9))).alias("parts")).alias("geom"))
+    both = simplify(given.withColumn("before", F.col("geom")), "geom", tolerance)
+    pairs = both.select("zone", "geom", F.arrays_zip(
+        G.rings(F.col("before")).alias("old"), G.rings(F.col("geom")).alias("new")).alias("rings"))
+
+    def places(r: Column) -> Column:
+        """Where the vertices left stood, with the end of the closed ring last."""
+        kept = F.slice(r["new"], F.lit(1), F.size(r["new"]) - 1)
+        return F.concat(F.transform(kept, lambda v: F.array_position(r["old"], v).cast("int")), F.array(F.size(r["old"])))
+
+    def close(r: Column) -> Column:
+        """Whether every old vertex lies near the segment that runs past it."""
+        def near(p: Column, i: Column) -> Column:
+            a, b = F.get(r["old"], p - 1), F.get(r["old"], F.get(r["places"], i + 1) - 1)
+            dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+
+            def off(v: Column) -> Column:
+                t = F.least(F.greatest(((v["x"] - a["x"]) * dx + (v["y"] - a["y"]) * dy) / (dx * dx + dy * dy), F.lit(0.0)), F.lit(1.0))
+                return F.hypot(v["x"] - a["x"] - t * dx, v["y"] - a["y"] - t * dy) > tolerance + 1e-9
+            between = F.slice(r["old"], p, F.greatest(F.get(r["places"], i + 1) - p, F.lit(1)))
+            return F.when(i + 1 < F.size(r["places"]), F.exists(between, off)).otherwise(F.lit(False))
+        return ~F.exists(F.transform(r["places"], near), lambda far: far)
+
+    def turn(a: Column, b: Column, c: Column, d: Column, x: Column, y: Column) -> Column:
+        return F.signum((c - a) * (y - b) - (d - b) * (x - a))
+
+    def cross(e: Column, f: Column) -> Column:
+        one = turn(e["ax"], e["ay"], e["bx"], e["by"], f["ax"], f["ay"]) * turn(e["ax"], e["ay"], e["bx"], e["by"], f["bx"], f["by"])
+        two = turn(f["ax"], f["ay"], f["bx"], f["by"], e["ax"], e["ay"]) * turn(f["ax"], f["ay"], f["bx"], f["by"], e["bx"], e["by"])
+        return (one < 0) & (two < 0)
+
+    def inside(inner: Column, outer: Column) -> Column:
+        es = G.ring_edges(outer)
+        return F.forall(inner, lambda v: F.pmod(G.crossings(es, v["x"], v["y"]), F.lit(2)) == 1)
+    located = pairs.select("zone", "geom", F.transform("rings", lambda r: r.withField("places", places(r))).alias("rings"))
+    es = G.edges(F.col("geom"))
+    shell, hole, island = (F.get(G.rings(F.col("geom")), F.lit(i)) for i in range(3))
+    return located.select(
+        "zone", F.forall("rings", lambda r: r["places"] == F.array_sort(r["places"])).alias("in_order"),
+        F.forall("rings", close).alias("within_tolerance"),
+        (~F.exists(es, lambda e: F.exists(es, lambda f: cross(e, f)))).alias("no_crossing"),
+        (inside(hole, shell) & inside(island, hole)).alias("nested"),
+        F.forall("rings", lambda r: (F.size(r["new"]) < F.size(r["old"])) & (F.size(r["new"]) > 3)).alias("fewer"))
+
+
 # --- tiles ----------------------------------------------------------------------------------
 
 def _tiles(spark: SparkSession, folder: str) -> DataFrame:
@@ -412,7 +483,22 @@ SELECT zone, (SELECT abs(sum(ax * bv - bx * ay)) / 2 FROM shell)
        - CASE WHEN zone % 3 = 0 THEN 9 ELSE 0 END AS area,
        CASE WHEN zone % 3 = 0 THEN 11 ELSE 6 END::INTEGER AS n_vertices,
        min(ax) AS minx, min(ay) AS miny, max(ax) AS maxx, max(ay) AS maxy FROM edge GROUP BY zone"""),
+    "dissolve_union": Query(_dissolve_union, """
+WITH boxes AS (SELECT p_brand, p_partkey * 13 % 17 AS x, p_partkey // 150 AS y, 1 + p_partkey % 3 AS w,
+                      1 + p_partkey % 2 AS h FROM part),
+wide AS (SELECT p_brand, unnest(range(x, x + w)) AS x, y, h FROM boxes),
+cells AS (SELECT DISTINCT p_brand, x, unnest(range(y, y + h)) AS y FROM wide),
+-- which of the four cells around a point are covered: a corner has one, three, or two that face each other
+around AS (SELECT p_brand, x + dx AS x, y + dy AS y, dx, dy
+           FROM cells CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS d(dx, dy)),
+points AS (SELECT p_brand, x, y, count(*) AS n, count(*) FILTER (dx = dy) AS straight FROM around GROUP BY ALL)
+SELECT p_brand, area, x, y, CASE n WHEN 2 THEN 2 ELSE 1 END::BIGINT AS turns FROM points
+JOIN (SELECT p_brand, count(*)::DOUBLE AS area FROM cells GROUP BY p_brand) USING (p_brand)
+WHERE n IN (1, 3) OR n = 2 AND straight IN (0, 2)"""),
     "simplify": Query(_simplify),
+    "simplify_checks": Query(_simplify_checks, """
+SELECT s_suppkey AS zone, true AS in_order, true AS within_tolerance, true AS no_crossing, true AS nested,
+       true AS fewer FROM supplier"""),
     "tile_assign": Query(_tile_assign, TILES_SQL + "SELECT * FROM ts"),
     "tile_density_cap": Query(_tile_cap, TILES_SQL + """
 SELECT c_custkey, z, x, y FROM ts QUALIFY row_number() OVER (
