@@ -5,9 +5,11 @@ its maximum, for one evaluation per shingle. Values are banded; the candidates o
 band are confirmed on the full shingle sets.
 
 * Texts of equal shingle sets are one class, found by one grouping.
-* Star step: every class is paired with one other only, the lowest class of most of
-  its buckets. Confirmed pairs make components.
-* Block step: in buckets that hold several components, the classes outside the
+* Star steps: every class is paired with one other only, first with the lowest class of
+  most of its buckets. Confirmed pairs make components. Then, in buckets that hold several
+  components, each class outside the largest is paired with another member of it, round by
+  round, as long as a round ties a good part of them.
+* Block step: where buckets still hold several components, the classes outside the
   largest meet all others in blocks of bounded size. Each pair is looked at once, in
   the first band it shares, and confirmed inside the task; only links leave it.
 
@@ -37,6 +39,8 @@ BAND, PERMUTATIONS = 4, 80
 LEAST_AGREEMENT = 0.58
 #: Classes of one block, and ids up to which an id list (8 bytes each) is broadcast.
 BLOCK, BROADCAST_IDS = 256, 1 << 20
+#: Stars are repeated while a round ties one in so many of the classes that are apart.
+STAR_GAIN = 5
 WORDS_KEPT = 500_000
 
 
@@ -92,6 +96,11 @@ def signature(items: np.ndarray, scale: np.ndarray, shift: np.ndarray) -> np.nda
     return (_mixed(np.concatenate([low, high])) >> np.uint64(48)).astype(np.uint16)
 
 
+def _digest(items: bytes) -> bytes:
+    """The digest of a packed shingle set."""
+    return hashlib.blake2b(items, digest_size=16).digest()
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes, (scale, shift) = WordHashes(), _permutations()
     for batch in batches:
@@ -100,7 +109,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = shingles(text.as_py(), hashes)
             sizes.append(len(items))
             if len(items):
-                sets.append(hashlib.blake2b(items.tobytes(), digest_size=16).digest())
+                sets.append(_digest(items.tobytes()))
                 bands.append(signature(items, scale, shift).view(np.int64))
             else:
                 sets.append(None)
@@ -129,18 +138,21 @@ def alike(left: bytes, right: bytes) -> bool:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([shingles(t.as_py(), hashes).tobytes() for t in batch.column(1)], pa.binary())],
-            ["id", "item"])
+        items = [shingles(t.as_py(), hashes).tobytes() for t in batch.column(2)]
+        own = pa.array([_digest(x) == s.as_py() for x, s in zip(items, batch.column(1))], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.binary())], ["id", "item"]).filter(own)
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and item, the packed shingle set, of the documents (doc_id, text) with the given ids."""
-    chosen = docs.join(ids, docs.doc_id == ids["id"], "left_semi")
-    return chosen.select("doc_id", "text").mapInArrow(_sets, "id long, item binary")
+def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id and item, the packed shingle set, of ``wanted`` (id, doc_id, set) from texts (doc_id, text).
+
+    One doc_id may have several texts; the digest tells which of them is meant.
+    """
+    found = docs.join(wanted, "doc_id").select("id", "set", "text").mapInArrow(_sets, "id long, item binary")
+    return found.dropDuplicates(["id"])
 
 
-def _across(like: Callable[[bytes, bytes], bool], agreement: float, distance: int | None):
+def _across(like: Callable[[bytes, bytes], bool], agreement: float):
     """Links across labels within each run of rows of one (key, left, right)."""
     def links(block: pa.Table) -> pa.RecordBatch | None:
         ids, label, part = (block.column(c).to_numpy() for c in ("id", "label", "part"))
@@ -148,7 +160,7 @@ def _across(like: Callable[[bytes, bytes], bool], agreement: float, distance: in
         items, band = block.column("item"), block.column("band")[0].as_py()
         within = block.column("left")[0].as_py() == block.column("right")[0].as_py()
         label, a, b = label.copy(), [], []
-        values, sketch = bands.view(np.uint16), block.column("sketch").to_numpy()
+        values = bands.view(np.uint16)
         for i in range(len(ids) - 1):
             rest = np.flatnonzero(label[i + 1:] != label[i]) + i + 1
             if not within:
@@ -157,8 +169,6 @@ def _across(like: Callable[[bytes, bytes], bool], agreement: float, distance: in
             rest = rest[same.argmax(axis=1) == band] if len(rest) else rest  # a pair is looked at in its first shared band
             if agreement and len(rest):
                 rest = rest[(values[rest] == values[i]).mean(axis=1) >= agreement]
-            if distance is not None:
-                rest = rest[np.bitwise_count((sketch[rest] ^ sketch[i]).view(np.uint64)) <= distance]
             for j in rest.tolist():
                 if label[i] != label[j] and like(items[i].as_py(), items[j].as_py()):
                     a.append(min(ids[i], ids[j]))
@@ -183,68 +193,93 @@ def _across(like: Callable[[bytes, bytes], bool], agreement: float, distance: in
     return runs
 
 
+def _confirmed(pairs: DataFrame, items: DataFrame, like: Callable[[bytes, bytes], bool]) -> DataFrame:
+    """The rows of ``pairs`` (a, b, ...) whose items are alike."""
+    kept = pairs.columns
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [like(x.as_py(), y.as_py()) for x, y in zip(batch.column("x"), batch.column("y"))]
+            yield batch.filter(pa.array(good, pa.bool_())).select(kept)
+    return (pairs.join(items.select(F.col("id").alias("a"), F.col("item").alias("x")), "a")
+            .join(items.select(F.col("id").alias("b"), F.col("item").alias("y")), "b")
+            .select(*kept, "x", "y").mapInArrow(check, pairs.schema))
+
+
+def _mixed_buckets(members: DataFrame) -> DataFrame:
+    """Members (key, band, id, label) of buckets with several labels, with what the bucket holds.
+
+    ``main`` is the label of most members, ``most`` and ``few`` the members inside and outside it.
+    """
+    sizes = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("key").agg(
+        F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"),
+        (F.sum("n") - F.max("n")).alias("few")).filter("few > 0")
+    return staged(members.select("key", "band", "id", "label").join(mixed, "key"))
+
+
 def linked(classes: DataFrame, items: Callable[[DataFrame], DataFrame], like: Callable[[bytes, bytes], bool],
-           agreement: float = 0.0, distance: int | None = None) -> DataFrame:
-    """Confirmed links (a < b) between classes (id, bands), enough to tell the components.
+           agreement: float = 0.0) -> DataFrame:
+    """Confirmed links (a, b) between classes (id, bands), enough to tell the components.
 
     ``items`` gives id and item (binary) for a table of ids; two classes that share a
     band are linked where ``like`` says so of their items. ``agreement`` is the share of
-    equal signature values below which ``like`` is not asked; likewise ``distance`` the
-    number of unlike bits of the column ``sketch`` (bigint) of ``classes`` above which.
+    equal signature values below which ``like`` is not asked.
     """
-    near = distance is not None
-    sketch = F.col("sketch") if near else F.lit(0).cast("long").alias("sketch")
-    apart = F.bit_count(F.col("at.sketch").bitwiseXOR(F.col("low.sketch")))
-    each = classes.select("id", sketch, F.posexplode("bands").alias("band", "value")).select(
-        F.struct("id", "sketch").alias("at"), "band", F.xxhash64("band", "value").alias("key"))
-    buckets = each.groupBy("key").agg(F.min("at").alias("low"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    members = staged(each.join(buckets, "key").select(
-        "key", "band", "members", F.col("at.id").alias("id"), F.col("low.id").alias("low"),
-        (apart <= (distance or 0)).alias("near")))
+    each = classes.select("id", F.posexplode("bands").alias("band", "value")).select(
+        "id", "band", F.xxhash64("band", "value").alias("key"))
+    buckets = each.groupBy("key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    members = staged(each.join(buckets, "key").select("key", "band", "id", "low"))
 
     def chosen(ids: DataFrame) -> DataFrame:
         ids = staged(ids.distinct())
         return items(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids)
 
-    if near:  # star step: a class meets the lowest class of each of its buckets
-        stars = staged(members.filter("id <> low AND near").select("id", "low").distinct())
-        members = members.filter("members > 2")
-    else:  # it meets the lowest class of most of its buckets
-        shared = members.filter("id <> low").groupBy("id", "low").agg(F.count(F.lit(1)).alias("n"))
-        stars = staged(shared.groupBy("id").agg(F.max_by("low", F.struct("n", -F.col("low"))).alias("low")))
-    star_items = chosen(stars.select("id").union(stars.select("low")))
-
-    def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [like(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3))]
-            yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
-    links = staged(stars.join(star_items.withColumnRenamed("item", "x"), "id")
-                   .join(star_items.select(F.col("id").alias("low"), F.col("item").alias("y")), "low")
-                   .select(F.col("low").alias("a"), F.col("id").alias("b"), "x", "y").mapInArrow(confirmed, "a long, b long"))
+    # first star: a class meets the lowest class of most of its buckets
+    shared = members.filter("id <> low").groupBy("id", "low").agg(F.count(F.lit(1)).alias("n"))
+    stars = staged(shared.groupBy(F.col("id").alias("b")).agg(F.max_by("low", F.struct("n", -F.col("low"))).alias("a")))
+    links = staged(_confirmed(stars.select("a", "b"), chosen(stars.select(F.col("a").alias("id")).union(stars.select("b"))), like))
+    label = components(links)
+    members = _mixed_buckets(members.join(label.withColumnRenamed("node", "id"), "id", "left")
+                             .select("key", "band", "id", F.coalesce("root", "id").alias("label")))
+    pool = staged(chosen(members.select("id")))
+
+    # further stars: a class outside the largest component of a bucket meets another hub of that component
+    outside, turn = F.col("label") != F.col("main"), 0
+    apart = members.filter(outside).select("id").distinct().count()
+    while apart:
+        turn += 1
+        hubs = members.filter(~outside).groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("hub"))
+        meets = members.filter(outside).join(hubs, "key").groupBy(F.col("id").alias("b"), F.col("hub").alias("a")).agg(
+            F.count(F.lit(1)).alias("n"), F.first("label").alias("label"), F.first("main").alias("main"))
+        meets = meets.groupBy("b").agg(F.max_by(F.struct("a", "label", "main"), F.struct("n", "a")).alias("m")).select(
+            "m.a", "b", "m.label", "m.main")
+        found = staged(_confirmed(meets, pool, like))
+        links = links.union(found.select("a", "b"))
+        moved = components(found.select(F.col("label").alias("a"), F.col("main").alias("b")))
+        members = _mixed_buckets(members.join(moved.withColumnRenamed("node", "label"), "label", "left").select(
+            "key", "band", "id", F.coalesce("root", "label").alias("label")))
+        before, apart = apart, members.filter(outside).select("id").distinct().count()
+        if STAR_GAIN * (before - apart) < before:
+            break
+    if not apart:
+        return links
 
     # block step: in buckets of several components, those but the largest meet all others
-    roots = components(links)
-    labelled = staged(members.join(roots.withColumnRenamed("node", "id"), "id", "left")
-                      .select("key", "band", "id", F.coalesce("root", "id").alias("label")))
-    sizes = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = staged(sizes.groupBy("key").agg(
-        F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"),
-        (F.sum("n") - F.max("n")).alias("few")).filter("few > 0"))
     few, most = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("few", "most"))
-    in_main = F.col("label") == F.col("main")
-    part = F.when(in_main, -1 - F.pmod(F.xxhash64("id"), most)).otherwise(F.pmod(F.xxhash64("id"), few)).cast("int")
+    part = F.when(~outside, -1 - F.pmod(F.xxhash64("id"), most)).otherwise(F.pmod(F.xxhash64("id"), few)).cast("int")
     others = F.sequence(F.lit(0), few - 1)
-    meets = F.when(in_main, others).otherwise(
+    meets = F.when(~outside, others).otherwise(
         F.concat(others, F.transform(F.sequence(F.lit(0), most - 1), lambda j: -1 - j)))
     own, other = F.col("part"), F.col("other")
     left = F.when(own < 0, other).when(other < 0, own).otherwise(F.least(own, other))
     right = F.when(own < 0, own).when(other < 0, other).otherwise(F.greatest(own, other))
-    blocks = staged(labelled.join(mixed, "key").withColumn("part", part).withColumn("other", F.explode(meets))
+    blocks = staged(members.withColumn("part", part).withColumn("other", F.explode(meets))
                     .select("key", "band", left.alias("left"), right.alias("right"), "part", "id", "label"))
-    rows = (blocks.join(classes.select("id", "bands", sketch), "id").join(chosen(blocks.select("id")), "id")
+    rows = (blocks.join(classes.select("id", "bands"), "id").join(pool, "id")
             .repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "id")
-            .select("key", "band", "left", "right", "part", "id", "label", "bands", "sketch", "item"))
-    return links.union(rows.mapInArrow(_across(like, agreement, distance), "a long, b long"))
+            .select("key", "band", "left", "right", "part", "id", "label", "bands", "item"))
+    return links.union(rows.mapInArrow(_across(like, agreement), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -258,14 +293,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     columns are ignored. An empty table gives no rows.
     """
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = staged(sketches(base))
+    rows = staged(sketches(base).withColumn("id", F.monotonically_increasing_id()))
     known = rows.filter("set IS NOT NULL AND doc_id IS NOT NULL")
-    least = staged(known.groupBy("set").agg(F.min("doc_id").alias("id")))
-    classes = staged(known.join(least, [known["set"] == least["set"], known.doc_id == least.id], "left_semi")
-                     .select(F.col("doc_id").alias("id"), "bands").dropDuplicates(["id"]))
-    roots = components(linked(classes, lambda ids: shingle_sets(base, ids), alike, LEAST_AGREEMENT))
-    found = least.join(roots, least.id == roots.node, "left").select(
-        "set", F.coalesce("root", "id").alias("component"))
+    # a class is named by the number of one of its rows: a doc_id may have several texts
+    least = staged(known.groupBy("set").agg(F.min("id").alias("id"), F.min("doc_id").alias("doc_id")))
+    classes = staged(known.select("id", "bands").join(least.select("id"), "id", "left_semi"))
+    roots = components(linked(classes, lambda ids: shingle_sets(base, least.join(ids, "id")), alike, LEAST_AGREEMENT))
+    named = staged(least.join(roots, least.id == roots.node, "left").select("set", "doc_id", F.coalesce("root", "id").alias("root")))
+    smallest = staged(named.groupBy("root").agg(F.min("doc_id").alias("component")))
+    found = named.join(smallest, "root").select("set", "component")
     out = rows.join(staged(found), "set", "left")
     own = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"),
