@@ -10,16 +10,17 @@ from pyspark.sql import functions as F
 
 from terrier import schema as S
 from terrier.functions.columns import map_or_keep
-from terrier.operators.price_stats import level_stats, summary, top_by, top_groups
+from terrier.operators.level_histogram import all_levels
+from terrier.operators.price_stats import summary, top_by, top_groups
 from terrier.sinks import save_aggregate, save_list
 
 
 def save_levels(processed: DataFrame, base: str,
                 spans: Mapping[str, date | None] = S.SPANS) -> None:
-    """One dataset per level, partitioned by span. Each level reads only its own columns."""
+    """One dataset per level, partitioned by span. Country, regions and departments share their passes."""
+    found = all_levels(processed, S.LEVELS, S.ROLES, spans, ["cle_principale"])
     for name, level in S.LEVELS.items():
-        stats = level_stats(processed, level, S.ROLES, spans, ["cle_principale"])
-        save_aggregate(stats, base, name, level.keys or tuple(level.constants))
+        save_aggregate(found[name], base, name, level.keys or tuple(level.constants))
 
 
 def top_cities(processed: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terrier.functions.columns import map_or_keep, within_bounds
 from terrier.operators import lookups
+from terrier.operators.level_histogram import all_levels
 from terrier.operators.order_stats import median, nearest, order_stats
 from terrier.operators.outliers import remove_iqr_outliers, remove_outliers
 from terrier.operators.price_stats import (
@@ -72,9 +73,9 @@ def _levels_by_span(spark: SparkSession, folder: str) -> DataFrame:
     tx = staged(transactions(spark, folder).select(
         "sale", "price", "adjusted", "kind", "day",
         *dict.fromkeys(c for lv in LEVELS.values() for c in (*lv.keys, *lv.firsts))))
-    out = None
+    out, found = None, all_levels(tx, LEVELS, ROLES, SPANS, ["sale"])
     for name, level in LEVELS.items():
-        stats = coarse(level_stats(tx, level, ROLES, SPANS, ["sale"]), *MEANS)
+        stats = coarse(found[name], *MEANS)
         code = F.concat_ws("|", *[F.col(k).cast("string") for k in level.keys])
         rows = stats.withColumns({"level": F.lit(name), "code": code}).drop(
             *level.keys, *level.firsts, *level.constants)
