@@ -8,7 +8,8 @@ from functools import reduce as fold
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrier.operators.skew import LIGHT_ROWS, attach, by_weight, key_struct
+from terrier.operators.skew import LIGHT_ROWS, attach, by_weight, key_struct, small_side
+from terrier.session import staged
 
 
 def _no_null(keys: Sequence[str]) -> Column:
@@ -108,7 +109,8 @@ def reduce_groups(df: DataFrame, keys: Sequence[str], order_by: Sequence[str],
     A first value may be null, lists keep their nulls, an all-null sum is 0, and
     null keys form groups. Groups above ``light_rows`` give the same row: only their
     lists are first sorted in pieces, cut where ``part_by`` (leading columns of
-    ``order_by``; the first one by default) changes value.
+    ``order_by``; the first one by default) changes value. A list is one cell, so
+    it must fit a task; ``number_items`` gives lists of any length as rows.
     """
     part_by = list(part_by or order_by[:1])
     order = F.struct(*order_by)
@@ -157,6 +159,53 @@ def list_pieces(df: DataFrame, keys: Sequence[str], order_by: Sequence[str],
         *keys, "part", *_as_lists(lists))
 
 
+def _running_numbers(rows: DataFrame, keys: Sequence[str], order_by: Sequence[str], name: str) -> DataFrame:
+    """Number the rows of each group from 0, in ``order_by`` order; a group may span many tasks.
+
+    Rows are dealt by ranges of key and order, so a group is a run over neighbouring
+    partitions. Its rows count on from those of the partitions before, of which only
+    one number a group and partition is gathered.
+    """
+    place = [*keys, *order_by]
+    dealt = staged(rows.repartitionByRange(*place).sortWithinPartitions(*place).withColumn(
+        "__row", F.monotonically_increasing_id()))
+    # the number holds the partition above 33 bits, and the row in it below
+    part, row = F.shiftright("__row", 33).alias("__part"), F.col("__row").bitwiseAND((1 << 33) - 1)
+    runs = dealt.groupBy(key_struct(keys).alias("__k"), part).agg(F.min(row).alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("__k").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = small_side(staged(runs.select("__k", "__part", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__from"))))
+    numbered = dealt.withColumns({"__k": key_struct(keys), "__part": F.shiftright("__row", 33)}).join(runs, ["__k", "__part"])
+    return numbered.withColumn(name, row + F.col("__from")).select(*rows.columns, name)
+
+
+def number_items(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], sums: dict[str, str] | None = None,
+                 name: str = "position", mode: str = "auto", light_rows: int = LIGHT_ROWS) -> DataFrame:
+    """The rows with their ``name`` in the group, from 0 in ``order_by`` order, and group sums.
+
+    A list of any length is the rows of its group in this order, a group's first values
+    are those of row 0, and ``sums`` (``{new column: source}``; an all-null sum is 0) are
+    the same on all its rows. So the form does not depend on the size of a group, and no
+    cell grows with it. Null keys form groups; rows alike in ``order_by`` have any order.
+    """
+    sums = dict(sums or {})
+
+    def light(rows: DataFrame) -> DataFrame:
+        w = Window.partitionBy(*keys)
+        out = rows.withColumn(name, F.row_number().over(w.orderBy(*order_by)).cast("long") - 1)
+        return out.withColumns({n: F.coalesce(F.sum(c).over(w), F.lit(0)) for n, c in sums.items()})
+
+    def heavy(rows: DataFrame) -> DataFrame:
+        out = _running_numbers(rows, keys, order_by, name)
+        if not sums:
+            return out
+        # one row a large group
+        totals = small_side(staged(rows.groupBy(key_struct(keys).alias("__k")).agg(
+            *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in sums.items()])))
+        return out.withColumn("__k", key_struct(keys)).join(totals, "__k").drop("__k")
+
+    return by_weight(df, keys, light, heavy, mode, light_rows)
+
+
 def duplicate_keys(df: DataFrame, key: Column) -> DataFrame:
     """One row: ``n_rows``, ``n_keys`` and whether they agree (``is_unique``)."""
     per_key = df.groupBy(key.alias("__key")).agg(F.count(F.lit(1)).alias("n"))

@@ -45,11 +45,12 @@ def run(spark: SparkSession, args: argparse.Namespace) -> list[str]:
     if "process" in chosen:
         zones = layer(spark, args, "iris").withColumnRenamed("nom_iris_gpkg", "nom_iris")
         zones = zones.withColumn("geom", maps.G.to_lambert93(zones.geom))
-        sales = process.process(
+        sales, lists = process.process(
             deeds.scan_deeds(spark, f"{src}/deeds"),
             deeds.scan_departments(spark, f"{src}/departments.csv"),
             deeds.scan_regions(spark, f"{src}/regions.csv"), zones)
         write_table(sales, f"{out}/processed")
+        write_table(lists, f"{out}/processed_lists")
     if "aggregate" in chosen:
         aggregate.aggregate(deeds.scan_processed(spark, f"{out}/processed"), stats)
     if "geometries" in chosen or "convert" in chosen:

@@ -44,31 +44,47 @@ def clean_lines(lines: DataFrame, mode: str) -> DataFrame:
                            "prix_de_vente")
 
 
-def reduce_deeds(lines: DataFrame, light_rows: int = LIGHT_ROWS) -> DataFrame:
-    """One row per disposition.
+def deed_items(lines: DataFrame, light_rows: int = LIGHT_ROWS) -> DataFrame:
+    """The kept lines of every disposition, numbered by ``position``, with its sums.
 
     All groups of this step nest in the disposition, so ordinary ones need a
-    single shuffle of the lines: every window and the final grouping reuse it.
-    Huge dispositions are split off first and go through salted joins.
+    single shuffle of the lines: every window reuses it. Huge dispositions are split
+    off first and go through salted joins and running numbers over ranges; their rows
+    have the same form.
     """
     lines = C.fill_unknown(lines, S.LAND_USE)
     light, heavy = split_heavy(lines, S.DISPOSITION, light_rows)
 
     def chain(rows: DataFrame, mode: str) -> DataFrame:
-        return groups.reduce_groups(
-            clean_lines(rows, mode), S.DISPOSITION, ["seq"], S.FIRSTS, S.LISTS, S.SUMS,
-            part_by=["seq.file", "seq.block"], mode=mode)
+        return groups.number_items(clean_lines(rows, mode), S.DISPOSITION, ["seq"],
+                                   {f"total_{c}": c for c in S.SUMS}, mode=mode)
 
     out = chain(light.repartition(*S.DISPOSITION), "light")
     return out if heavy is None else out.unionByName(chain(heavy, "heavy"))
 
 
+def sales_of(items: DataFrame) -> DataFrame:
+    """One row per disposition: its first values, the first parcel, and its sums."""
+    return items.where("position = 0").select(
+        *S.DISPOSITION, *S.FIRSTS, F.col("id_parcelle").alias("id_parcelle_unique"),
+        *[F.col(f"total_{c}").alias(c) for c in S.SUMS])
+
+
+def lists_of(items: DataFrame) -> DataFrame:
+    """The listed values of every disposition, one row per place in its lists."""
+    return items.select(*S.DISPOSITION, "position", *S.LISTS)
+
+
+def reduce_deeds(lines: DataFrame, light_rows: int = LIGHT_ROWS) -> DataFrame:
+    """One row per disposition."""
+    return sales_of(deed_items(lines, light_rows))
+
+
 def derive(reduced: DataFrame, departments: DataFrame, regions: DataFrame) -> DataFrame:
     """Price per square metre, key, first parcel and region."""
     rows = reduced.withColumns({
         "prix_m2": C.unit_price("valeur_fonciere", "surface_batie_totale"),
-        "cle_principale": C.composite_key(*S.DISPOSITION),
-        "id_parcelle_unique": C.first_of_list("id_parcelle")})
+        "cle_principale": C.composite_key(*S.DISPOSITION)})
     return add_lookup(rows, region_mapping(departments, regions, "code_region"),
                       "code_departement", ["cle_principale"])
 
@@ -81,16 +97,17 @@ def assign_zones(sales: DataFrame, zones: DataFrame, size: float = 1000.0) -> Da
                          ["code_iris", "nom_iris"], ["cle_principale"], size).drop("__x", "__y")
 
 
-def process(lines: DataFrame, departments: DataFrame, regions: DataFrame, zones: DataFrame,
-            light_rows: int = LIGHT_ROWS) -> DataFrame:
-    """The processed table: one row per sale.
+def read_items(lines: DataFrame, light_rows: int = LIGHT_ROWS) -> DataFrame:
+    """The numbered lines of all dispositions, in the shared folder.
 
-    Lines, reduced table and cleaned table are written to the shared folder:
-    later passes read them several times, a few columns at a time, and the text
-    files are parsed once.
+    Lines and items are written there: later passes read them several times, a few
+    columns at a time, and the text files are parsed once.
     """
-    lines = staged(lines.select(*LINE_COLUMNS))
-    sales = staged(reduce_deeds(lines, light_rows))
+    return staged(deed_items(staged(lines.select(*LINE_COLUMNS)), light_rows))
+
+
+def finish(sales: DataFrame, departments: DataFrame, regions: DataFrame, zones: DataFrame) -> DataFrame:
+    """The processed table, of one row per disposition: no outliers, adjusted prices, zones."""
     groups.require_unique(sales, F.struct(*S.DISPOSITION))
     clean = staged(remove_outliers(
         derive(sales, departments, regions), S.BOUNDS, "code_commune", ["cle_principale"],
@@ -101,6 +118,15 @@ def process(lines: DataFrame, departments: DataFrame, regions: DataFrame, zones:
     return assign_zones(adjusted, zones)
 
 
+def process(lines: DataFrame, departments: DataFrame, regions: DataFrame, zones: DataFrame,
+            light_rows: int = LIGHT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """The processed table, one row per sale, and its lists, one row per place in them."""
+    items = read_items(lines, light_rows)
+    sales = staged(finish(sales_of(items), departments, regions, zones))
+    kept = sales.select(*S.DISPOSITION)
+    return sales, lists_of(items).join(kept, list(S.DISPOSITION), "left_semi")
+
+
 def missing_regions(processed: DataFrame) -> DataFrame:
     """How many sales, of which departments, found no region."""
     return missing_totals(processed, "code_region", "code_departement")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrier import schema as S
 from terrier.functions import columns as C
 from terrier.operators import groups
+from terrier.plans import process
 from terrier.queries.tables import TRANSACTIONS, Query, coarse, coarse_sql, table, transactions
 
 #: Tells the lines of an order apart; line numbers alone repeat.
@@ -130,11 +132,76 @@ def _reduce_parts(spark: SparkSession, folder: str) -> DataFrame:
                     F.md5(_as_text("rooms")).alias("rooms"))
 
 
+def _items(keys: list[str], order: list[str], light_rows: int) -> Query:
+    """Lists as rows: every line with its place in its group, and the group's sum."""
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return groups.number_items(_with_nulls(spark, folder), keys, order, {"rooms_sum": "rooms"}, light_rows=light_rows).select(
+            *keys, "position", *[c for c in order if c not in keys], "rooms", "rooms_sum")
+    by, along = ", ".join(keys), ", ".join(order)
+    kept = ", ".join([*keys, *[c for c in order if c not in keys]])
+    return Query(run, f"""
+WITH {LINES_SQL}
+SELECT {kept}, row_number() OVER (PARTITION BY {by} ORDER BY {along}, rooms) - 1 AS position, rooms,
+       CAST(coalesce(sum(rooms) OVER (PARTITION BY {by}), 0) AS BIGINT) AS rooms_sum FROM lines""")
+
+
 def _first_of_list(spark: SparkSession, folder: str) -> DataFrame:
     return _reduced(spark, folder).select(
         "l_orderkey", C.first_of_list("l_partkey").alias("first_part"))
 
 
+def _deeds(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines as deed lines: an order is a deed of two dispositions, its suppliers' parity the parcels."""
+    kind = (F.when(F.col("l_partkey") % 4 == 0, "Maison").when(F.col("l_partkey") % 4 == 1, "Appartement")
+            .when(F.col("l_partkey") % 4 == 2, S.OUTBUILDING))
+    told = {
+        "id_mutation": F.col("l_orderkey").cast("string"), "numero_disposition": (F.col("l_linenumber") % 2).cast("long"),
+        "date_mutation": F.to_date("l_shipdate"), "valeur_fonciere": F.col("l_extendedprice"),
+        "nature_mutation": F.when(F.col("l_suppkey") % 9 == 0, "Echange").otherwise("Vente"),
+        "id_parcelle": F.concat(F.lit("P"), (F.col("l_suppkey") % 2).cast("string")),
+        "nature_culture": F.nullif("l_returnflag", F.lit("N")), "type_local": kind,
+        "surface_reelle_bati": F.col("l_quantity") - 5, "longitude": F.col("l_discount"), "latitude": F.col("l_tax"),
+        "nombre_pieces_principales": F.nullif(F.col("l_linenumber"), F.lit(4)).cast("long"),
+        "nature_culture_speciale": F.nullif("l_linestatus", F.lit("O"))}
+    unknown = {c: F.lit(None).cast("string") for c in process.LINE_COLUMNS if c not in (*told, "surface_terrain", "seq")}
+    return _lines(spark, folder).select(*[v.alias(c) for c, v in (told | unknown).items()],
+                                        F.lit(None).cast("double").alias("surface_terrain"), F.struct(*LINE_ORDER).alias("seq"))
+
+
+DEEDS_SQL = f"""
+deeds AS (
+  SELECT CAST(l_orderkey AS VARCHAR) AS id_mutation, l_linenumber::BIGINT % 2 AS numero_disposition, CAST(l_shipdate AS DATE) AS date_mutation,
+         l_extendedprice AS value, CASE WHEN l_suppkey % 9 = 0 THEN 'Echange' ELSE 'Vente' END AS nature, 'P' || (l_suppkey % 2) AS parcel,
+         coalesce(nullif(l_returnflag, 'N'), 'unknown') AS use, coalesce(nullif(l_linestatus, 'O'), 'unknown') AS special,
+         CASE l_partkey % 4 WHEN 0 THEN 'Maison' WHEN 1 THEN 'Appartement' WHEN 2 THEN 'Dépendance' END AS kind,
+         l_quantity - 5 AS surface, CAST(nullif(l_linenumber, 4) AS BIGINT) AS rooms, l_discount, l_tax, {LINE_ORDER_SQL} AS seq FROM lineitem),
+uses AS (SELECT id_mutation, numero_disposition, parcel, nature, arg_min(use, seq) AS use FROM deeds GROUP BY ALL),
+flagged AS (
+  SELECT *, coalesce(bool_or(kind = 'Dépendance') OVER (PARTITION BY id_mutation, numero_disposition, parcel, use, special, nature), false)
+         AS has_dependency FROM deeds JOIN uses USING (id_mutation, numero_disposition, parcel, nature, use)),
+homes AS (SELECT * FROM flagged WHERE nature = 'Vente' AND kind IN ('Maison', 'Appartement') AND value > 100 AND surface > 0
+          AND l_discount IS NOT NULL AND l_tax IS NOT NULL),
+items AS (
+  SELECT *, sum(surface) OVER d AS total, avg(value) OVER d AS mean, CAST(coalesce(sum(rooms) OVER d, 0) AS BIGINT) AS total_rooms,
+         row_number() OVER (PARTITION BY id_mutation, numero_disposition ORDER BY seq) - 1 AS position
+  FROM homes WINDOW d AS (PARTITION BY id_mutation, numero_disposition))
+"""
+
+
+def _deed_reduction(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole reduction of deed lines to one row per sale."""
+    sales = process.reduce_deeds(_deeds(spark, folder))
+    return sales.select("id_mutation", "numero_disposition", "date_mutation", "valeur_fonciere", "nature_mutation", "type_local",
+                        "has_dependency", "surface_batie_totale", "nombre_pieces_principales", "id_parcelle_unique")
+
+
+def _deed_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """The lists of every sale, one row per place."""
+    lists = process.lists_of(process.deed_items(_deeds(spark, folder)))
+    return coarse(lists.select("id_mutation", "numero_disposition", "position", "id_parcelle", "surface_reelle_bati",
+                               "nature_culture", "nature_culture_speciale", "prix_de_vente"), "prix_de_vente")
+
+
 def _uniqueness(spark: SparkSession, folder: str) -> DataFrame:
     return groups.duplicate_keys(_lines(spark, folder),
                                  C.composite_key("l_orderkey", "l_linenumber"))
@@ -203,9 +270,21 @@ p AS (SELECT l_returnflag, month, CAST(count(*) AS INTEGER) AS n,
       FROM n GROUP BY l_returnflag, month)
 SELECT l_returnflag, CAST(row_number() OVER (PARTITION BY l_returnflag ORDER BY month) - 1 AS INTEGER) AS part,
        use, first_part, rooms_sum, n, suppliers, rooms FROM p JOIN g USING (l_returnflag)"""),
+    "list_items": _items(["l_orderkey"], LINE_ORDER, groups.LIGHT_ROWS),
+    # three groups hold all rows, far beyond what one task is given here
+    "list_items_large": _items(["l_returnflag"], ["l_orderkey", *LINE_ORDER], 1000),
     "first_of_list": Query(_first_of_list, f"""
 SELECT l_orderkey, arg_min(l_partkey, {LINE_ORDER_SQL}) AS first_part
 FROM lineitem GROUP BY l_orderkey"""),
+    "deed_reduction": Query(_deed_reduction, f"""
+WITH {DEEDS_SQL}
+SELECT id_mutation, numero_disposition, date_mutation, value AS valeur_fonciere, nature AS nature_mutation, kind AS type_local,
+       has_dependency, total AS surface_batie_totale, total_rooms AS nombre_pieces_principales, parcel AS id_parcelle_unique
+FROM items WHERE position = 0"""),
+    "deed_lists": Query(_deed_lists, f"""
+WITH {DEEDS_SQL}
+SELECT id_mutation, numero_disposition, position, parcel AS id_parcelle, surface AS surface_reelle_bati, use AS nature_culture,
+       special AS nature_culture_speciale, {coarse_sql("mean / nullif(total, 0) * surface")} AS prix_de_vente FROM items"""),
     "key_uniqueness": Query(_uniqueness, """
 SELECT count(*) AS n_rows, count(DISTINCT l_orderkey || '_' || l_linenumber) AS n_keys,
        count(*) = count(DISTINCT l_orderkey || '_' || l_linenumber) AS is_unique FROM lineitem"""),

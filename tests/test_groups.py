@@ -109,3 +109,20 @@ def test_split_keeps_every_row_once(spark):
     light, heavy = skew.split_heavy(df, ["k"], light_rows=10)
     assert light.count() == 3 and heavy.count() == 50
     assert skew.split_heavy(df, ["k"])[1] is None
+
+
+@pytest.mark.parametrize("light_rows", [1_000_000, 40, 0])
+def test_items_have_running_numbers_at_any_size(spark, light_rows):
+    rng = random.Random(light_rows)
+    data = [(rng.choice([None, "a", "b", "c"]) if i % 3 else "hot", i // 2 if i % 5 else None, i, rng.choice([None, 1, 2, 3])) for i in range(400)]
+    df = spark.createDataFrame(data, "k string, day int, seq int, v int").repartition(7)
+    out = groups.number_items(df, ["k"], ["day", "seq"], {"total": "v"}, light_rows=light_rows)
+    assert out.columns == ["k", "day", "seq", "v", "position", "total"]
+    want = []
+    for k in (None, "a", "b", "c", "hot"):
+        own = sorted((r for r in data if r[0] == k), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        total = sum(r[3] or 0 for r in own)
+        want += [(*r, i, total) for i, r in enumerate(own)]
+    assert sorted(map(tuple, out.collect()), key=lambda r: r[2]) == sorted(want, key=lambda r: r[2])
+    none = groups.number_items(df.where("false"), ["k"], ["seq"], {"total": "v"}, light_rows=light_rows)
+    assert none.count() == 0

@@ -36,14 +36,14 @@ def write_csv(path: Path, lines):
 
 
 def deed_case():
-    """One deed with two dispositions, one of them spread over three land uses; one plain deed."""
-    out = [line("A", 2, 180000, "p1", "Appartement", 75),
-           line("A", 3, 317000, "p2", None, None, use="terres")]
-    for use in ("sols", "jardins", "terrains d'agrément"):
-        out += [line("A", 3, 317000, "p3", "Dépendance", 30, use, rooms=0),
-                line("A", 3, 317000, "p3", "Maison", 120, use, rooms=5),
-                line("A", 3, 317000, "p3", "Appartement", 55, use, rooms=2)]
-    return out + [line("B", 1, 250000, "p4", "Appartement", 50, "NA", rooms="null")]
+    """A sale of a flat; a farm sold with a field and three land uses of its yard; a flat of unknown use."""
+    out = [line("K7", 1, 96400, "q8", "Appartement", 41),
+           line("K7", 4, 228900, "q5", None, None, use="prés")]
+    for use in ("sols", "vergers", "landes"):
+        out += [line("K7", 4, 228900, "q6", "Dépendance", 18, use, rooms=0),
+                line("K7", 4, 228900, "q6", "Maison", 94, use, rooms=4),
+                line("K7", 4, 228900, "q6", "Appartement", 46, use, rooms=2)]
+    return out + [line("L2", 1, 131700, "q9", "Appartement", 37, "NA", rooms="null")]
 
 
 @pytest.fixture(scope="module")
@@ -66,23 +66,28 @@ def test_scan_maps_null_tokens_and_keeps_bad_rows(spark, tmp_path):
         deeds.scan_deeds(spark, str(tmp_path / "e.csv")).collect()
 
 
-@pytest.mark.parametrize("light_rows", [1_000_000, 5])
+@pytest.mark.parametrize("light_rows", [1_000_000, 5, 0])
 def test_deed_reduction(spark, deed_lines, light_rows):
     filled = C.fill_unknown(deed_lines, S.LAND_USE)
     kept = process.clean_lines(filled, "light")
     assert kept.count() == 4
-    out = process.reduce_deeds(deed_lines, light_rows)
+    items = process.deed_items(deed_lines, light_rows)
+    out = process.sales_of(items)
     got = {(r.id_mutation, r.numero_disposition): r for r in out.collect()}
     assert len(got) == 3 and out.count() == 3
-    house = got["A", 3]
-    assert (house.surface_batie_totale, house.valeur_fonciere) == (175.0, 317000.0)
-    assert house.surface_reelle_bati == [120.0, 55.0] and house.id_parcelle == ["p3", "p3"]
-    assert sum(house.prix_de_vente) == pytest.approx(317000.0)
-    assert house.has_dependency is True and got["A", 2].has_dependency is False
-    assert house.type_local == "Maison" and house.nombre_pieces_principales == 7
-    assert got["B", 1].nombre_pieces_principales == 0
-    assert got["B", 1].nature_culture == ["unknown"]
-    assert set(out.columns) == {*S.DISPOSITION, *S.FIRSTS, *S.LISTS, *S.SUMS}
+    farm = got["K7", 4]
+    assert (farm.surface_batie_totale, farm.valeur_fonciere) == (140.0, 228900.0)
+    assert farm.has_dependency is True and got["K7", 1].has_dependency is False
+    assert farm.type_local == "Maison" and farm.nombre_pieces_principales == 6
+    assert farm.id_parcelle_unique == "q6" and got["L2", 1].nombre_pieces_principales == 0
+    assert set(out.columns) == {*S.DISPOSITION, *S.FIRSTS, "id_parcelle_unique", *S.SUMS}
+    listed = process.lists_of(items)
+    assert set(listed.columns) == {*S.DISPOSITION, "position", *S.LISTS}
+    places = sorted(tuple(r) for r in listed.where("numero_disposition = 4").select(
+        "position", "surface_reelle_bati", "id_parcelle").collect())
+    assert places == [(0, 94.0, "q6"), (1, 46.0, "q6")]
+    assert listed.where("numero_disposition = 4").agg(F.sum("prix_de_vente")).first()[0] == pytest.approx(228900.0)
+    assert listed.where("id_mutation = 'L2'").first().nature_culture == "unknown"
 
 
 def test_ordinary_deeds_shuffle_once(spark, deed_lines):
@@ -156,6 +161,9 @@ def test_all_steps(spark, landed, tmp_path):
     sales = spark.read.parquet(f"{out}/processed").cache()
     assert sales.where("id_mutation = 'Z'").count() == 0
     assert sales.select("cle_principale").distinct().count() == sales.count()
+    lists = spark.read.parquet(f"{out}/processed_lists")
+    assert lists.select("id_mutation", "numero_disposition").distinct().count() == sales.count()
+    assert lists.where("id_mutation = 'Z'").count() == 0
     assert rows(sales.groupBy("code_region", "nom_region").count().drop("count")) == [
         ("11", "Île-de-France"), ("84", "Auvergne-Rhône-Alpes")]
     zones = dict(rows(sales.groupBy("code_iris").count()))
