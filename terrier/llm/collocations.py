@@ -8,7 +8,8 @@ a phrase is the total of the leaves below its node. The tree is never built as a
 * What is left, two-word prefixes, is packed into groups of ``BUDGET`` suffixes at most. A
   prefix larger than that is split by its third word. One pass sends each suffix, counted
   within its run of text, to the group of its prefix.
-* Each group builds its subtree alone, from sorted suffixes, and gives the leaf totals.
+* Each group builds its subtree alone: equal suffixes make a leaf, leaves with the same
+  three words a node, and a node counts what its leaves do.
 
 Which prefixes count is told to the tasks by a bit table of a fixed size. A bit that two
 prefixes share lets some suffixes through that count for nothing; it drops none.
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
@@ -34,7 +36,7 @@ LEAST, LONGEST, TOP = 30, 4, 2000
 #: A phrase is dropped inside a longer one that has this share (in hundredths) of its occurrences.
 INSIDE = 80
 #: Suffixes of a group, and words of text that a task counts together.
-BUDGET, RUN = 1 << 20, 3 << 20
+BUDGET, RUN = 1 << 20, 3 << 19
 #: Bits of a bit table (as powers of two), and cells of prefixes that groups are packed from.
 BITS, CELLS = (16, 27), (8, 20)
 #: Different words that a task counts before it hands them on.
@@ -59,12 +61,17 @@ def _strings(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary()).cast(pa.string())
 
 
-def _counted(lang: str, phrases: list[bytes], counts) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(phrases), 50_000):
-        part = phrases[at: at + 50_000]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(part)), _strings(part), pa.array(counts[at: at + 50_000], pa.int64())],
-            ["lang", "phrase", "n"])
+def _joined(names: pa.Array, *numbers: np.ndarray) -> pa.Array:
+    """The phrases of the words with the given numbers."""
+    return pc.binary_join_element_wise(*(names.take(pa.array(n)) for n in numbers), " ")
+
+
+def _batches(columns: dict[str, pa.Array], lang: str, size: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """The columns with one language, in batches."""
+    rows = len(next(iter(columns.values())))
+    whole = pa.RecordBatch.from_arrays([pa.repeat(lang, rows), *columns.values()], ["lang", *columns])
+    for at in range(0, rows, size):
+        yield whole.slice(at, size)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +80,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out() -> Iterator[pa.RecordBatch]:
         for lang, found in counts.items():
             found.pop(BREAK, None)
-            yield from _counted(lang, list(found), list(found.values()))
+            yield from _batches({"phrase": _strings(list(found)), "n": pa.array(found.values(), pa.int64())}, lang)
         counts.clear()
 
     for batch in batches:
@@ -123,9 +130,12 @@ def _runs(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[tupl
     size = 0
 
     def out() -> Iterator[tuple[str, _Words, np.ndarray]]:
-        for lang, words in held.items():
-            yield lang, words, np.concatenate(words.rows)
-        held.clear()
+        while held:
+            lang, words = held.popitem()
+            numbers = np.concatenate(words.rows)
+            words.rows.clear()
+            yield lang, words, numbers
+        pa.default_memory_pool().release_unused()  # workers live on
 
     for batch in batches:
         for lang, text in zip(batch.column(0), batch.column(1)):
@@ -150,11 +160,10 @@ def _pairs(numbers: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 def _count_pairs(table: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, words, numbers in _runs(batches, table.value):
-            names, size = words.names, len(words.names)
+            names, size = _strings(words.names), len(words.names)
             codes, good = _pairs(numbers, size)
             found, counts = np.unique(codes[good], return_counts=True)
-            phrases = [names[i] + b" " + names[j] for i, j in zip((found // size).tolist(), (found % size).tolist())]
-            yield from _counted(lang, phrases, counts)
+            yield from _batches({"phrase": _joined(names, found // size, found % size), "n": pa.array(counts)}, lang)
     return run
 
 
@@ -191,21 +200,22 @@ class Groups:
 
 
 def _suffixes(words_table: Broadcast, pairs_table: Broadcast, groups: Broadcast):
-    """(group, lang, phrase, n): suffixes of three or four words, cut where a pair is not frequent."""
+    """(lang, group, head, tail, n): suffixes of three words (no tail) or four, cut where a pair is not frequent."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan: Groups = groups.value
         for lang, words, numbers in _runs(batches, words_table.value):
-            names, size = words.names, len(words.names)
+            names, size = _strings(words.names), len(words.names)
             codes, good = _pairs(numbers, size)
             pairs = np.unique(codes[good])
-            phrases = [names[i] + b" " + names[j] for i, j in zip((pairs // size).tolist(), (pairs % size).tolist())]
-            hashes = np.fromiter((xxhash.xxh64_intdigest(p, words.seed) for p in phrases), np.uint64, len(phrases))
-            known = np.flatnonzero(_has(pairs_table.value, hashes)) if len(phrases) else np.empty(0, np.int64)
-            pairs, hashes, phrases = pairs[known], hashes[known], [phrases[i] for i in known.tolist()]
+            if len(pairs):
+                prefixes = _joined(names, pairs // size, pairs % size).to_pylist()
+                hashes = np.fromiter((xxhash.xxh64_intdigest(p, words.seed) for p in prefixes), np.uint64, len(pairs))
+                known = _has(pairs_table.value, hashes)
+                pairs, hashes = pairs[known], hashes[known]
             if not len(pairs):
                 continue
-            at = np.searchsorted(pairs, codes)  # the frequent pair at each place, or -1
-            at = np.where(good & (pairs[np.minimum(at, len(pairs) - 1)] == codes), at, -1)
+            at = np.minimum(np.searchsorted(pairs, codes), len(pairs) - 1)  # the frequent pair at each place, or -1
+            at = np.where(good & (pairs[at] == codes), at, -1)
             start = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0))
             fourth = np.append(at, -1)[start + 2]
             # the rest of a suffix: its third word, or the pair of its third and fourth
@@ -213,61 +223,27 @@ def _suffixes(words_table: Broadcast, pairs_table: Broadcast, groups: Broadcast)
             width = size + len(pairs)
             found, counts = np.unique(at[start] * width + rest, return_counts=True)
             first, rest = found // width, found % width
+            pair = pairs[np.maximum(rest - size, 0)]
+            third = np.where(rest < size, rest, pair // size)
+            tail = pa.array(pair % size, mask=rest < size)
             group = plan.of(hashes[first])
-            suffixes = []
-            for k, (i, r) in enumerate(zip(first.tolist(), rest.tolist())):
-                tail = names[r] if r < size else phrases[r - size]
-                suffixes.append(phrases[i] + b" " + tail)
-                if plan.split and (part := plan.split.get(int(hashes[i]))):
-                    third = xxhash.xxh64_intdigest(tail.split(b" ", 1)[0], int(hashes[i]))
-                    group[k] = part[0] + third % part[1]
-            for low in range(0, len(suffixes), 50_000):
-                cut = slice(low, low + 50_000)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(group[cut]), pa.array([lang] * len(suffixes[cut])), _strings(suffixes[cut]), pa.array(counts[cut])],
-                    ["group", "lang", "phrase", "n"])
+            for hashed, (low, parts) in plan.split.items():
+                for k in np.flatnonzero(hashes[first] == np.uint64(hashed)).tolist():
+                    group[k] = low + xxhash.xxh64_intdigest(words.names[third[k]], hashed) % parts
+            yield from _batches({"group": pa.array(group), "head": _joined(names, pairs[first] // size, pairs[first] % size, third),
+                                 "tail": names.take(tail), "n": pa.array(counts)}, lang)
     return run
 
 
-def leaf_totals(leaves: dict[tuple[str, ...], int], least_depth: int) -> Iterator[tuple[tuple[str, ...], int]]:
-    """Totals of all nodes from ``least_depth`` words on, of the tree of the given suffixes.
-
-    Suffixes are taken in order, so one branch is open at a time: a node is left when the
-    next suffix no longer begins with it, and its total then is that of its leaves.
-    """
-    branch: list[str] = []
-    totals: list[int] = []
-
-    def close(depth: int) -> Iterator[tuple[tuple[str, ...], int]]:
-        while len(branch) > depth:
-            total = totals.pop()
-            if len(branch) >= least_depth:
-                yield tuple(branch), total
-            branch.pop()
-            if totals:
-                totals[-1] += total
-
-    for suffix in sorted(leaves):
-        same = 0
-        while same < min(len(branch), len(suffix)) and branch[same] == suffix[same]:
-            same += 1
-        yield from close(same)
-        for word in suffix[same:]:
-            branch.append(word)
-            totals.append(0)
-        totals[-1] += leaves[suffix]
-    yield from close(0)
-
-
 def _subtree(group: pa.Table) -> pa.Table:
-    """Counts of the phrases of three and four words of one group."""
-    leaves: Counter[tuple[str, ...]] = Counter()
-    for lang, phrase, n in zip(*(group.column(c).to_pylist() for c in ("lang", "phrase", "n"))):
-        leaves[lang, *phrase.split(" ")] += n
-    found = [(node[0], " ".join(node[1:]), n) for node, n in leaf_totals(leaves, 4) if n >= LEAST]
-    columns = list(zip(*found)) or [[], [], []]
-    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()))],
+    """Counts of the phrases of three and four words of one group, from the totals of its leaves."""
+    leaves = group.group_by(["lang", "head", "tail"]).aggregate([("n", "sum")])
+    nodes = leaves.group_by(["lang", "head"]).aggregate([("n_sum", "sum")]).rename_columns(["lang", "phrase", "n"])
+    ends = leaves.filter(pc.is_valid(leaves["tail"]))
+    ends = pa.table([ends["lang"], pc.binary_join_element_wise(ends["head"], ends["tail"], " "), ends["n_sum"]],
                     names=["lang", "phrase", "n"])
+    both = pa.concat_tables([nodes, ends])
+    return both.filter(pc.greater_equal(both["n"], LEAST))
 
 
 def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang",
@@ -277,6 +253,7 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang",
     texts = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"),
                         F.coalesce(F.col(text), F.lit("")).alias("text"))
     schema = "lang string, phrase string, n long"
+    suffix = "lang string, group long, head string, tail string, n long"
     sums = F.sum("n").alias("n")
     all_words = staged(texts.mapInArrow(_count_words, schema).groupBy("lang", "phrase").agg(sums))
     words = all_words.filter(F.col("n") >= LEAST)
@@ -284,7 +261,7 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang",
     pairs = staged(texts.mapInArrow(_count_pairs(known), schema).groupBy("lang", "phrase").agg(sums)
                    .filter(F.col("n") >= LEAST))
     groups = sc.broadcast(Groups(pairs, budget))
-    suffixes = texts.mapInArrow(_suffixes(known, sc.broadcast(bit_table(pairs)), groups), f"group long, {schema}")
+    suffixes = texts.mapInArrow(_suffixes(known, sc.broadcast(bit_table(pairs)), groups), suffix)
     longer = staged(suffixes.groupBy("group").applyInArrow(_subtree, schema))
     return words.unionByName(pairs).unionByName(longer), staged(all_words.groupBy("lang").agg(sums))
 

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -238,14 +239,19 @@ def test_collocations_equal_plain_ones(spark):
     assert collocations.collocations(documents(spark, [(1, None, None, None)])).count() == 0
 
 
-def test_leaf_totals_count_every_prefix():
+def test_a_subtree_counts_every_prefix():
     rng = random.Random(4)
-    leaves = Counter(tuple(rng.choice("abc") for _ in range(rng.randrange(1, 5))) for _ in range(500))
+    leaves = Counter((rng.choice(["en", "de"]), " ".join(rng.choices("ab", k=3)), rng.choice(["x", "y", "z", None])) for _ in range(2000))
+    rows = [(*leaf, n - n // 2) for leaf, n in leaves.items()] + [(*leaf, n // 2) for leaf, n in leaves.items()]
+    table = pa.table([pa.array(c) for c in zip(*rows)], names=["lang", "head", "tail", "n"])
     want = Counter()
-    for leaf, n in leaves.items():
-        for depth in range(2, len(leaf) + 1):
-            want[leaf[:depth]] += n
-    assert dict(collocations.leaf_totals(leaves, 2)) == want
+    for (lang, head, tail), n in leaves.items():
+        want[lang, head] += n
+        if tail:
+            want[lang, f"{head} {tail}"] += n
+    got = collocations._subtree(table).to_pylist()
+    assert {(r["lang"], r["phrase"]): r["n"] for r in got} == {k: n for k, n in want.items() if n >= 30}
+    assert any(n < 30 for n in want.values())
 
 
 def test_a_large_prefix_has_groups_of_its_own(spark):
