@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from terrier import schema as S
 from terrier.functions import columns as C
+from terrier.functions import geometry as G
+from terrier.functions import projection as P
 from terrier.operators import groups
 from terrier.plans import process
-from terrier.queries.tables import TRANSACTIONS, Query, coarse, coarse_sql, table, transactions
+from terrier.queries.tables import TRANSACTIONS, Query, coarse, coarse_sql, mid, near, table, transactions
 
 #: Tells the lines of an order apart; line numbers alone repeat.
 LINE_ORDER = ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -160,7 +162,10 @@ def _deeds(spark: SparkSession, folder: str) -> DataFrame:
         "nature_mutation": F.when(F.col("l_suppkey") % 9 == 0, "Echange").otherwise("Vente"),
         "id_parcelle": F.concat(F.lit("P"), (F.col("l_suppkey") % 2).cast("string")),
         "nature_culture": F.nullif("l_returnflag", F.lit("N")), "type_local": kind,
-        "surface_reelle_bati": F.col("l_quantity") - 5, "longitude": F.col("l_discount"), "latitude": F.col("l_tax"),
+        "surface_reelle_bati": F.col("l_quantity") - 5,
+        "longitude": F.lit(2.0) + F.col("l_partkey") % 97 / F.lit(50.0), "latitude": F.lit(48.0) + F.col("l_suppkey") % 49 / F.lit(50.0),
+        "code_commune": F.concat(F.lit("C"), (F.col("l_suppkey") % 40).cast("string")),
+        "code_departement": (F.col("l_suppkey") % 25).cast("string"),
         "nombre_pieces_principales": F.nullif(F.col("l_linenumber"), F.lit(4)).cast("long"),
         "nature_culture_speciale": F.nullif("l_linestatus", F.lit("O"))}
     unknown = {c: F.lit(None).cast("string") for c in process.LINE_COLUMNS if c not in (*told, "surface_terrain", "seq")}
@@ -174,13 +179,14 @@ deeds AS (
          l_extendedprice AS value, CASE WHEN l_suppkey % 9 = 0 THEN 'Echange' ELSE 'Vente' END AS nature, 'P' || (l_suppkey % 2) AS parcel,
          coalesce(nullif(l_returnflag, 'N'), 'unknown') AS use, coalesce(nullif(l_linestatus, 'O'), 'unknown') AS special,
          CASE l_partkey % 4 WHEN 0 THEN 'Maison' WHEN 1 THEN 'Appartement' WHEN 2 THEN 'Dépendance' END AS kind,
-         l_quantity - 5 AS surface, CAST(nullif(l_linenumber, 4) AS BIGINT) AS rooms, l_discount, l_tax, {LINE_ORDER_SQL} AS seq FROM lineitem),
+         l_quantity - 5 AS surface, CAST(nullif(l_linenumber, 4) AS BIGINT) AS rooms,
+         2.0::DOUBLE + l_partkey % 97 / 50.0::DOUBLE AS longitude, 48.0::DOUBLE + l_suppkey % 49 / 50.0::DOUBLE AS latitude,
+         'C' || (l_suppkey % 40) AS commune, CAST(l_suppkey % 25 AS VARCHAR) AS department, {LINE_ORDER_SQL} AS seq FROM lineitem),
 uses AS (SELECT id_mutation, numero_disposition, parcel, nature, arg_min(use, seq) AS use FROM deeds GROUP BY ALL),
 flagged AS (
   SELECT *, coalesce(bool_or(kind = 'Dépendance') OVER (PARTITION BY id_mutation, numero_disposition, parcel, use, special, nature), false)
          AS has_dependency FROM deeds JOIN uses USING (id_mutation, numero_disposition, parcel, nature, use)),
-homes AS (SELECT * FROM flagged WHERE nature = 'Vente' AND kind IN ('Maison', 'Appartement') AND value > 100 AND surface > 0
-          AND l_discount IS NOT NULL AND l_tax IS NOT NULL),
+homes AS (SELECT * FROM flagged WHERE nature = 'Vente' AND kind IN ('Maison', 'Appartement') AND value > 100 AND surface > 0),
 items AS (
   SELECT *, sum(surface) OVER d AS total, avg(value) OVER d AS mean, CAST(coalesce(sum(rooms) OVER d, 0) AS BIGINT) AS total_rooms,
          row_number() OVER (PARTITION BY id_mutation, numero_disposition ORDER BY seq) - 1 AS position
@@ -202,6 +208,50 @@ def _deed_lists(spark: SparkSession, folder: str) -> DataFrame:
                                "nature_culture", "nature_culture_speciale", "prix_de_vente"), "prix_de_vente")
 
 
+def _processed(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole first step: reduction, prices, regions, outliers, time index and zones."""
+    nation, region = table(spark, folder, "nation"), table(spark, folder, "region")
+    k = F.col("n_nationkey")
+    x, y = (F.lit(625000.0) + k % 5 * 30000), (F.lit(6770000.0) + F.floor(k / 5) * 22000)
+    zones = nation.select(F.col("n_name").alias("code_iris"), F.lower("n_name").alias("nom_iris"),
+                          G.polygon(F.array(G.box_ring(x, y, x + 24000, y + 18000)), G.LAMBERT93).alias("geom"))
+    departments = nation.select(k.cast("string").alias("code_departement"), F.col("n_regionkey").cast("string").alias("code_region"))
+    regions = region.select(F.col("r_regionkey").cast("string").alias("code_region"), F.col("r_name").alias("nom_region"))
+    sales, _ = process.process(_deeds(spark, folder), departments, regions, zones)
+    return sales.select("cle_principale", "date_mutation", "valeur_fonciere", "type_local", "has_dependency", "surface_batie_totale",
+                        "nombre_pieces_principales", "id_parcelle_unique", "code_commune", "prix_m2", "prix_m2_ajuste",
+                        "annee_mutation", "code_region", "nom_region", "code_iris", "nom_iris")
+
+
+def _processed_sql() -> str:
+    bounds = dict(zip(("total", "value", "prix_m2", "total_rooms"), S.BOUNDS.values()))
+    within = " AND ".join(f"{c} > {lo} AND {c} < {hi}" for c, (lo, hi) in bounds.items())
+    quart = ", ".join(f"{near(c, 0.25)} AS {c}_q1, {near(c, 0.75)} AS {c}_q3" for c in bounds)
+    inside = " AND ".join(f"{c} > {c}_q1 - 1.5::DOUBLE * ({c}_q3 - {c}_q1) AND {c} < {c}_q3 + 1.5::DOUBLE * ({c}_q3 - {c}_q1)" for c in bounds)
+    return f"""
+WITH {DEEDS_SQL},
+sales AS (SELECT *, id_mutation || '_' || numero_disposition AS cle, value / nullif(total, 0) AS prix_m2,
+                 CAST(year(date_mutation) AS INTEGER) AS year FROM items WHERE position = 0),
+sound AS (SELECT * FROM sales WHERE {within}),
+fence AS (SELECT commune, count(*) AS group_rows, {quart} FROM sound GROUP BY commune),
+clean AS (SELECT sound.* FROM sound JOIN fence USING (commune) WHERE group_rows < 10 OR ({inside})),
+yearly AS (SELECT department, kind, year, {mid('prix_m2')} AS m FROM clean GROUP BY ALL),
+last AS (SELECT department, kind, coalesce(max(m) FILTER (WHERE year = {S.REFERENCE_YEAR}), arg_max(m, year)) AS target FROM yearly GROUP BY ALL),
+a AS (SELECT *, sin(radians(latitude)) * {P.ECC!r} AS s FROM clean),
+b AS (SELECT *, {P.SCALE!r} * pow(tan(pi() / 4 - radians(latitude) / 2) / pow((1 - s) / (1 + s), {P.ECC / 2!r}), {P.CONE!r}) AS rho,
+             radians(longitude - 3) * {P.CONE!r} AS theta FROM a),
+placed AS (SELECT *, rho * sin(theta) + 700000 AS x, 6600000 + {P.RHO_0!r} - rho * cos(theta) AS y FROM b),
+zones AS (SELECT n_name, 625000 + n_nationkey % 5 * 30000 AS x0, 6770000 + n_nationkey // 5 * 22000 AS y0 FROM nation)
+SELECT cle AS cle_principale, date_mutation, value AS valeur_fonciere, kind AS type_local, has_dependency,
+       total AS surface_batie_totale, total_rooms AS nombre_pieces_principales, parcel AS id_parcelle_unique, commune AS code_commune,
+       prix_m2, prix_m2 * CASE WHEN m > 0 AND target IS NOT NULL THEN target / m ELSE 1.0::DOUBLE END AS prix_m2_ajuste,
+       year AS annee_mutation, CAST(n.n_regionkey AS VARCHAR) AS code_region, r_name AS nom_region,
+       z.n_name AS code_iris, lower(z.n_name) AS nom_iris
+FROM placed JOIN yearly USING (department, kind, year) JOIN last USING (department, kind)
+LEFT JOIN nation n ON department = CAST(n.n_nationkey AS VARCHAR) LEFT JOIN region ON n.n_regionkey = r_regionkey
+LEFT JOIN zones z ON x > x0 AND x < x0 + 24000 AND y > y0 AND y < y0 + 18000"""
+
+
 def _uniqueness(spark: SparkSession, folder: str) -> DataFrame:
     return groups.duplicate_keys(_lines(spark, folder),
                                  C.composite_key("l_orderkey", "l_linenumber"))
@@ -281,6 +331,7 @@ WITH {DEEDS_SQL}
 SELECT id_mutation, numero_disposition, date_mutation, value AS valeur_fonciere, nature AS nature_mutation, kind AS type_local,
        has_dependency, total AS surface_batie_totale, total_rooms AS nombre_pieces_principales, parcel AS id_parcelle_unique
 FROM items WHERE position = 0"""),
+    "processed_sales": Query(_processed, _processed_sql()),
     "deed_lists": Query(_deed_lists, f"""
 WITH {DEEDS_SQL}
 SELECT id_mutation, numero_disposition, position, parcel AS id_parcelle, surface AS surface_reelle_bati, use AS nature_culture,

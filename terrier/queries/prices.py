@@ -206,9 +206,10 @@ def _summary(spark: SparkSession, folder: str) -> DataFrame:
 
 def _lookup_mapping(spark: SparkSession, folder: str) -> DataFrame:
     nation, region = table(spark, folder, "nation"), table(spark, folder, "region")
-    known = region.where(F.col("r_name") != "ASIA").withColumnRenamed("r_regionkey", "n_regionkey")
+    # one region and one department are known by no code
+    known = region.select(F.when(F.col("r_name") != "ASIA", F.col("r_regionkey")).alias("n_regionkey"), "r_name")
     return lookups.region_mapping(
-        nation.where(F.col("n_name") != "NATION_3").select("n_nationkey", "n_regionkey"),
+        nation.select(F.when(F.col("n_name") != "NATION_3", F.col("n_nationkey")).alias("n_nationkey"), "n_regionkey"),
         known, "n_regionkey").select(
         F.col("n_nationkey").alias("department"), F.col("n_regionkey").alias("code_region"),
         F.col("r_name").alias("nom_region"))
@@ -225,9 +226,8 @@ def _missing(spark: SparkSession, folder: str) -> DataFrame:
 
 LOOKUP_SQL = f"""
 WITH {TRANSACTIONS},
-map AS (SELECT n_nationkey, n_regionkey, r_name FROM nation
-        LEFT JOIN (SELECT * FROM region WHERE r_name <> 'ASIA') ON n_regionkey = r_regionkey
-        WHERE n_name <> 'NATION_3'),
+map AS (SELECT CASE WHEN n_name <> 'NATION_3' THEN n_nationkey END AS n_nationkey, n_regionkey, r_name FROM nation
+        LEFT JOIN region ON n_regionkey = CASE WHEN r_name <> 'ASIA' THEN r_regionkey END),
 looked AS (SELECT sale, department, n_regionkey AS code_region, r_name AS nom_region
            FROM tx LEFT JOIN map ON department = n_nationkey)
 """

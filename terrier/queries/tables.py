@@ -54,8 +54,8 @@ def transactions(spark: SparkSession, folder: str) -> DataFrame:
             .when(priority.isin("3-MEDIUM", "4-NOT SPECIFIED"), "Appartement").otherwise("Local"))
     sales = orders.select(
         F.col("o_orderkey").alias("sale"), "o_custkey", F.col("o_totalprice").alias("value"),
-        (F.lit(20.0) + F.col("o_custkey") % 180).alias("surface"),
-        (1 + F.col("o_custkey") % 7).alias("rooms"),
+        (F.lit(20.0) + (F.col("o_orderkey") * 7 + F.col("o_custkey")) % 180).alias("surface"),
+        (1 + F.floor(F.col("o_orderkey") / 4) % 7).alias("rooms"),
         kind.alias("kind"), F.to_date("o_orderdate").alias("day"),
         F.year("o_orderdate").alias("year"),
         F.when(F.col("o_custkey") % 9 != 0, F.col("o_custkey")).alias("zone"),
@@ -79,7 +79,7 @@ tx AS (
          value / surface * (1.0::DOUBLE + (2001 - year) * 0.03::DOUBLE) AS adjusted
   FROM (
     SELECT o_orderkey AS sale, o_custkey, o_totalprice AS value,
-           (20 + o_custkey % 180)::DOUBLE AS surface, 1 + o_custkey % 7 AS rooms,
+           (20 + (o_orderkey * 7 + o_custkey) % 180)::DOUBLE AS surface, 1 + o_orderkey // 4 % 7 AS rooms,
            CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'Maison'
                 WHEN o_orderpriority IN ('3-MEDIUM', '4-NOT SPECIFIED') THEN 'Appartement'
                 ELSE 'Local' END AS kind,
