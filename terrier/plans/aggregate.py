@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Mapping
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from terrier import schema as S
 from terrier.functions.columns import map_or_keep
 from terrier.operators.level_histogram import all_levels
-from terrier.operators.price_stats import summary, top_by, top_groups
-from terrier.sinks import save_aggregate, save_list
+from terrier.operators.lookups import with_constants
+from terrier.operators.price_stats import top_by, top_groups
+from terrier.sinks import save_aggregate, save_list, write_table
+from terrier.sources.deeds import load_aggregate
 
 
 def save_levels(processed: DataFrame, base: str,
@@ -35,18 +37,46 @@ def aggregate(processed: DataFrame, base: str) -> None:
     save_list(top_cities(processed), f"{base}/top_cities", S.TOP_CITIES)
 
 
-def reports(processed: DataFrame, base: str) -> dict[str, DataFrame]:
-    """The summaries printed after a run, as tables."""
-    spark = processed.sparkSession
+def observed(processed: DataFrame) -> tuple[DataFrame, Observation]:
+    """The table with figures that are counted while it is written, in place of another pass."""
+    figures = Observation("processed")
+    price = [f(c).alias(f"{n}_{tag}") for n, c in (("prix_m2", S.ROLES.price), ("prix_m2_ajuste", S.ROLES.adjusted))
+             for tag, f in (("mean", F.avg), ("min", F.min), ("max", F.max))]
+    return processed.observe(
+        figures, F.count(F.lit(1)).alias("n_rows"), F.min("date_mutation").alias("date_min"),
+        F.max("date_mutation").alias("date_max"), *price,
+        F.count_if(F.col("code_region").isNull()).alias("missing_regions"),
+        F.count_if(F.col("code_iris").isNull()).alias("missing_zones")), figures
 
+
+def save_figures(spark: SparkSession, figures: Observation, base: str) -> None:
+    """The counted figures as a table of one row; call after the write that counts them."""
+    row = {k: v for k, v in figures.get.items()}
+    schema = ("n_rows long, date_min date, date_max date, prix_m2_mean double, prix_m2_min double, prix_m2_max double, "
+              "prix_m2_ajuste_mean double, prix_m2_ajuste_min double, prix_m2_ajuste_max double, "
+              "missing_regions long, missing_zones long")
+    spark.createDataFrame([row], schema).write.mode("overwrite").parquet(f"{base}/processed")
+
+
+def reports(spark: SparkSession, stats: str, figures: str) -> dict[str, DataFrame]:
+    """The summaries after a run, from saved statistics and counted figures; no pass over the sales.
+
+    The medians of all sales are those of the country.
+    """
     def saved(level: str) -> DataFrame:
-        return spark.read.parquet(f"{base}/{level}").where(F.col("span") == "all").drop("span")
+        return load_aggregate(spark, stats, level)
 
+    medians = saved("country").select("prix_m2_median", "prix_m2_ajuste_median")
     return {
-        "summary": summary(processed, S.ROLES),
+        "summary": with_constants(spark.read.parquet(f"{figures}/processed"), medians),
         "country": saved("country"),
         "regions_by_price": top_by(saved("region"), "prix_m2_median", 5, "code_region"),
         "departments_by_sales": top_by(saved("department"), "nb_transactions", 10,
                                        "code_departement"),
         "communes_by_price": top_by(saved("commune"), "prix_m2_median", 10, "code_commune", 50),
     }
+
+
+def save_reports(spark: SparkSession, stats: str, base: str) -> None:
+    for name, report in reports(spark, stats, base).items():
+        write_table(report, f"{base}/{name}")

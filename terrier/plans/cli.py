@@ -49,10 +49,14 @@ def run(spark: SparkSession, args: argparse.Namespace) -> list[str]:
             deeds.scan_deeds(spark, f"{src}/deeds"),
             deeds.scan_departments(spark, f"{src}/departments.csv"),
             deeds.scan_regions(spark, f"{src}/regions.csv"), zones)
-        write_table(sales, f"{out}/processed")
+        counted, figures = aggregate.observed(sales)
+        write_table(counted, f"{out}/processed")
+        aggregate.save_figures(spark, figures, f"{out}/reports")
+        write_table(process.missing_regions(sales), f"{out}/reports/missing_regions")
         write_table(lists, f"{out}/processed_lists")
     if "aggregate" in chosen:
         aggregate.aggregate(deeds.scan_processed(spark, f"{out}/processed"), stats)
+        aggregate.save_reports(spark, stats, f"{out}/reports")
     if "geometries" in chosen or "convert" in chosen:
         communes = B.communes_with_districts(layer(spark, args, "commune"),
                                              layer(spark, args, "arrondissement_municipal"))

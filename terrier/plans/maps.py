@@ -21,8 +21,7 @@ def join_layers(stats: dict[str, DataFrame], regions: DataFrame, departments: Da
                 communes: DataFrame, zones: DataFrame, grid: float = 50_000.0) -> dict[str, DataFrame]:
     """Every layer with its statistics, in degrees.
 
-    The country is dissolved before reprojection, where neighbours still share
-    exact vertices. Region codes are not carried onto it.
+    The country is the union of the regions in metres. Region codes are not carried onto it.
     """
     srid = G.LAMBERT93
     country = with_constants(dissolve(
@@ -43,8 +42,7 @@ def save_layers(layers: dict[str, DataFrame], base: str) -> None:
     """GeoJSON per layer. Communes and zones stay on the map without statistics."""
     for name, df in layers.items():
         fine = name in ("communes", "iris")
-        save_geojson(df, f"{base}/{name}", tolerance=S.TOLERANCE[name], keep_empty=fine,
-                     files=None if fine else 1)
+        save_geojson(df, f"{base}/{name}", tolerance=S.TOLERANCE[name], keep_empty=fine)
 
 
 def with_display(df: DataFrame, parcels: bool = False) -> DataFrame:
@@ -73,7 +71,7 @@ def export_parcels(files: DataFrame, parcels: DataFrame, stats: DataFrame, base:
     and only matched parcels reach simplification.
     """
     parcels = staged(parcels)
-    joined = X.join_parcels(parcels.drop("file", "readable"), stats, "code_departement",
+    joined = X.join_parcels(parcels.drop("file", "readable", "error"), stats, "code_departement",
                             "id_parcelle_unique")
     thin = round_doubles(simplify(joined.withColumn("geom", G.to_wgs84(F.col("geom"))), "geom",
                                   S.TOLERANCE["parcels"]))

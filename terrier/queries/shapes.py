@@ -15,6 +15,7 @@ from terrier.operators.simplify import simplify
 from terrier.operators.spatial import point_in_zone, project_points
 from terrier.queries.tables import TRANSACTIONS, Query, coarse, coarse_sql, table, transactions
 from terrier.session import scratch_file
+from terrier.sinks import collection_text, save_geojson, save_parcels
 from terrier.sources import boundaries as B
 
 # Outline of a supplier's zone, from the corner of its 10 x 10 square. It reaches
@@ -459,6 +460,51 @@ def _statuses(spark: SparkSession, folder: str) -> DataFrame:
         "file", "department", "parcel", "readable"))
 
 
+def _read_documents(spark: SparkSession, path: str, *keys: Column) -> DataFrame:
+    """Files as single documents: how many there are, and the features and customers in them."""
+    doc = F.from_json("value", X.COLLECTION)
+    texts = spark.read.text(path, wholetext=True).select(*keys, doc.alias("d"))
+    ids = F.transform(F.col("d.features"), lambda f: f["properties"]["c_custkey"].cast("long"))
+    total = F.aggregate(ids, F.lit(0).cast("long"), lambda a, x: a + x)
+    return texts.groupBy(*texts.columns[:-1]).agg(
+        F.bool_and(F.col("d.type") == "FeatureCollection").alias("valid"), F.sum(F.size(ids)).alias("n_features"),
+        F.sum(total).alias("keys"))
+
+
+def _saved_parcels(spark: SparkSession, folder: str) -> DataFrame:
+    """Every file of every commune is one document, and together they hold its lots."""
+    path = scratch_file(spark)
+    save_parcels(_lots(spark, folder).withColumn("commune", F.concat("c_nationkey", F.lit("-"), "c_mktsegment")), path, "commune")
+    commune = F.regexp_extract(F.col("_metadata.file_path"), r"commune=([^/]+)/", 1).alias("commune")
+    return _read_documents(spark, path, commune)
+
+
+def _saved_layer(spark: SparkSession, folder: str) -> DataFrame:
+    """A layer saved with its empty shapes, and without."""
+    lots = _lots(spark, folder).withColumn("nb_transactions", F.nullif(F.col("c_custkey") % 5, F.lit(0)))
+
+    def saved(name: str) -> DataFrame:
+        path = scratch_file(spark)
+        save_geojson(lots, path, tolerance=None, keep_empty=name == "all")
+        return _read_documents(spark, path).withColumn("kept", F.lit(name))
+    return saved("all").unionByName(saved("some"))
+
+
+def _scan_cadastre(spark: SparkSession, folder: str) -> DataFrame:
+    """Lots as compressed cadastre files, some cut short, some empty, read back with their outcome."""
+    lots = _lots(spark, folder).withColumn("id", F.concat(F.lit("P"), "c_custkey"))
+    texts = lots.select(F.floor(F.col("c_custkey") / 20).alias("doc"), X.feature_text(lots, "geom", ["id"]).alias("f")).groupBy(
+        "doc").agg(collection_text(F.collect_list("f")).alias("value"))
+    odd = F.col("doc") % 7
+    written = (F.when(odd == 3, F.substr("value", F.lit(1), (F.length("value") / 2).cast("int")))
+               .when(odd == 4, F.lit('{"type":"FeatureCollection","features":[]}')).when(odd == 5, F.lit('{"a":1}')).otherwise(F.col("value")))
+    path = scratch_file(spark)
+    texts.select("doc", written.alias("value")).write.partitionBy("doc").option("compression", "gzip").text(path)
+    found = B.scan_cadastre(spark, f"{path}/*/*.gz")
+    return found.select(F.regexp_extract("file", r"doc=(\d+)", 1).cast("long").alias("doc"), "id_parcelle_unique", "readable",
+                        F.col("error").isNotNull().alias("failed"), G.vertex_count(F.col("geom")).alias("n_vertices"))
+
+
 QUERIES: dict[str, Query] = {
     "point_in_zone": Query(_placed, f"WITH {ZONES_SQL} SELECT * FROM placed"),
     "zone_counts": Query(_zone_counts, f"WITH {ZONES_SQL} SELECT zone, count(*) AS n_points "
@@ -516,6 +562,17 @@ WITH {LOTS_SQL}, f AS (
 SELECT *, false AS unreadable FROM f WHERE NOT (doc % 7 = 3 AND doc % 3 < 2)
 UNION ALL
 SELECT DISTINCT doc, NULL, NULL, CAST(NULL AS INTEGER), true FROM f WHERE doc % 7 = 3 AND doc % 3 < 2"""),
+    "saved_parcels": Query(_saved_parcels, """
+SELECT c_nationkey || '-' || c_mktsegment AS commune, true AS valid, count(*) AS n_features, CAST(sum(c_custkey) AS BIGINT) AS keys
+FROM customer GROUP BY 1"""),
+    "saved_layer": Query(_saved_layer, """
+SELECT kept, true AS valid, count(*) AS n_features, CAST(sum(c_custkey) AS BIGINT) AS keys
+FROM customer CROSS JOIN (VALUES ('all'), ('some')) AS k(kept) WHERE kept = 'all' OR c_custkey % 5 > 0 GROUP BY kept"""),
+    "scan_cadastre": Query(_scan_cadastre, f"""
+WITH {LOTS_SQL}, docs AS (SELECT DISTINCT c_custkey // 20 AS doc FROM customer)
+SELECT c_custkey // 20 AS doc, 'P' || c_custkey AS id_parcelle_unique, true AS readable, false AS failed, CAST(n_vertices AS INTEGER) AS n_vertices
+FROM lots WHERE c_custkey // 20 % 7 NOT IN (3, 4, 5)
+UNION ALL SELECT doc, NULL, doc % 7 = 4, doc % 7 <> 4, CAST(NULL AS INTEGER) FROM docs WHERE doc % 7 IN (3, 4, 5)"""),
     "export_keep_empty": _export(True),
     "export_drop_empty": _export(False),
     "left_join_stats": Query(_left_join, f"""

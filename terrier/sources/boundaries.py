@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import gzip
+import sys
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +18,9 @@ from terrier.operators.lookups import name_areas, replace_parents
 from terrier.schema import CITY_CODES
 from terrier.sources.geopackage import GeoPackageSource
 
+# executors get the file reader with the query and need no installed package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Published columns of each layer and what they are called here.
 LAYER_COLUMNS = {
     "region": {"code_insee": "code_region", "nom_officiel": "nom_region_geo"},
@@ -113,22 +123,36 @@ def list_cadastre(spark: SparkSession, glob: str) -> DataFrame:
     return _with_codes(files, F.col("path")).drop("path")
 
 
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Text of each file, or why it has none; plain files are taken as they are."""
+    for batch in batches:
+        for path, content in zip(batch.column(0), batch.column(1)):
+            text, error, raw = None, None, content.as_py()
+            try:
+                text = (gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw).decode("utf-8")
+            except (OSError, EOFError, zlib.error, UnicodeDecodeError) as problem:
+                error = f"{type(problem).__name__}: {problem}"
+            yield pa.RecordBatch.from_arrays([pa.array([path.as_py()]), pa.array([text], pa.string()), pa.array([error], pa.string())],
+                                             ["path", "text", "error"])
+
+
 def scan_cadastre(spark: SparkSession, glob: str) -> DataFrame:
-    """One row per parcel of the gzipped cadastre files.
+    """One row per parcel of the gzipped cadastre files, and one per file without any.
 
-    A file that is empty or is not GeoJSON has one row without a parcel; one that
-    cannot be decompressed has none. ``readable`` tells the first two apart.
+    A file that cannot be decompressed, is cut short or is not GeoJSON has one row with
+    its ``error`` and is not ``readable``; one without features has one readable row
+    without a parcel. Files are opened inside tasks, one at a time. Spark lists no files
+    of zero bytes, here and in ``list_cadastre``.
     """
-    texts = _with_codes(
-        spark.read.option("ignoreCorruptFiles", True).text(glob, wholetext=True),
-        F.col("_metadata.file_path"))
-    doc = F.from_json("value", COLLECTION)
+    files = spark.read.format("binaryFile").load(glob).select("path", "content").mapInArrow(
+        _opened, "path string, text string, error string")
+    doc = F.from_json("text", COLLECTION)
     keep = ["file", "code_commune_file", "code_departement"]
-    opened = texts.select(*keep, doc.alias("doc"))
+    unread = F.when(doc["features"].isNull(), F.coalesce("error", F.when(F.col("text") == "", "empty file"), F.lit("no feature collection")))
+    opened = _with_codes(files, F.col("path")).select(*keep, unread.alias("error"), doc["features"].alias("features"))
     return (
-        opened.select(*keep, F.col("doc.features").isNotNull().alias("readable"),
-                      F.explode_outer("doc.features").alias("f"))
-        .select(*keep, F.coalesce("readable", F.lit(False)).alias("readable"),
+        opened.select(*keep, "error", F.explode_outer("features").alias("f"))
+        .select(*keep, F.col("error").isNull().alias("readable"), "error",
                 F.coalesce("f.properties.id", "f.id").alias("id_parcelle_unique"),
                 G.parse_geojson_geometry(F.col("f.geometry.type"),
                                          F.col("f.geometry.coordinates")).alias("geom")))

@@ -179,6 +179,14 @@ def test_all_steps(spark, landed, tmp_path):
             if level == "iris":
                 picked = picked.where("code_iris is not null")
             assert stats.agg(F.sum("nb_transactions")).first()[0] == picked.count(), (level, span)
+    summary = spark.read.parquet(f"{out}/reports/summary").first()
+    want = sales.agg(F.count(F.lit(1)), F.min("date_mutation"), F.max("prix_m2_ajuste"), F.median("prix_m2")).first()
+    assert (summary.n_rows, summary.date_min, summary.prix_m2_ajuste_max, summary.prix_m2_median) == tuple(want)
+    assert summary.prix_m2_mean == pytest.approx(sales.agg(F.avg("prix_m2")).first()[0])
+    assert (summary.missing_regions, summary.missing_zones) == (0, zones[None])
+    assert spark.read.parquet(f"{out}/reports/communes_by_price").count() <= 10
+    assert spark.read.parquet(f"{out}/reports/departments_by_sales").count() == 2
+
     cities = json.loads(collections_text(f"{out}/aggregates/top_cities"))
     assert {c["name"] for c in cities} == {"C69001", "Paris"}
     assert next(c for c in cities if c["name"] == "C69001")["prix_m2_appart_median"] is None
@@ -195,8 +203,7 @@ def test_all_steps(spark, landed, tmp_path):
     iris = {f["properties"]["code_iris"]: f["properties"]["nom_iris"]
             for c in collections(f"{out}/map/iris") for f in c["features"]}
     assert iris == {"751010101": "Palais", "751010102": "Z2"}
-    parcels = [json.loads(t) for p in Path(f"{out}/map/parcels/commune=75101").glob("part-*")
-               for t in p.read_text().splitlines()]
+    parcels = [f for c in collections(f"{out}/map/parcels/commune=75101") for f in c["features"]]
     assert {p["properties"]["id_parcelle_unique"] for p in parcels} == {f"75101000{i}" for i in range(7)}
     tiles = spark.read.parquet(f"{out}/tiles/communes")
     assert {r.z for r in tiles.select("z").distinct().collect()} == set(range(9, 15))

@@ -17,6 +17,7 @@ from terrier.operators import features as X
 from terrier.operators import tiles
 from terrier.operators.simplify import simplify, thin_ring
 from terrier.operators.spatial import point_in_zone
+from terrier.sinks import as_collections
 from terrier.sources import boundaries as B
 
 SCHEMA = "struct<srid:int,parts:array<array<array<struct<x:double,y:double>>>>>"
@@ -172,6 +173,10 @@ def test_cadastre_statuses(spark, tmp_path):
     other = tmp_path / "75" / "75105"
     other.mkdir()
     (other / "cadastre-75105-parcelles.json.gz").write_bytes(gzip.compress(b'{"a": 1}'))
+    whole = gzip.compress(b'{"type": "FeatureCollection", "features": []}' * 50)
+    for name, content in (("75106", whole[:40]), ("75107", whole[:-6] + b"000000"), ("75108", gzip.compress(b""))):  # cut, corrupt, empty
+        (tmp_path / "75" / name).mkdir()
+        (tmp_path / "75" / name / f"cadastre-{name}-parcelles.json.gz").write_bytes(content)
     stats = spark.createDataFrame([("p1", "75", 3), ("p2", "75", 1), ("q1", "99", 1), ("x", None, 1)],
                                   "id_parcelle_unique string, code_departement string, "
                                   "nb_transactions int")
@@ -184,9 +189,24 @@ def test_cadastre_statuses(spark, tmp_path):
                        "id_parcelle_unique", "readable")
     assert rows(st, "code_commune_file", "status", "n_parcels") == [
         ("69001", "no_transactions", 0), ("75101", "success", 3), ("75102", "no_transactions", 0),
-        ("75103", "no_cadastre", 0), ("75104", "error", 0), ("75105", "error", 0)]
+        ("75103", "no_cadastre", 0), *[(f"7510{i}", "error", 0) for i in range(4, 9)]]
     assert rows(X.status_totals(st), "status", "n_files", "n_parcels") == [
-        ("error", 2, 0), ("no_cadastre", 1, 0), ("no_transactions", 2, 0), ("success", 1, 3)]
+        ("error", 5, 0), ("no_cadastre", 1, 0), ("no_transactions", 2, 0), ("success", 1, 3)]
+    errors = {r.code_commune_file: r.error for r in parcels.where("error is not null").collect()}
+    assert set(errors) == {f"7510{i}" for i in range(4, 9)} and errors["75105"] == "no feature collection"
+    assert "EOFError" in errors["75106"] and "BadGzipFile" in errors["75107"] and errors["75108"] == "empty file"
+
+
+@pytest.mark.parametrize("features, characters, documents", [(1000, 10 ** 6, 2), (7, 10 ** 6, 12), (1000, 200, None)])
+def test_every_document_parses(spark, features, characters, documents):
+    lines = spark.createDataFrame([("a" if i % 3 else "b", f'{{"id":{i}}}') for i in range(100)], "k string, value string")
+    out = as_collections(lines, ["k"], features, characters).collect()
+    found = [(r.k, f["id"]) for r in out for f in json.loads(r.value)["features"]]
+    assert sorted(found) == sorted(("a" if i % 3 else "b", i) for i in range(100))
+    assert len(out) > 2 if documents is None else 2 <= len(out) <= 3 * documents
+    empty = as_collections(lines.where("false").drop("k"))
+    assert [json.loads(r.value) for r in empty.collect()] == [{"type": "FeatureCollection", "features": []}]
+    assert as_collections(lines.where("false"), ["k"]).count() == 0
 
 
 def test_export_rules(spark):
