@@ -139,12 +139,12 @@ def fingerprint_counts(fingerprints: DataFrame) -> DataFrame:
 
 
 def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per document with the document that stays for its text.
+    """One row per input row with the document that stays for its text.
 
     Of equal texts the largest id stays. Null text is equal to empty text; a null
-    id ranks below every id. Rows that repeat both id and text are one document:
-    one row is returned for them, while ``group_size`` counts every row. Other
-    columns are ignored. An empty table gives no rows.
+    id ranks below every id. Rows that repeat both id and text are rows of their own,
+    alike in all columns, and ``group_size`` counts them. Other columns are ignored.
+    An empty table gives no rows.
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
     base = base.withColumn("fingerprint", F.xxhash64("text"))
@@ -158,7 +158,7 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
                .groupBy("fingerprint", "text_sha256")
                .agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"),
                     F.count(F.lit(1)).alias("texts")))
-    light = base.select("doc_id", "fingerprint", digest).distinct()
+    light = base.select("doc_id", "fingerprint", digest)
     lone = F.col("texts").isNull()
     size = F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts share a SHA-256 digest"))
                   .cast("long")).otherwise(F.col("group_size"))
@@ -173,7 +173,7 @@ def drop_exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "do
     """The documents that stay, with all their columns; of rows that repeat id and text, one."""
     sha = F.unhex(F.sha2(text_of(text), 256))
     found = staged(exact_duplicates(docs, text, doc_id).filter("group_size > 1").select(
-        F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__sha"), "kept"))
+        F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__sha"), "kept").distinct())
     key = [F.col(doc_id).eqNullSafe(F.col("__id")), sha == F.col("__sha")]
     gone, kept = (few_keys(staged(found.filter(f).drop("kept"))) for f in ("NOT kept", "kept"))
     rest = docs.join(gone, key, "left_anti")

@@ -10,6 +10,7 @@ word each position is scored by the longest n-gram there that the model knows.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -28,7 +29,9 @@ RATE = 5e-6
 LONGEST = 4
 #: What a count that a language lacks counts as.
 UNSEEN = 0.5
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters only: what counts as a word character but is a number (½, ², Ⅷ) is none.
+NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
+LETTERS = re.compile(rf"[^\W\d_{NUMBERS}]+")
 COUNT_ENTRIES, MEMO_ENTRIES = 200_000, 300_000
 UNKNOWN = "und"
 

@@ -104,9 +104,9 @@ def ownership(found: DataFrame) -> DataFrame:
     each = (found.select("repository", "owner", F.explode("candidates").alias("c"))
             .groupBy(F.col("c.value_hash").alias("value_hash"), "repository", "owner")
             .agg(F.count(F.lit(1)).alias("uses")))
-    once = each.groupBy("value_hash", "owner").agg(F.count(F.lit(1)).alias("repositories"), F.sum("uses").alias("uses"))
-    return once.groupBy("value_hash").agg(F.sum("repositories").alias("repositories"),
-                                          F.count(F.lit(1)).alias("owners"), F.sum("uses").alias("uses"))
+    return each.groupBy("value_hash").agg(
+        F.count_distinct(F.struct("repository")).alias("repositories"),
+        F.count_distinct(F.struct("owner")).alias("owners"), F.sum("uses").alias("uses"))
 
 
 def scan(docs: DataFrame, repository: Column, owner: Column, text: str = "text",

@@ -137,8 +137,9 @@ def test_fingerprint_counts(spark, empty):
 
 
 def test_exact_duplicates(odd, empty):
-    rows = {(r.doc_id, r.text_sha256): r for r in exact_dedup.exact_duplicates(odd).collect()}
-    assert len(rows) == len(set((r[0], r[1] or "") for r in ODD))
+    found = exact_dedup.exact_duplicates(odd).collect()
+    rows = {(r.doc_id, r.text_sha256): r for r in found}
+    assert len(found) == len(ODD) and len(rows) == len(set((r[0], r[1] or "") for r in ODD))
     groups = defaultdict(list)
     for r in ODD:
         groups[r[1] or ""].append(r[0])
