@@ -12,7 +12,7 @@ from terrier.operators import features as X
 from terrier.operators.dissolve import dissolve
 from terrier.operators.lookups import join_stats, with_constants
 from terrier.operators.simplify import simplify
-from terrier.operators.tiles import LAYERS, rank_in_tile, tile_features
+from terrier.operators.tiles import LAYERS, rank_in_tile, tile_parts
 from terrier.sinks import save_geojson, save_parcels, save_tiles
 from terrier.session import staged
 
@@ -54,10 +54,10 @@ def with_display(df: DataFrame, parcels: bool = False) -> DataFrame:
 
 
 def save_layer_tiles(df: DataFrame, name: str, path: str, key: str) -> None:
-    """Features by tile over the layer's zooms; parcels with their rank in the tile."""
+    """The part of each feature in every tile it meets, over the layer's zooms; parcels with their rank in the tile."""
     layer = LAYERS[name]
-    sized = df.withColumns({"box": G.bbox(F.col("geom")), "area": G.area(F.col("geom"))})
-    rows = tile_features(sized, "box", layer.min_zoom, layer.max_zoom)
+    sized = df.withColumn("area", G.area(F.col("geom")))
+    rows = tile_parts(sized, "geom", layer.min_zoom, layer.max_zoom)
     if layer.ranked:
         rows = rank_in_tile(rows, "area", [key])
     save_tiles(rows, path)

@@ -291,6 +291,14 @@ def _tile_assign(spark: SparkSession, folder: str) -> DataFrame:
     return _tiles(spark, folder).select("c_custkey", "z", "x", "y")
 
 
+def _tile_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Corner-shaped lots by the tiles they meet, with the size of their part there."""
+    x, y = F.col("longitude"), F.col("latitude")
+    corner = ((0, 0), (6, 0), (6, 2), (2, 2), (2, 6), (0, 6))
+    shapes = _lonlat(spark, folder).select("c_custkey", G.polygon(F.array(_ring(corner, x, y, 0.1)), G.WGS84).alias("geom"))
+    return tiles.tile_parts(shapes, "geom", 8, 10).select("c_custkey", "z", "x", "y", F.round(G.area(F.col("geom")), 8).alias("area"))
+
+
 def _tile_cap(spark: SparkSession, folder: str) -> DataFrame:
     sized = _tiles(spark, folder).withColumn("balance", F.col("c_custkey") % 97)
     ranked = tiles.rank_in_tile(sized, "balance", ["c_custkey"])
@@ -547,6 +555,23 @@ WHERE n IN (1, 3) OR n = 2 AND straight IN (0, 2)"""),
 SELECT s_suppkey AS zone, true AS in_order, true AS within_tolerance, true AS no_crossing, true AS nested,
        true AS fewer FROM supplier"""),
     "tile_assign": Query(_tile_assign, TILES_SQL + "SELECT * FROM ts"),
+    "tile_parts": Query(_tile_parts, f"""
+WITH {LONLAT_SQL},
+boxes AS (SELECT c_custkey, longitude + bx * 0.1::DOUBLE AS minx, longitude + cx * 0.1::DOUBLE AS maxx,
+                 latitude + bb * 0.1::DOUBLE AS miny, latitude + cb * 0.1::DOUBLE AS maxy
+          FROM ll CROSS JOIN (VALUES (0, 0, 6, 2), (0, 2, 2, 6)) AS b(bx, bb, cx, cb)),
+zz AS (SELECT *, unnest(range(8, 11)) AS z FROM boxes),
+n AS (SELECT *, pow(2.0, z) AS n FROM zz),
+r AS (SELECT *, CAST(floor((minx + 180.0) / 360.0 * n) AS BIGINT) AS x1, CAST(floor((maxx + 180.0) / 360.0 * n) AS BIGINT) AS x2,
+      CAST(floor((1.0 - ln(tan(radians(maxy)) + 1.0 / cos(radians(maxy))) / pi()) / 2.0 * n) AS BIGINT) AS y1,
+      CAST(floor((1.0 - ln(tan(radians(miny)) + 1.0 / cos(radians(miny))) / pi()) / 2.0 * n) AS BIGINT) AS y2 FROM n),
+xs AS (SELECT *, unnest(range(x1, x2 + 1)) AS x FROM r),
+ts AS (SELECT *, unnest(range(y1, y2 + 1)) AS y FROM xs),
+cut AS (SELECT c_custkey, z, x, y,
+        least(maxx, (x + 1) / n * 360.0 - 180.0) - greatest(minx, x / n * 360.0 - 180.0) AS w,
+        least(maxy, degrees(atan(sinh(pi() * (1.0 - y * 2.0 / n))))) - greatest(miny, degrees(atan(sinh(pi() * (1.0 - (y + 1) * 2.0 / n))))) AS h
+        FROM ts)
+SELECT c_custkey, CAST(z AS INTEGER) AS z, x, y, round(sum(w * h), 8) AS area FROM cut WHERE w > 0 AND h > 0 GROUP BY ALL"""),
     "tile_density_cap": Query(_tile_cap, TILES_SQL + """
 SELECT c_custkey, z, x, y FROM ts QUALIFY row_number() OVER (
   PARTITION BY z, x, y ORDER BY c_custkey % 97 DESC, c_custkey) <= 2"""),

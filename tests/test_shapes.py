@@ -230,6 +230,27 @@ def test_tiles_cover_boxes_and_drop_the_smallest(spark):
         == [(8296, 5636)]
 
 
+def test_tile_parts_make_up_the_shape(spark):
+    a = np.linspace(0, 4 * math.pi, 160)
+    spiral = [(float(2 + r * math.cos(t)), float(47 + r * math.sin(t))) for t, r in zip(a, np.linspace(.2, 1.5, 160))]
+    spiral += [(float(2 + (r + .08) * math.cos(t)), float(47 + (r + .08) * math.sin(t))) for t, r in zip(a[::-1], np.linspace(1.5, .2, 160))]
+    df = shapes(spark, [(1, [[box(1, 46, 3, 48), box(1.5, 46.5, 2.9, 47.9)], [box(4, 46, 4.1, 46.1)]]),
+                        (2, [[[*spiral, spiral[0]]]]), (3, None), (4, [[box(0, 45, 45 / 64, 45.5)]])], srid=4326)
+    parts = tiles.tile_parts(df, "geom", 7, 10).cache()
+    whole = {r.id: r.a for r in df.where("geom is not null").select("id", G.area(F.col("geom")).alias("a")).collect()}
+    for r in parts.groupBy("id", "z").agg(F.sum(G.area(F.col("geom"))).alias("a")).collect():
+        assert r.a == pytest.approx(whole[r.id], rel=1e-9), (r.id, r.z)
+    seen = {(r.id, r.z, r.x, r.y): r for r in parts.select("id", "z", "x", "y", G.bbox(F.col("geom")).alias("b"), tiles.tile_box(
+        F.col("x"), F.col("y"), F.col("z")).alias("t")).collect()}
+    assert len(seen) == parts.count() and {k[0] for k in seen} == {1, 2, 4}
+    for r in seen.values():
+        assert r.t.west <= r.b.minx <= r.b.maxx <= r.t.east and r.t.south - 1e-9 <= r.b.miny <= r.b.maxy <= r.t.north + 1e-9
+    assert all((i, z - 1, x // 2, y // 2) in seen for i, z, x, y in seen if z > 7)
+    boxed = tiles.tile_features(df.withColumn("box", G.bbox(F.col("geom"))), "box", 10, 10)
+    assert sum(k[1] == 10 and k[0] == 2 for k in seen) < boxed.where("id = 2").count()  # inside of the spiral is empty
+    assert max(k[2] for k in seen if k[0] == 4 and k[1] == 9) == 256  # a border on a tile's border enters no further tile
+
+
 def write_geopackage(path, table, rows_):
     def wkb(parts):
         def poly(rings):
