@@ -27,7 +27,7 @@ class PriceRoles:
 
 @dataclass(frozen=True)
 class Level:
-    """One geographic level. ``big`` marks levels with few, large groups."""
+    """One geographic level. ``big`` marks levels with few, large groups, whose spans share passes."""
 
     keys: tuple[str, ...]
     not_null: str | None = None
@@ -102,10 +102,10 @@ def level_stats(df: DataFrame, level: Level, roles: PriceRoles = PriceRoles(),
         df = df.withColumn("span", F.lit("all"))
         spans, tags = {"all": None}, []
     out = price_stats(df, ["span", *level.keys], roles, level.firsts, order_by,
-                      "rank" if level.big else "auto", array_rows)
+                      "auto" if level.keys else "rank", array_rows)
     if not level.keys:
         every = df.sparkSession.createDataFrame([(s,) for s in spans], "span string")
-        out = F.broadcast(every).join(out, "span", "left").fillna(0, list(COUNT_COLUMNS))
+        out = every.join(out, "span", "left").fillna(0, list(COUNT_COLUMNS))
     out = out.withColumns({n: F.lit(v) for n, v in level.constants.items()})
     return out.select(*tags, *level.constants, *level.keys, *STAT_COLUMNS, *level.firsts)
 

@@ -12,6 +12,8 @@ from terrier.functions import projection as P
 from terrier.operators import groups
 from terrier.plans import process
 from terrier.queries.tables import TRANSACTIONS, Query, coarse, coarse_sql, mid, near, table, transactions
+from terrier.session import scratch_file
+from terrier.sources.deeds import scan_deeds
 
 #: Tells the lines of an order apart; line numbers alone repeat.
 LINE_ORDER = ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -77,8 +79,11 @@ def _round_floats(spark: SparkSession, folder: str) -> DataFrame:
 
 def _display(spark: SparkSession, folder: str) -> DataFrame:
     tx = transactions(spark, folder)
-    stats = tx.groupBy("zone").agg(
+    sold = tx.groupBy("zone").agg(
         F.count(F.lit(1)).alias("n"), F.max("price").alias("top"))
+    # every customer is a zone; some have no sale
+    zones = table(spark, folder, "customer").select(F.col("c_custkey").alias("zone"))
+    stats = zones.join(sold, "zone", "left")
     return stats.select("zone", C.display_class("n", 5).alias("class"),
                         C.display_class("n", 0).alias("parcel_class"),
                         C.scale_position("top", 1500.0, 8000.0).alias("position"))
@@ -173,6 +178,20 @@ def _deeds(spark: SparkSession, folder: str) -> DataFrame:
                                         F.lit(None).cast("double").alias("surface_terrain"), F.struct(*LINE_ORDER).alias("seq"))
 
 
+def _scanned(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines written as deed files, with words for unknown cells, and read back."""
+    lines, path = _deeds(spark, folder), scratch_file(spark)
+    names = spark.createDataFrame([], S.DEED_LINE).columns
+    cells = {"nature_culture": F.coalesce("nature_culture", F.lit("NA")), "type_local": F.coalesce("type_local", F.lit("null")),
+             "adresse_nom_voie": F.concat(F.lit('RUE "A", '), "id_mutation")}
+    cells = {c: cells.get(c, F.col(c) if c in lines.columns else F.lit(None).cast("string")) for c in names}
+    lines.select(*[v.cast("string").alias(c) for c, v in cells.items()]).write.option("header", True).option("escape", '"').csv(path)
+    read = scan_deeds(spark, path)
+    return read.select("id_mutation", "numero_disposition", "date_mutation", "valeur_fonciere", "nature_mutation", "nature_culture",
+                       "type_local", "surface_reelle_bati", "nombre_pieces_principales", "longitude", "code_departement", "adresse_nom_voie",
+                       F.col("seq.file").isNotNull().alias("placed"))
+
+
 DEEDS_SQL = f"""
 deeds AS (
   SELECT CAST(l_orderkey AS VARCHAR) AS id_mutation, l_linenumber::BIGINT % 2 AS numero_disposition, CAST(l_shipdate AS DATE) AS date_mutation,
@@ -278,10 +297,11 @@ FROM orders"""),
 WITH {TRANSACTIONS} SELECT sale, round_even(price * 100, 0) / 100 AS price,
        round_even(adjusted * 100, 0) / 100 AS adjusted, value AS longitude FROM tx"""),
     "display_class": Query(_display, f"""
-WITH {TRANSACTIONS}, z AS (SELECT zone, count(*) AS n, max(price) AS top FROM tx GROUP BY zone)
+WITH {TRANSACTIONS}, s AS (SELECT zone, count(*) AS n, max(price) AS top FROM tx GROUP BY zone),
+z AS (SELECT c_custkey AS zone, coalesce(n, 0) AS n, top FROM customer LEFT JOIN s ON c_custkey = zone)
 SELECT zone, CASE WHEN n = 0 THEN 'none' WHEN n < 5 THEN 'few' ELSE 'scaled' END AS class,
        CASE WHEN n = 0 THEN 'none' ELSE 'scaled' END AS parcel_class,
-       greatest(0.0::DOUBLE, least(1.0::DOUBLE, (top - 1500.0::DOUBLE) / 6500.0::DOUBLE))
+       CASE WHEN top IS NOT NULL THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, (top - 1500.0::DOUBLE) / 6500.0::DOUBLE)) END
        AS position FROM z"""),
     "keep_first_category": Query(_keep_first, f"""
 WITH {LINES_SQL},
@@ -331,6 +351,11 @@ WITH {DEEDS_SQL}
 SELECT id_mutation, numero_disposition, date_mutation, value AS valeur_fonciere, nature AS nature_mutation, kind AS type_local,
        has_dependency, total AS surface_batie_totale, total_rooms AS nombre_pieces_principales, parcel AS id_parcelle_unique
 FROM items WHERE position = 0"""),
+    "scan_deeds": Query(_scanned, f"""
+WITH {DEEDS_SQL}
+SELECT id_mutation, numero_disposition, date_mutation, value AS valeur_fonciere, nature AS nature_mutation,
+       nullif(use, 'unknown') AS nature_culture, kind AS type_local, surface AS surface_reelle_bati, rooms AS nombre_pieces_principales,
+       longitude, department AS code_departement, 'RUE "A", ' || id_mutation AS adresse_nom_voie, true AS placed FROM deeds"""),
     "processed_sales": Query(_processed, _processed_sql()),
     "deed_lists": Query(_deed_lists, f"""
 WITH {DEEDS_SQL}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terrier.functions.columns import map_or_keep, within_bounds
 from terrier.operators import lookups
-from terrier.operators.level_histogram import all_levels
+from terrier.operators.level_histogram import all_levels, sliced_level
 from terrier.operators.order_stats import median, nearest, order_stats
 from terrier.operators.outliers import remove_iqr_outliers, remove_outliers
 from terrier.operators.price_stats import (
@@ -17,7 +17,9 @@ from terrier.operators.price_stats import (
 from terrier.operators.time_index import adjust_prices, latest_per_group
 from terrier.queries.tables import (
     REFERENCE_YEAR, ROLES, TRANSACTIONS, Query, coarse, coarse_sql, mid, near, table, transactions)
-from terrier.session import staged
+from terrier.session import scratch_file, staged
+from terrier.sinks import save_aggregate
+from terrier.sources.deeds import load_aggregate
 
 MEANS = ("prix_m2_mean", "prix_m2_maison_mean", "prix_m2_appart_mean")
 SPANS = {"2001": date(2001, 1, 1), "2000": date(2000, 1, 1), "1999": date(1999, 1, 1), "all": None}
@@ -97,6 +99,14 @@ def _levels_sql() -> str:
             + " UNION ALL ".join(parts))
 
 
+def _saved_aggregate(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics of the communes saved by span, and those of one span read back."""
+    level, base = LEVELS["commune"], scratch_file(spark)
+    stats = sliced_level(transactions(spark, folder), level, ROLES, SPANS, ["sale"])
+    save_aggregate(stats, base, "commune", level.keys)
+    return coarse(load_aggregate(spark, base, "commune", "2000"), *MEANS)
+
+
 def _group_median(spark: SparkSession, folder: str) -> DataFrame:
     return order_stats(table(spark, folder, "customer"), ["c_nationkey"],
                        [median("median_balance", "c_acctbal")])
@@ -242,6 +252,9 @@ QUERIES: dict[str, Query] = {
                                        "FROM tx GROUP BY department, year"),
     **{f"level_{name}": _level(name) for name in LEVELS},
     "levels_by_span": Query(_levels_by_span, _levels_sql()),
+    "saved_aggregate": Query(_saved_aggregate, f"""
+WITH {TRANSACTIONS} SELECT commune, commune_name, {STATS_SQL} FROM tx WHERE day >= DATE '{SPANS["2000"]}'
+GROUP BY commune, commune_name"""),
     "span_filter_counts": Query(_span_counts, " UNION ALL ".join(
         f"SELECT '{s}' AS span, count(*) AS n_rows FROM orders"
         + (f" WHERE o_orderdate >= DATE '{d}'" if d else "") for s, d in SPANS.items())),
