@@ -10,7 +10,6 @@ word each position is scored by the longest n-gram there that the model knows.
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -29,16 +28,20 @@ RATE = 5e-6
 LONGEST = 4
 #: What a count that a language lacks counts as.
 UNSEEN = 0.5
-#: Letters only: what counts as a word character but is a number (½, ², Ⅷ) is none.
-NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
-LETTERS = re.compile(rf"[^\W\d_{NUMBERS}]+")
+#: Runs of word characters without digits: letters, and numbers that are no digits (½, ², Ⅷ).
+RUNS = re.compile(r"[^\W\d_]+")
 COUNT_ENTRIES, MEMO_ENTRIES = 200_000, 300_000
 UNKNOWN = "und"
 
 
 def words_in(chunk: str) -> list[str]:
     """Runs of letters of a lower-case stretch without white space."""
-    return [chunk] if chunk.isalpha() else LETTERS.findall(chunk)
+    if chunk.isalpha():
+        return [chunk]
+    runs = RUNS.findall(chunk)
+    if all(map(str.isalpha, runs)):
+        return runs
+    return "".join(c if c.isalpha() else " " for c in " ".join(runs)).split()
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
