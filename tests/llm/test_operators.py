@@ -621,3 +621,18 @@ def test_ownership(spark, odd, empty):
     assert [(s.name, s.verdict) for s in found[21]] == [("opaque", "live")] and found[22] == []
     assert secrets.scan(odd, F.col("source"), F.col("source")).count() == len(ODD)
     assert secrets.scan(empty, F.col("source"), F.col("source")).count() == 0
+
+
+def test_a_repository_of_two_owners_is_one(spark):
+    rows = [(i, "password = hunter2hunter2x9", "en", f"owner{i % 2}") for i in range(6)]
+    found = secrets.scan(documents(spark, rows), F.lit("shared/repository"), F.col("source")).collect()
+    assert all((r.spans[0].repositories, r.spans[0].owners) == (1, 2) for r in found)
+
+
+def test_numbers_are_no_letters():
+    import sys
+    import unicodedata
+    for c in map(chr, range(sys.maxunicode + 1)):
+        if not c.isspace():
+            assert (language_id.words_in("a" + c) == ["a" + c]) == (unicodedata.category(c)[0] == "L"), hex(ord(c))
+    assert language_id.words_in("½²") == [] and language_id.words_in("b½c-d2e") == ["b", "c", "d", "e"]
