@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from terrier.operators import order_stats as O
 from terrier.operators.price_stats import COUNT_COLUMNS, STAT_COLUMNS, Level, PriceRoles, _quantiles, level_stats
-from terrier.operators.skew import BROADCAST_ROWS, split_heavy
+from terrier.operators.skew import BROADCAST_ROWS, fits_broadcast, split_heavy
 from terrier.session import staged
 
 #: Buckets per doubling of (1 + |value|). The table rolled up is this fine; the second pass reads about a
@@ -75,7 +75,7 @@ def nested_levels(df: DataFrame, levels: Mapping[str, Level], roles: PriceRoles,
     place = ["group", "span", "m"]
 
     def light(table: DataFrame) -> DataFrame:
-        return F.broadcast(table) if table.count() <= broadcast_rows else table
+        return F.broadcast(table) if fits_broadcast(table, max_rows=broadcast_rows) else table
 
     # first pass
     tally = [F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")]

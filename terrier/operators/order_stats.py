@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrier.operators.skew import BROADCAST_ROWS, key_struct, split_heavy
+from terrier.operators.skew import BROADCAST_BYTES, BROADCAST_ROWS, key_struct, split_heavy
 from terrier.session import staged
 
 #: Groups above this many rows go the ``rank`` way under ``auto``.
@@ -165,9 +165,10 @@ def _by_rank(df: DataFrame, keys: Sequence[str], stats: Sequence[Stat],
     targets = wanted(points.groupBy("k", "m", "b").agg(*counts, *extent).selectExpr(
         "*", *before("k, m"), *[f"sum(c{i}) over (partition by k, m) as n{i}" for i in every]))
     on = ["k", "m", "b"]
-    n_targets, largest = targets.agg(
-        F.count(F.lit(1)), F.max(F.when(F.col("lo") < F.col("hi"), F.col("size")))).first()
-    small = n_targets <= broadcast_rows
+    n_targets, largest, weight = targets.agg(
+        F.count(F.lit(1)), F.max(F.when(F.col("lo") < F.col("hi"), F.col("size"))),
+        F.coalesce(F.sum(F.length(F.to_json("k")) + 128), F.lit(0))).first()
+    small = n_targets <= broadcast_rows and weight <= BROADCAST_BYTES
 
     def sent(table: DataFrame) -> DataFrame:
         return F.broadcast(table) if small else table
