@@ -24,6 +24,17 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 _KEY, _SPREAD, _SALT = "__key", "__spread", "__salt"
 
 
+def dealt_out(df: DataFrame) -> DataFrame:
+    """The same rows, dealt evenly to all tasks.
+
+    Spark reads a small file as one task. Rows that are few bytes and much work,
+    such as keys that shapes are made of, should not stay in it.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                              2 * spark.sparkContext.defaultParallelism))
+
+
 def key_struct(keys: Sequence[str]) -> Column:
     """All keys as one column. Unlike bare keys it is never null, so null keys match."""
     return F.struct(*[F.col(k) for k in keys])

@@ -12,6 +12,7 @@ from terrier.operators import dissolve as D
 from terrier.operators import features as X
 from terrier.operators import lookups, tiles
 from terrier.operators.simplify import simplify
+from terrier.operators.skew import dealt_out
 from terrier.operators.spatial import point_in_zone, project_points
 from terrier.queries.tables import TRANSACTIONS, Query, coarse, coarse_sql, table, transactions
 from terrier.session import scratch_file
@@ -232,7 +233,7 @@ def _simplify_checks(spark: SparkSession, folder: str) -> DataFrame:
     """What simplification promises, of shapes with a hole and an island close to their rim."""
     k, tolerance = F.col("s_suppkey"), 0.2
     rings = F.array(_jagged(k, 3.0, 90, 11), _jagged(k, 2.88, 80, 7))
-    given = table(spark, folder, "supplier").select(k.alias("zone"), F.struct(
+    given = dealt_out(table(spark, folder, "supplier").select("s_suppkey")).select(k.alias("zone"), F.struct(
         F.lit(G.WGS84).alias("srid"), F.array(rings, F.array(_jagged(k, 2.76, 70, 9))).alias("parts")).alias("geom"))
     both = simplify(given.withColumn("before", F.col("geom")), "geom", tolerance)
     pairs = both.select("zone", "geom", F.arrays_zip(

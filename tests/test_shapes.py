@@ -17,6 +17,7 @@ from terrier.operators import features as X
 from terrier.operators import tiles
 from terrier.operators.simplify import simplify, thin_ring
 from terrier.operators.spatial import point_in_zone
+from terrier.queries.shapes import QUERIES
 from terrier.sinks import as_collections
 from terrier.sources import boundaries as B
 
@@ -128,6 +129,15 @@ def test_unmatched_vertices_are_reported(spark):
     assert border.where("times > 1").count() > 0      # shape 1 is there twice
 
 
+@pytest.mark.parametrize("name", ["simplify_checks"])
+def test_shapes_of_one_file_are_dealt_to_many_tasks(spark, tmp_path, name):
+    """A small file of keys is one task to Spark; the shapes made of them are not."""
+    spark.range(64).selectExpr("id as s_suppkey", "cast(id as string) as s_name", "0 as s_nationkey", "0D as s_acctbal").coalesce(
+        1).write.parquet(f"{tmp_path}/supplier.parquet")
+    tasks = QUERIES[name].run(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in tasks) == 64 and len(tasks) >= 8
+
+
 def test_simplify_keeps_rings_closed(spark):
     rng = np.random.default_rng(1)
     a = np.linspace(0, 2 * math.pi, 200)[:-1]
