@@ -222,7 +222,7 @@ def _jagged(k: Column, radius: float, count: int, waves: int) -> Column:
 def _simplify(spark: SparkSession, folder: str) -> DataFrame:
     # a jagged rim of 60 vertices around each supplier's point
     k = F.col("s_suppkey")
-    shapes = table(spark, folder, "supplier").select(
+    shapes = dealt_out(table(spark, folder, "supplier").select("s_suppkey")).select(
         k.alias("zone"), G.polygon(F.array(_jagged(k, 3.0, 60, 7)), G.WGS84).alias("geom"))
     return simplify(shapes, "geom", 0.1).select(
         "zone", G.vertex_count(F.col("geom")).alias("n_vertices"),

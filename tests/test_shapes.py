@@ -129,7 +129,7 @@ def test_unmatched_vertices_are_reported(spark):
     assert border.where("times > 1").count() > 0      # shape 1 is there twice
 
 
-@pytest.mark.parametrize("name", ["simplify_checks"])
+@pytest.mark.parametrize("name", ["simplify_checks", "simplify"])
 def test_shapes_of_one_file_are_dealt_to_many_tasks(spark, tmp_path, name):
     """A small file of keys is one task to Spark; the shapes made of them are not."""
     spark.range(64).selectExpr("id as s_suppkey", "cast(id as string) as s_name", "0 as s_nationkey", "0D as s_acctbal").coalesce(
