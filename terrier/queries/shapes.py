@@ -178,7 +178,9 @@ def _dissolve_union(spark: SparkSession, folder: str) -> DataFrame:
     """The corners of each brand's union, how often its rings turn there, and its area."""
     shapes = D.dissolve(_boxes(spark, folder), ["p_brand"], "geom", G.LAMBERT93, 4.0)
     turns = F.flatten(F.transform(G.rings(F.col("geom")), G.corners))
-    return shapes.select("p_brand", G.area(F.col("geom")).alias("area"), F.explode(turns).alias("v")).groupBy(
+    # the area is asked of each shape before its corners become rows, or every corner would add it up again
+    sized = shapes.select("p_brand", G.area(F.col("geom")).alias("area"), turns.alias("turns"))
+    return sized.select("p_brand", "area", F.explode("turns").alias("v")).groupBy(
         "p_brand", "area", F.col("v.x").cast("long").alias("x"), F.col("v.y").cast("long").alias("y")).agg(
         F.count(F.lit(1)).alias("turns"))
 

@@ -138,6 +138,17 @@ def test_shapes_of_one_file_are_dealt_to_many_tasks(spark, tmp_path, name):
     assert sum(r["count"] for r in tasks) == 64 and len(tasks) >= 8
 
 
+def test_area_of_a_union_is_not_asked_for_every_corner(spark, tmp_path):
+    spark.range(200).selectExpr("id as p_partkey", "'' as p_name", "'b' as p_brand", "'' as p_type", "1 as p_size",
+                                "0D as p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    df = QUERIES["dissolve_union"].run(spark, str(tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    corners = next(i for i, line in enumerate(plan) if "Generate explode(" in line)
+    # the shoelace sum stands below the step that makes rows of corners
+    assert not any("aggregate(" in line for line in plan[:corners])
+    assert any("aggregate(" in line for line in plan[corners:])
+
+
 def test_simplify_keeps_rings_closed(spark):
     rng = np.random.default_rng(1)
     a = np.linspace(0, 2 * math.pi, 200)[:-1]
