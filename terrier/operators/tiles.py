@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrier.functions import geometry as G
+from terrier.operators.skew import dealt_out
 from terrier.session import staged
 
 # Fixed value: the latitude at which the square Web-Mercator world ends.
@@ -85,7 +86,8 @@ def _cut(ring: Column, along: str, border: Column, above: bool) -> Column:
                 .otherwise(F.when(inside(b), F.array(crossing(a, b), b)).otherwise(F.array().cast(G.RING))))
     n = F.greatest(F.size(ring) - 1, F.lit(0))
     open_ = F.flatten(F.zip_with(F.slice(ring, F.lit(1), n), F.slice(ring, F.lit(2), n), kept))
-    return F.concat(open_, F.slice(open_, 1, 1))
+    # named by a step of its own, so that it is made once though it is read twice
+    return F.get(F.transform(F.array(open_), lambda o: F.concat(o, F.slice(o, 1, 1))), F.lit(0))
 
 
 def clipped(df: DataFrame, geom: str, box: str) -> DataFrame:
@@ -116,11 +118,12 @@ def tile_parts(df: DataFrame, geom: str, min_zoom: int, max_zoom: int) -> DataFr
     Geometries are in degrees; null ones meet no tile. Zoom by zoom each part is dealt to
     the four tiles below its own, so empty tiles of a large or winding shape are left
     with the first tile that misses it, and no vertex is cut again where it is not.
-    Each zoom is written once, since both the result and the next zoom read it.
+    Each zoom is written once, since both the result and the next zoom read it; the
+    features are dealt to all tasks first, as cutting is far more work than reading.
     """
     box = G.bbox(F.col(geom))
     top = F.lit(min_zoom)
-    level = df.where(F.col(geom).isNotNull()).withColumn("__b", box).withColumns({
+    level = dealt_out(df).where(F.col(geom).isNotNull()).withColumn("__b", box).withColumns({
         "z": top, "x": F.explode(F.sequence(tile_x(F.col("__b.minx"), top), tile_x(F.col("__b.maxx"), top)))}).withColumn(
         "y", F.explode(F.sequence(tile_y(F.col("__b.maxy"), top), tile_y(F.col("__b.miny"), top)))).drop("__b")
     out = None

@@ -149,6 +149,14 @@ def test_area_of_a_union_is_not_asked_for_every_corner(spark, tmp_path):
     assert any("aggregate(" in line for line in plan[corners:])
 
 
+def test_tile_parts_deals_one_file_to_many_tasks(spark):
+    # small shapes inside one tile of every zoom
+    df = shapes(spark, [(i, [[box(2 + i / 1e4, 48, 2.001 + i / 1e4, 48.001)]]) for i in range(64)], srid=4326).coalesce(1)
+    parts = tiles.tile_parts(df, "geom", 8, 9)
+    assert parts.groupBy("z").count().count() == 2
+    assert len(parts.inputFiles()) >= 8  # one task would write one file a zoom
+
+
 def test_simplify_keeps_rings_closed(spark):
     rng = np.random.default_rng(1)
     a = np.linspace(0, 2 * math.pi, 200)[:-1]
