@@ -129,7 +129,7 @@ def _project_back(spark: SparkSession, folder: str) -> DataFrame:
 def _squares(spark: SparkSession, folder: str) -> DataFrame:
     k = F.col("p_partkey")
     x, y = (k % 50).cast("double"), F.floor(k / 50).cast("double")
-    return table(spark, folder, "part").select(
+    return dealt_out(table(spark, folder, "part").select("p_partkey", "p_brand")).select(
         "p_partkey", "p_brand",
         G.polygon(F.array(G.box_ring(x, y, x + 1, y + 1)), G.LAMBERT93).alias("geom"))
 
@@ -170,7 +170,7 @@ def _boxes(spark: SparkSession, folder: str) -> DataFrame:
     """Boxes of a few units that overlap, hold one another and meet without shared vertices."""
     k = F.col("p_partkey")
     x, y = (k * 13 % 17).cast("double"), F.floor(k / 150).cast("double")
-    return table(spark, folder, "part").select("p_brand", G.polygon(F.array(
+    return dealt_out(table(spark, folder, "part").select("p_partkey", "p_brand")).select("p_brand", G.polygon(F.array(
         G.box_ring(x, y, x + 1 + k % 3, y + 1 + k % 2)), G.LAMBERT93).alias("geom"))
 
 

@@ -17,7 +17,7 @@ from terrier.operators import features as X
 from terrier.operators import tiles
 from terrier.operators.simplify import simplify, thin_ring
 from terrier.operators.spatial import point_in_zone
-from terrier.queries.shapes import QUERIES
+from terrier.queries.shapes import QUERIES, _boxes, _squares
 from terrier.sinks import as_collections
 from terrier.sources import boundaries as B
 
@@ -138,6 +138,14 @@ def test_shapes_of_one_file_are_dealt_to_many_tasks(spark, tmp_path, name):
     assert sum(r["count"] for r in tasks) == 64 and len(tasks) >= 8
 
 
+@pytest.mark.parametrize("made", [_squares, _boxes])
+def test_polygons_of_one_part_file_are_dealt_to_many_tasks(spark, tmp_path, made):
+    spark.range(64).selectExpr("id as p_partkey", "'' as p_name", "'b' as p_brand", "'' as p_type", "1 as p_size",
+                               "0D as p_retailprice").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    tasks = made(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in tasks) == 64 and len(tasks) >= 8
+
+
 def test_area_of_a_union_is_not_asked_for_every_corner(spark, tmp_path):
     spark.range(200).selectExpr("id as p_partkey", "'' as p_name", "'b' as p_brand", "'' as p_type", "1 as p_size",
                                 "0D as p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
