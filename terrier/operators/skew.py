@@ -21,6 +21,9 @@ LIGHT_ROWS = 1_000_000
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
+#: Buckets in which rows are counted before keys that are many are.
+KEY_BUCKETS = 1 << 16
+
 _KEY, _SPREAD, _SALT = "__key", "__spread", "__salt"
 
 
@@ -49,10 +52,32 @@ def heavy_keys(df: DataFrame, keys: Sequence[str], light_rows: int = LIGHT_ROWS)
     )
 
 
-def split_heavy(df: DataFrame, keys: Sequence[str],
-                light_rows: int = LIGHT_ROWS) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of light groups and rows of heavy groups (``None`` when there are none)."""
-    heavy = staged(heavy_keys(df, keys, light_rows))
+def _crowded(df: DataFrame, keys: Sequence[str], light_rows: int) -> DataFrame | None:
+    """The rows whose key shares its hash bucket with more than ``light_rows`` rows, ``None`` when there are none.
+
+    They hold all rows of heavy keys. Buckets are counted before the shuffle, which then
+    moves a bounded number of rows a task, however many keys there are.
+    """
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(KEY_BUCKETS))
+    large = staged(df.groupBy(bucket.alias("__bucket")).agg(F.count(F.lit(1)).alias("rows"))
+                   .where(F.col("rows") > light_rows).select("__bucket"))
+    if large.isEmpty():
+        return None
+    # at most KEY_BUCKETS numbers
+    return df.withColumn("__bucket", bucket).join(F.broadcast(large), "__bucket", "left_semi").drop("__bucket")
+
+
+def split_heavy(df: DataFrame, keys: Sequence[str], light_rows: int = LIGHT_ROWS,
+                many: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of light groups and rows of heavy groups (``None`` when there are none).
+
+    ``many`` says that keys are nearly as many as rows: they are not counted one by one
+    where no bucket of them is large. The rows are the same either way.
+    """
+    rows = _crowded(df, keys, light_rows) if many else df
+    if rows is None:
+        return df, None
+    heavy = staged(heavy_keys(rows, keys, light_rows))
     if heavy.isEmpty():
         return df, None
     tagged = df.withColumn(_KEY, key_struct(keys))

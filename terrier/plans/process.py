@@ -30,13 +30,14 @@ def clean_lines(lines: DataFrame, mode: str) -> DataFrame:
         # the heavy forms read their input twice, so their steps must not pile up
         return staged(rows) if mode == "heavy" else rows
 
-    rows = settled(groups.keep_first_category(lines, S.USE_GROUP, "nature_culture", order, mode))
-    rows = settled(groups.flag_group(
-        rows, S.OUTBUILDING_GROUP, F.col("type_local") == S.OUTBUILDING, "has_dependency", order,
-        mode))
-    rows = rows.where(C.relevant(
+    home = C.relevant(
         "nature_mutation", S.SALE_NATURES, "type_local", (S.HOUSE, S.FLAT), "valeur_fonciere",
-        S.MIN_VALUE, "surface_reelle_bati", ("latitude", "longitude")))
+        S.MIN_VALUE, "surface_reelle_bati", ("latitude", "longitude"))
+    outbuilding = F.col("type_local") == S.OUTBUILDING
+    rows = settled(groups.keep_first_category(lines, S.USE_GROUP, "nature_culture", order, mode)
+                   .where(home | outbuilding))  # no other line sets a flag or stays
+    rows = settled(groups.flag_group(
+        rows, S.OUTBUILDING_GROUP, outbuilding, "has_dependency", order, mode)).where(home)
     rows = settled(groups.group_totals(
         rows, S.DISPOSITION, {"surface_batie_totale": "surface_reelle_bati"},
         {"valeur_moyenne": "valeur_fonciere"}, order, mode))
@@ -50,10 +51,11 @@ def deed_items(lines: DataFrame, light_rows: int = LIGHT_ROWS) -> DataFrame:
     All groups of this step nest in the disposition, so ordinary ones need a
     single shuffle of the lines: every window reuses it. Huge dispositions are split
     off first and go through salted joins and running numbers over ranges; their rows
-    have the same form.
+    have the same form. Lines that are no sales go before that: the groups in which land
+    use and outbuildings are told are of one nature each, so no sale depends on them.
     """
-    lines = C.fill_unknown(lines, S.LAND_USE)
-    light, heavy = split_heavy(lines, S.DISPOSITION, light_rows)
+    lines = C.fill_unknown(lines.where(F.col("nature_mutation").isin(*S.SALE_NATURES)), S.LAND_USE)
+    light, heavy = split_heavy(lines, S.DISPOSITION, light_rows, many=True)
 
     def chain(rows: DataFrame, mode: str) -> DataFrame:
         return groups.number_items(clean_lines(rows, mode), S.DISPOSITION, ["seq"],
@@ -100,10 +102,11 @@ def assign_zones(sales: DataFrame, zones: DataFrame, size: float = 1000.0) -> Da
 def read_items(lines: DataFrame, light_rows: int = LIGHT_ROWS) -> DataFrame:
     """The numbered lines of all dispositions, in the shared folder.
 
-    Lines and items are written there: later passes read them several times, a few
-    columns at a time, and the text files are parsed once.
+    Later passes read them several times, a few columns at a time. The lines themselves
+    are read twice, once for two keys and the nature alone, which takes less than
+    writing them down would.
     """
-    return staged(deed_items(staged(lines.select(*LINE_COLUMNS)), light_rows))
+    return staged(deed_items(lines.select(*LINE_COLUMNS), light_rows))
 
 
 def finish(sales: DataFrame, departments: DataFrame, regions: DataFrame, zones: DataFrame) -> DataFrame:

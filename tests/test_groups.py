@@ -111,6 +111,20 @@ def test_split_keeps_every_row_once(spark):
     assert skew.split_heavy(df, ["k"])[1] is None
 
 
+@pytest.mark.parametrize("buckets", [1, 1 << 16])
+def test_many_keys_split_alike_and_are_not_counted_one_by_one(spark, monkeypatch, buckets):
+    monkeypatch.setattr(skew, "KEY_BUCKETS", buckets)  # in one bucket light keys are counted with heavy ones
+    data = [(None, 1, i) for i in range(12)] + [("a", None, i) for i in range(11)] + [(f"k{i}", i % 3, i) for i in range(40)]
+    df = frame(spark, data, "k string, p int, id int").repartition(3)
+    for light_rows in (0, 10, 11, 50):
+        both = [skew.split_heavy(df, ["k", "p"], light_rows, many) for many in (False, True)]
+        (light, heavy), (other, others) = both
+        assert rows(light) == rows(other) and (heavy is None) == (others is None)
+        assert heavy is None or rows(heavy) == rows(others)
+    monkeypatch.setattr(skew, "heavy_keys", None)  # every key of its own, and the bucket of all of them, is small
+    assert skew.split_heavy(df, ["k", "p"], 1000, many=True)[1] is None
+
+
 @pytest.mark.parametrize("light_rows", [1_000_000, 40, 0])
 def test_items_have_running_numbers_at_any_size(spark, light_rows):
     rng = random.Random(light_rows)

@@ -96,6 +96,24 @@ def test_ordinary_deeds_shuffle_once(spark, deed_lines):
     assert "lot1_numero" not in plan.split("ReadSchema")[1]
 
 
+@pytest.mark.parametrize("light_rows", [1_000_000, 2])
+def test_lines_are_not_written_and_no_sale_depends_on_other_natures(spark, monkeypatch, tmp_path, light_rows):
+    sale = [line("A", 1, 210000, "p1", "Maison", 80, "sols"), line("A", 1, 210000, "p1", "Dépendance", None, "sols"),
+            line("A", 1, 210000, "p1", None, None, "sols"), line("A", 1, 210000, "p1", "Maison", 70, "prés"),
+            line("B", 1, 120000, "p2", "Appartement", 30, "sols"), line("B", 1, 120000, "p2", "Local", 30, "sols")]
+    other = [line(m, 1, 99000, p, kind, 10, "landes", nature=nature) for m, p in (("A", "p1"), ("B", "p2"))
+             for nature in ("Echange", None) for kind in ("Dépendance", "Maison", None)]
+    write_csv(tmp_path / "d.csv", other + sale)
+    written, lines = [], deeds.scan_deeds(spark, str(tmp_path / "d.csv"))
+    if light_rows > 2:
+        monkeypatch.setattr(process, "staged", lambda df: written.append(df.columns) or df)
+    items = process.read_items(lines, light_rows)
+    got = {(r.id_mutation, r.position): (r.surface_reelle_bati, r.has_dependency, r.surface_batie_totale, r.prix_de_vente)
+           for r in items.collect()}
+    assert got == {("A", 0): (80.0, True, 80.0, 210000.0), ("B", 0): (30.0, False, 30.0, 120000.0)}
+    assert light_rows == 2 or (len(written) == 1 and "position" in written[0])
+
+
 def layer_file(path: Path, feats):
     path.parent.mkdir(parents=True, exist_ok=True)
     lines = ",\n".join(json.dumps({"type": "Feature", "properties": p, "geometry": {
