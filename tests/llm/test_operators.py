@@ -304,6 +304,34 @@ def test_fuzzy_lines_as_brute_force(spark):
         assert texts[i] == "\n".join(x for k, x in enumerate(t.split("\n")) if want.get((i, k), True))
 
 
+def test_edit_distances_side_by_side():
+    """As one by one within the limit, beyond it beyond; 3-grams never differ by more than six an edit."""
+    rng = random.Random(4)
+    pairs = []
+    for _ in range(150):
+        a = "".join(rng.choice("abcd\u00e9") for _ in range(rng.randrange(300)))
+        b = list(a)
+        for _ in range(rng.randrange(30) if a else 0):
+            b[rng.randrange(len(b))] = rng.choice(["", "x", "ab", "c"])
+        pairs.append((a, "".join(b)))
+    left, right = ([np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in side] for side in zip(*pairs))
+    want = np.array([line_dedup.edit_distance(a, b) for a, b in pairs])
+    assert (line_dedup.gram_difference(left, right) <= 6 * want).all()
+    for most in (2, 10, 70, 400):
+        got = line_dedup.edit_distances(left, right, most)
+        assert (got[want <= most] == want[want <= most]).all() and (got[want > most] > most).all()
+
+
+def test_lines_of_common_grams_share_few_keys():
+    """Lines of the same few words meet seldom, where they are no copies; all had 3-grams in common."""
+    rng = random.Random(12)
+    words = ["the", "and", "of", *["".join(rng.choices(["th", "in", "er", "an", "tion", "on", "ed"], k=rng.randrange(1, 4))) for _ in range(200)]]
+    lines = [" ".join(rng.choices(words, k=50)).encode() for _ in range(300)]
+    _, row, key, _ = line_dedup.keys_of(lines)
+    _, members = np.unique(key, return_counts=True)
+    assert (np.bincount(row) >= 20).all() and (members * (members - 1) // 2).sum() < 300 * 299 // 2 // 10
+
+
 @pytest.mark.parametrize("edits", ["one", "word", "most"])
 def test_recall_of_fuzzy_lines_against_edit_similarity(spark, edits):
     """Lines with a copy of one altered letter, one altered word, or as many edits as may be."""
