@@ -57,3 +57,27 @@ def staged(df: DataFrame, *partition_by: str) -> DataFrame:
     path = scratch_file(spark)
     df.write.parquet(path, partitionBy=list(partition_by) or None)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Whether shuffle files go once the query that made them has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``staged``, with the shuffle files that made it removed: nothing reads them again."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        return staged(df)
+    finally:
+        conf.set(CLEANUP, before)
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        for path in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -2,13 +2,16 @@
 
 import hashlib
 import math
+import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from terrier.llm import (
@@ -26,6 +29,7 @@ from terrier.llm import (
 from terrier.llm.common import held_out
 from terrier.llm.components import components
 from terrier.llm.lexicon import Lexicon, compile_words
+from terrier.session import discarded, settled
 
 #: Columns of the documents, and others that operators use as names of their own.
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, kept boolean, size long, id long, "
@@ -617,6 +621,58 @@ def test_language_model_of_odd_rows(odd, empty):
     assert all(r.n_known == 0 and r.base_score == 0 and r.score == 0 and r.train_tokens == 0 for r in nothing)
 
 
+def test_language_model_of_four_words_in_many_chunks(spark):
+    texts = [*random_texts(150, 9, 60, 25), None, ""]
+    chance, *_ = plain_model(texts, 4, 0, 0)
+    docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]).repartition(11)
+    for row in language_model.score(docs, language_model.train(docs, 4), ["doc_id"]).collect():
+        t = tokens(texts[row.doc_id])
+        assert abs(row.score - sum(math.log10(chance(w, tuple(t[max(0, i - 3): i]))) for i, w in enumerate(t))) < 1e-6
+
+
+def test_settled_tables_leave_no_shuffle_files(spark):
+    folders = list(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString())
+
+    def shuffled():
+        return {f"{d}/{f}" for top in folders for d, _, names in os.walk(top) for f in names if f.endswith(".data")}
+    before = shuffled()
+    table = settled(spark.range(100_000).repartition(5, "id"))
+    for _ in range(100):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before and table.count() == 100_000
+    path = table.inputFiles()[0].removeprefix("file:")
+    discarded(table)
+    assert not os.path.exists(os.path.dirname(path))
+
+
+def test_ngrams_are_sent_packed_and_only_where_shorter_ones_are_kept():
+    """Eight bytes a key at most; of three words those alone whose pairs of words occur twice."""
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(200)}" for _ in range(20_000)] + ["once", "only", "here"]
+    coded = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    hashes = np.array([xxhash.xxh3_64_intdigest(w.encode()) for w in coded], np.uint64)
+    body = language_model.packed(hashes, np.array([coded[w] for w in words]), np.array([len(words)]))
+    chunk = language_model._rows([(-1, 7, language_model.TOKENS, body, len(words))])
+    asked = list(language_model._asked(3, 0, 4, 0.0)(iter([chunk])))
+    rows = [row for batch in asked for row in batch.to_pylist() if row["kind"] == 2]
+    assert sum(row["n"] for row in rows) == len(set(zip(words, words[1:])))
+    assert sum(len(row["body"]) for row in rows) <= 8 * sum(row["n"] for row in rows)
+    told = [batch for part in asked for row in part.to_pylist()
+            for batch in language_model._counted(2, 4)(iter([language_model._rows([tuple(row.values())])])) if batch.column("chunk")[0].as_py() >= 0]
+    longer = [row for batch in language_model._asked(3, 2, 4, 0.0)(iter([chunk, *told])) for row in batch.to_pylist() if row["kind"] == 3]
+    pairs = Counter(zip(words, words[1:]))
+    assert sum(row["n"] for row in longer) == len({g for g in zip(words, words[1:], words[2:]) if pairs[g[:2]] > 1 and pairs[g[1:]] > 1})
+
+
+@pytest.mark.parametrize("keys", [[], [5], [2**64 - 1, 0, 2**63, 0], [7] * 9, [3, 1, 2, 3, 1]])
+def test_order_of_keys(keys):
+    keys = np.array(keys, np.uint64)
+    assert (language_model.ordered(keys) == np.argsort(keys, kind="stable")).all()
+    assert [c.tolist() for c in language_model.unpacked(language_model.packed(keys, keys // np.uint64(2)))] == [keys.tolist(), (keys // np.uint64(2)).tolist()]
+
+
 # --- secrets
 
 def plain_spans(text):
