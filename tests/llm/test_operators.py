@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -29,6 +30,7 @@ from terrier.llm import (
 from terrier.llm.common import held_out
 from terrier.llm.components import components
 from terrier.llm.lexicon import Lexicon, compile_words
+from terrier.llm.packing import unpacked
 from terrier.session import discarded, settled
 
 #: Columns of the documents, and others that operators use as names of their own.
@@ -361,6 +363,41 @@ def test_recall_of_fuzzy_lines_against_edit_similarity(spark, edits):
     assert len(set(groups.values())) >= len(pairs)
 
 
+def test_keys_are_sent_once_packed_and_evenly():
+    """Sixteen bytes a key at most, parts of about one size, though keys are the least hashes; lines of a key meet."""
+    rng = random.Random(31)
+    pool = ["".join(rng.choice("abcdefghiklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(2000)]
+    lines = [" ".join(rng.choices(pool, k=60)) for _ in range(1500)]
+    lines += [line[:100] + "z" + line[101:] for line in lines[:40]]
+    batch = pa.RecordBatch.from_arrays([pa.array(["\n".join(lines[i::10]) for i in range(10)])], ["text"])
+    sent = list(line_dedup._keyed(8)(iter([batch])))
+    _, _, key, _ = line_dedup.keys_of([line.encode() for line in lines])
+    counts = [len(unpacked(body)[0]) for b in sent for body in b.column("body").to_pylist()]
+    assert sum(counts) == len(key) and max(counts) < 1.2 * min(counts)
+    assert sum(len(body) for b in sent for body in b.column("body").to_pylist()) <= 16 * len(key)
+    ids = [line_dedup.line_id(line.encode()) for line in lines]
+    met = {(a, b) for o in line_dedup._met(8)(iter(sent)) for kind, a, b in zip(*(o.column(c).to_pylist() for c in ("kind", "a", "b"))) if kind < 2}
+    assert {tuple(sorted((ids[i], ids[1500 + i]))) for i in range(40)} <= met
+
+
+def test_pairs_are_verified_as_one_by_one():
+    """The 3-grams of a whole batch drop no near pair, wherever a batch starts and with lines that are no UTF-8."""
+    rng = random.Random(14)
+    pairs = []
+    for _ in range(400):
+        a = [rng.choice("abcdé \u4e2d") for _ in range(rng.randrange(9, 200))]
+        b = list(a)
+        for _ in range(rng.randrange(1 + len(a) // 6)):
+            b[rng.randrange(len(b))] = rng.choice(["", "x", "ab", "ü"])
+        pairs.append(("".join(a), "".join(b)))
+    for odd in (pairs, [*pairs, ("caf\ud800 " * 20, "cafe " * 20)]):
+        x, y = ([t.encode("utf-8", "surrogatepass") for t in side] for side in zip(*odd))
+        n = np.arange(len(odd))
+        batch = pa.RecordBatch.from_arrays([pa.array(n), pa.array(n), pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["a", "b", "x", "y"])
+        got = [i for o in line_dedup._verified(iter([batch.slice(0, 7), batch.slice(7)])) for i in o.column("a").to_pylist()]
+        assert sorted(got) == [i for i in n.tolist() if line_dedup.alike(x[i], y[i])] and 0 < len(got) < len(odd)
+
+
 def test_lines_of_odd_rows(odd, empty):
     rows = {r.doc_id: r for r in line_dedup.document_lines(odd).collect()}
     assert len(rows) == 8
